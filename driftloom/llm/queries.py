@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding
+from . import langid, mixing, packing, quality_classifier, quality_rules, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.query,
     "op2_pareto_mixing": mixing.query,
+    "op3_crf_toxicity": toxicity.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_ftrl_quality": quality_classifier.query,
+    "op7_hierarchical_langid": langid.query,
+    "op8_ball_tree_topk": topk.query,
     "op10_ring_sharding": sharding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mixing": mixing.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_ball_tree_topk": topk.ORACLE_SQL,
 }
