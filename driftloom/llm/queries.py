@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality_classifier, quality_rules, sharding, topk, toxicity
+from . import (
+    langid,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    topk,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_pareto_mixing": mixing.query,
     "op3_crf_toxicity": toxicity.query,
+    "op4_count_min_substrings": substring_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op6_ftrl_quality": quality_classifier.query,
     "op7_hierarchical_langid": langid.query,
@@ -21,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mixing": mixing.ORACLE_SQL,
+    "op4_count_min_substrings": substring_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op8_ball_tree_topk": topk.ORACLE_SQL,
 }
