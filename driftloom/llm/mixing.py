@@ -16,7 +16,8 @@ are used up, and only that cell's rows are ordered.  A narrow table (id, source,
 rank) is checkpointed; texts are read once.
 
 Cases: null text has size 0; null source is a source of its own, last in order; null and
-repeated ids are drawn with the text's digest; empty tables give no rows; sources of size
+repeated ids are drawn with the text's digest (rows that
+repeat wholly are taken or left together); empty tables give no rows; sources of size
 0 take nothing; further columns of the input are ignored.
 """
 
@@ -66,6 +67,24 @@ def uniform(doc_id: Column, text: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def _drawn(docs: DataFrame) -> DataFrame:
+    """docs with the uniform number and the digest that decide ties."""
+    return docs.withColumn("_u", uniform(F.col("doc_id"), F.col("text"))).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _key() -> Column:
+    return F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("i"), F.col("_crc").alias("c"))
+
+
+def _ranked(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
+    """rows (source, _u) with table's columns and _rank, the Pareto variable q = odds(u) / odds(lambda) as q / (1 + q), and its grid cells."""
+    a, b = F.col("_u") * (1 - F.col("_lambda")), (1 - F.col("_u")) * F.col("_lambda")
+    rank = F.when(F.col("_lambda") > 0, a / (a + b)).otherwise(F.col("_u"))
+    out = by_source(rows, table, n_sources).withColumn("_rank", rank)
+    out = out.withColumn("_c1", F.least(F.floor(F.col("_rank") * GRID), F.lit(GRID - 1)))
+    return out.withColumn("_c2", F.least(F.floor((F.col("_rank") * GRID - F.col("_c1")) * GRID), F.lit(GRID - 1)))
+
+
 def _crossing(sums: DataFrame, need: DataFrame, cell: str, base: Column, n_sources: int) -> DataFrame:
     """For each source: the first cell whose words exceed what is left, and the words before it."""
     w = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
@@ -74,58 +93,59 @@ def _crossing(sums: DataFrame, need: DataFrame, cell: str, base: Column, n_sourc
     return over.groupBy("source").agg(F.min(F.struct(F.col(cell), (F.col("_run") - F.col("_words")).alias("before"))).alias("_x"))
 
 
-def mix(docs: DataFrame, total_share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, copies for every row of docs (doc_id, text, source)."""
-    rows = docs.select(
-        "doc_id",
-        "source",
-        count_words(F.col("text")).alias("size"),
-        uniform(F.col("doc_id"), F.col("text")).alias("_u"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"),
-    )
-    rows = checkpointed(rows)
+def _inside(max_repeats: int) -> Column:
+    """Whether a ranked row is in its source's prefix, given the crossing cell and the last key within it."""
+    later = F.struct(F.col("_c1").alias("a"), F.col("_c2").alias("b"))
+    cross = F.struct(F.col("_x1").alias("a"), F.col("_x2").alias("b"))
+    inside = F.col("_x1").isNull() | (later < cross) | ((later == cross) & F.coalesce(_key() <= F.col("_until"), F.lit(False)))
+    return F.coalesce(inside, F.lit(False)) & (F.col("_whole") < max_repeats)
+
+
+def decisions(rows: DataFrame, total_share: float, max_repeats: int, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """A row for each source: target, certain copies, where its prefix ends, and the closing document.  rows: the narrow table."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, total_share, max_repeats, weights)
     rho = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     targets = targets.withColumn("_whole", F.floor(rho)).withColumn("_lambda", rho - F.floor(rho))
     targets = checkpointed(targets.withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size")))
-    n_sources = targets.count()
-    # The Pareto variable q = odds(u) / odds(lambda), as q / (1 + q) = a / (a + b): increasing in q, within 0 and 1.
-    a, b = F.col("_u") * (1 - F.col("_lambda")), (1 - F.col("_u")) * F.col("_lambda")
-    rank = F.when(F.col("_lambda") > 0, a / (a + b)).otherwise(F.col("_u"))
-    ranked = by_source(rows, targets, n_sources).withColumn("_rank", rank)
-    ranked = ranked.withColumn("_c1", F.least(F.floor(F.col("_rank") * GRID), F.lit(GRID - 1)))
-    ranked = ranked.withColumn("_c2", F.least(F.floor((F.col("_rank") * GRID - F.col("_c1")) * GRID), F.lit(GRID - 1)))
+    n = targets.count()
+    ranked = _ranked(rows, targets, n)
     need = targets.select("source", "_need")
-    first = _crossing(ranked.groupBy("source", "_c1").agg(F.sum("size").alias("_words")), need, "_c1", F.lit(0), n_sources)
-    first = first.select("source", F.col("_x._c1").alias("_x1"), F.col("_x.before").alias("_b1"))
-    inner = by_source(ranked, first, n_sources).where(F.col("_c1") == F.col("_x1"))
-    second = _crossing(inner.groupBy("source", "_c2").agg(F.sum("size").alias("_words")), need.join(first, need["source"].eqNullSafe(first["source"])).select(need["source"], "_need", "_b1"), "_c2", F.col("_b1"), n_sources)
-    cut = first.join(second.withColumnRenamed("source", "_s"), first["source"].eqNullSafe(F.col("_s")), "left")
-    cut = checkpointed(cut.select("source", "_x1", F.col("_x._c2").alias("_x2"), F.col("_x.before").alias("_b2")))
-    ranked = by_source(ranked, cut, n_sources)
+    first = _crossing(ranked.groupBy("source", "_c1").agg(F.sum("size").alias("_words")), need, "_c1", F.lit(0), n)
+    first = checkpointed(first.select("source", F.col("_x._c1").alias("_x1"), F.col("_x.before").alias("_b1")))
+    inner = by_source(ranked, first, n).where(F.col("_c1") == F.col("_x1"))
+    second = _crossing(inner.groupBy("source", "_c2").agg(F.sum("size").alias("_words")), by_source(need, first, n), "_c2", F.col("_b1"), n)
+    cut = checkpointed(by_source(first, second, n).select("source", "_x1", F.col("_x._c2").alias("_x2"), F.col("_x.before").alias("_b2")))
     at = (F.col("_c1") == F.col("_x1")) & (F.col("_c2") == F.col("_x2"))
-    ahead = F.col("_x1").isNull() | (F.col("_c1") < F.col("_x1")) | ((F.col("_c1") == F.col("_x1")) & (F.col("_c2") < F.col("_x2")))
-    order = [F.col("_rank"), F.col("doc_id"), F.col("_crc")]
-    w = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    edge = ranked.where(at).withColumn("_run", F.sum("size").over(w) + F.col("_b2")).withColumn("_in", F.col("_run") <= F.col("_need"))
-    rest = ranked.where(~F.coalesce(at, F.lit(False))).withColumn("_in", ahead)
-    same = [c for c in rest.columns if c != "_in"]
-    chosen = checkpointed(rest.select(*same, "_in").unionByName(edge.select(*same, "_in")).withColumn("_in", F.col("_in") & (F.col("_whole") < max_repeats)).select("doc_id", "source", "size", "source_size", "target", "_whole", "_need", "_rank", "_crc", "_in"))
+    # Rows that repeat a document wholly are peers and stay together (the frame is a range).
+    w = Window.partitionBy("source").orderBy("_rank", "doc_id", "_crc")
+    edge = by_source(ranked, cut, n).where(at).withColumn("_run", F.sum("size").over(w) + F.col("_b2"))
+    until = edge.where(F.col("_run") <= F.col("_need")).groupBy("source").agg(F.max(_key()).alias("_until"))
+    table = checkpointed(by_source(by_source(targets, cut, n), until, n))
     # The gap that the prefix leaves, and the one document outside that fills it best.
+    chosen = _ranked(rows, table, n).withColumn("_in", _inside(max_repeats))
     got = chosen.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0)).alias("_got"))
-    gaps = by_source(chosen.where(~F.col("_in") & (F.col("size") > 0) & (F.col("_whole") < max_repeats)), got, n_sources).withColumn("_gap", F.col("_need") - F.col("_got"))
-    gaps = gaps.where(F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
-    last = gaps.groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_rank").alias("r"), F.col("doc_id").alias("i"), F.col("_crc").alias("c"))).alias("_last"))
-    out = by_source(chosen, last, n_sources)
-    # Rows that repeat a document wholly share its rank: the first of them is the closing one.
-    closes = ~F.col("_in") & (F.col("_rank") == F.col("_last.r")) & F.col("doc_id").eqNullSafe(F.col("_last.i")) & (F.col("_crc") == F.col("_last.c"))
-    out = out.withColumn("_close", F.coalesce(closes, F.lit(False)))
-    twin = Window.partitionBy("source", "_rank", "doc_id", "_crc").orderBy("size")
-    closing = out.where("_close").withColumn("_n", F.row_number().over(twin)).withColumn("copies", F.col("_whole") + F.when(F.col("_n") == 1, 1).otherwise(0)).drop("_n")
-    plain = out.where("not _close").withColumn("copies", F.col("_whole") + F.col("_in").cast("int"))
-    out = plain.unionByName(closing)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("int").alias("copies"))
+    off = F.abs(F.col("_need") - F.col("_got") - F.col("size"))
+    gaps = by_source(chosen.where(~F.col("_in") & (F.col("size") > 0) & (F.col("_whole") < max_repeats)), checkpointed(got), n)
+    last = gaps.where(off < F.col("_need") - F.col("_got")).groupBy("source").agg(F.min(F.struct(off.alias("d"), _key().alias("k"))).alias("_last"))
+    return checkpointed(by_source(table, last, n)), n
+
+
+def mix(docs: DataFrame, total_share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = (3, 1, 2), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies for every row of docs (doc_id, text, source).
+
+    With ``keep``, instead: doc_id, source, these columns of docs, and copies; the texts are
+    scanned again, not shuffled, as a table with a row for each source decides about each row.
+    """
+    rows = checkpointed(_drawn(docs.select("doc_id", "source", "text")).select("doc_id", "source", count_words(F.col("text")).alias("size"), "_u", "_crc"))
+    table, n = decisions(rows, total_share, max_repeats, weights)
+    plain = rows if keep is None else _drawn(docs.select("doc_id", "source", *keep))
+    out = _ranked(plain, table, n)
+    extra = _inside(max_repeats) | F.coalesce(_key() == F.col("_last.k"), F.lit(False))
+    out = out.withColumn("copies", (F.col("_whole") + extra.cast("int")).cast("int"))
+    if keep is not None:
+        return out.select("doc_id", "source", *keep, "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

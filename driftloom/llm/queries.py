@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    jaccard_join,
     langid,
     mixing,
     packing,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ftrl_quality": quality_classifier.query,
     "op7_hierarchical_langid": langid.query,
     "op8_ball_tree_topk": topk.query,
+    "op9_token_group_join": jaccard_join.query,
     "op10_ring_sharding": sharding.query,
 }
 
