@@ -42,7 +42,7 @@ from .words import HashMemo, chunks, crc32_mod, documents, scramble, texts_of, w
 
 BITS = 18
 CHAIN = 64
-MAX_ROWS, MAX_BYTES = 5000, 24 << 20
+MAX_ROWS, MAX_BYTES = 3000, 12 << 20
 HELD_OUT = (5, 0)
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
