@@ -1,0 +1 @@
+"""Scalar and array helpers as column functions."""

@@ -1,0 +1,64 @@
+"""Sketch admission before the first basis refresh, and second moments of what is admitted.
+
+Until then the basis is the identity and the spectrum is 1, so scores, probabilities and admissions
+are window expressions; the uniforms come from a table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def leverage(z: DataFrame, rank: int, ridge: float = 1e-3) -> DataFrame:
+    """t, leverage: squared coordinates below the rank over 1 + ridge.  z: (t, j, z)."""
+    return z.where(F.col("j") < rank).groupBy("t").agg((F.sum(F.col("z") * F.col("z")) / (1.0 + ridge)).alias("leverage"))
+
+
+def admissions(scores: DataFrame, uniforms: DataFrame, window: int, rate: float = 0.65, floor: float = 0.05, least: float = 0.15, most: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """Adds n, q, prob, accepted, weight, influence and the admitted ordinal; up to `window` earlier scores are the norm."""
+    run = Window.partitionBy(*(by or [F.lit(1)])).orderBy("t")
+    recent = run.rowsBetween(-window, 0)
+    n, total = F.count("*").over(recent), F.sum("leverage").over(recent) + floor
+    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("leverage") + floor / n) / total))
+    out = scores.join(uniforms, "t").withColumn("n", n).withColumn("q", F.when(total <= 1e-15, 1.0 / n).otherwise(q))
+    out = out.withColumn("influence", F.col("n") * F.col("q"))
+    out = out.withColumn("prob", F.least(F.lit(most), F.greatest(F.lit(least), rate * F.col("influence"))))
+    out = out.withColumn("accepted", F.col("u") <= F.col("prob"))
+    out = out.withColumn("weight", F.when(F.col("accepted"), 1.0 / F.greatest(F.col("prob"), F.lit(1e-12))).otherwise(0.0))
+    return out.withColumn("ordinal", F.sum(F.col("accepted").cast("long")).over(run))
+
+
+def leverage_weight(influence, least: float = 0.35, most: float = 3.0):
+    """The saturating weight of an influence, once a threshold exists."""
+    i = F.greatest(influence, F.lit(0.0))
+    return F.least(F.lit(most), F.greatest(F.lit(least), 0.5 + i / (1.0 + i)))
+
+
+def weighted_moments(z: DataFrame, admitted: DataFrame, window: int) -> DataFrame:
+    """i, j, c: uncentered weighted second moments of the last `window` admitted rows."""
+    kept = admitted.where("accepted")
+    last = kept.agg(F.max("ordinal").alias("last"))
+    kept = kept.crossJoin(F.broadcast(last)).where(F.col("ordinal") > F.col("last") - window).select("t", "weight")
+    rows = z.join(kept, "t")
+    other = rows.select("t", F.col("j").alias("i"), F.col("z").alias("y"))
+    mass = kept.agg(F.greatest(F.sum("weight"), F.lit(1e-12)).alias("mass"))
+    sums = rows.join(other, "t").groupBy("i", "j").agg(F.sum(F.col("weight") * F.col("z") * F.col("y")).alias("s"))
+    return sums.crossJoin(F.broadcast(mass)).select("i", "j", (F.col("s") / F.col("mass")).alias("c"))
+
+
+def coordinate_error(moments: DataFrame, rank: int) -> DataFrame:
+    """error: the share of energy, as a root, that the first `rank` coordinates miss."""
+    on = moments.where(F.col("i") == F.col("j"))
+    sums = on.agg(F.sum("c").alias("all"), F.coalesce(F.sum(F.when(F.col("i") < rank, F.col("c"))), F.lit(0.0)).alias("kept"))
+    error = F.sqrt(F.greatest(F.col("all") - F.col("kept"), F.lit(0.0)) / F.col("all"))
+    return sums.select(F.when(F.col("all") <= 1e-24, F.lit(0.0)).otherwise(error).alias("error"))
+
+
+def energy_rank(spectrum: DataFrame, share: float, least: int, most: int) -> DataFrame:
+    """rank: how many of the largest values hold `share` of the first `most`.  spectrum: (place from 1, value)."""
+    w = Window.partitionBy(F.lit(1)).orderBy("place")
+    used = spectrum.where(F.col("place") <= most).withColumn("value", F.greatest("value", F.lit(0.0)))
+    run = used.withColumn("cum", F.sum("value").over(w) / F.nullif(F.sum("value").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
+    rank = F.sum((F.round("cum", 12) < share).cast("int")) + 1
+    return run.agg(F.coalesce(F.least(F.lit(most), F.greatest(F.lit(least), rank)), F.lit(least)).cast("int").alias("rank"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import run_queries, trace_queries, vector_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = vector_queries.QUERIES | trace_queries.QUERIES | run_queries.QUERIES
+ORACLE_SQL = vector_queries.ORACLE_SQL | trace_queries.ORACLE_SQL

@@ -76,6 +76,8 @@ def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000) -> DataFr
                 out += [{"kind": "basis", "chunk": number, "center_ix": j, "center": b.tolist()} for j, b in enumerate(basis.T)]
         out.append({"kind": "final", "counters": json.dumps({k: int(v) for k, v in counters.items()}, sort_keys=True)})
         frame = pd.DataFrame(out, columns=_COLUMNS)
+        frame["center"] = [r.get("center") for r in out]
+        frame["counters"] = [r.get("counters") for r in out]
         for name in ("method", "seed", "variant"):
             frame[name] = first[name]
         for name in ("t", "chunk", "mc_id"):
