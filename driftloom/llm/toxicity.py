@@ -145,7 +145,7 @@ def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([top, np.log1p(np.bincount(doc, weights=np.where(p > 0.01, p, 0), minlength=n))], 1)
 
 
-def toxic_words(split: list[list[bytes]], y: np.ndarray, least: float = 10.0) -> set[bytes]:
+def toxic_words(split: list[list[bytes]], y: np.ndarray, ratio: float = 10.0, evidence: float = 22.0) -> set[bytes]:
     """Words, and beginnings of words, far more frequent in toxic than in clean texts; near copies count as one text."""
     memo, seen = HashMemo(), ({}, {})
     clusters: list[set] = [set(), set()]
@@ -157,11 +157,15 @@ def toxic_words(split: list[list[bytes]], y: np.ndarray, least: float = 10.0) ->
         for w in {z for x in {normal(x) for x in set(words)} for z in stems(x)}:
             seen[label].setdefault(w, set()).add(cluster[0])
     n1, n0 = len(clusters[1]), len(clusters[0])
-    need = max(3, 0.02 * n1)
     out = set()
     for w, where in seen[1].items():
         a, b = len(where), len(seen[0].get(w, ()))
-        if w and a >= need and ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)) >= least:
+        if not w or ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)) < ratio:
+            continue
+        # Log-likelihood ratio of the split between the classes: tens of thousands of words are tested.
+        p, q = a / (a + b), n1 / (n1 + n0)
+        g = 2 * (a * np.log(p / q) + (b * np.log((1 - p) / (1 - q)) if b else 0.0))
+        if g >= evidence:
             out.add(w)
     return out
 
