@@ -78,23 +78,23 @@ class Subspace:
     def _admission(self, influence: float) -> tuple[float, bool, float, float]:
         """(probability, admitted, sketch weight, leverage weight)."""
         c = self.cfg
-        tilt = 1.0 if self.threshold is None else float(np.clip(0.5 + influence / (1.0 + influence), c.min_leverage_weight, c.max_leverage_weight))
+        tilt = 1.0 if self.threshold is None else min(max(0.5 + influence / (1.0 + influence), c.min_leverage_weight), c.max_leverage_weight)
         if c.leverage_mode == "weight":
             return 1.0, True, tilt, tilt
         if c.leverage_mode == "off":
             return 1.0, True, 1.0, 1.0
         rate = c.leverage_sampling_rate * (influence if c.leverage_mode == "sample" else 1.0)
-        p = float(np.clip(rate, c.min_sampling_probability, c.max_sampling_probability))
+        p = min(max(rate, c.min_sampling_probability), c.max_sampling_probability)
         ok = bool(self.rng.random() <= p)
         return p, ok, (1.0 / max(p, 1e-12) if ok else 0.0), (tilt if c.leverage_mode == "sample" else 1.0)
 
     def _admit(self, z: np.ndarray, w: float) -> None:
         if len(self.window) == self.cfg.window_size:
             old, was = self.window.popleft()
-            self.moment -= was * np.outer(old, old)
+            self.moment -= (was * old)[:, None] * old
             self.mass -= was
         self.window.append((z.copy(), w))
-        self.moment += w * np.outer(z, z)
+        self.moment += (w * z)[:, None] * z
         self.mass += w
         self.accepted += 1
 

@@ -25,8 +25,9 @@ class MicroClusters:
 
     def __init__(self, dim: int, radius: float, capacity: int, decay: float = 1.0, prune: str = "utility") -> None:
         self.radius, self.capacity, self.decay, self.prune = radius, capacity, decay, prune
-        self.raw, self.weight = np.empty((0, dim)), np.empty(0)
-        self.last, self.born, self.ids = (np.empty(0, np.int64) for _ in range(3))
+        # Slots, of which the first m are in use; a new cluster takes the slot of the one that made room.
+        self.m, self.raw, self.weight = 0, np.zeros((capacity, dim)), np.zeros(capacity)
+        self.last, self.born, self.ids = (np.zeros(capacity, np.int64) for _ in range(3))
         self.basis: np.ndarray | None = None
         self.coords = self.raw
         self.now = self.next_id = self.pruned = self.merged = 0
@@ -38,55 +39,56 @@ class MicroClusters:
     def _locate(self, z: np.ndarray) -> np.ndarray:
         return z if self.basis is None else z @ self.basis
 
-    def _drop(self, j: int) -> None:
-        for name in ("raw", "weight", "last", "born", "ids"):
-            setattr(self, name, np.delete(getattr(self, name), j, axis=0))
-        self.rebase(self.basis)
+    def _move(self, j: int) -> None:
+        """Coordinates of slot j after a change of its centroid."""
+        if self.basis is not None:
+            self.coords[j] = self.raw[j] @ self.basis
 
     def closest_pair(self) -> tuple[int, int]:
-        g = np.einsum("ij,ij->i", self.coords, self.coords)
-        d2 = np.maximum(g[:, None] + g[None] - 2 * self.coords @ self.coords.T, 0.0)
+        """Slots of the two closest clusters, the older first."""
+        c = self.coords[: self.m]
+        g = np.einsum("ij,ij->i", c, c)
+        d2 = np.maximum(g[:, None] + g[None] - 2 * c @ c.T, 0.0)
         np.fill_diagonal(d2, np.inf)
-        a, b = np.unravel_index(d2.argmin(), d2.shape)
-        return (int(a), int(b)) if a < b else (int(b), int(a))
-
-    def _make_room(self) -> None:
-        if self.prune == "merge" and len(self.weight) > 1:
+        a, b = (int(x) for x in np.unravel_index(d2.argmin(), d2.shape))
+        return (a, b) if self.ids[a] < self.ids[b] else (b, a)
+
+    def _make_room(self) -> int:
+        """The slot for a new cluster."""
+        if self.m < self.capacity:
+            self.m += 1
+            return self.m - 1
+        if self.prune == "merge" and self.m > 1:
             a, b = self.closest_pair()
             total = self.weight[a] + self.weight[b]
             self.raw[a] = (self.weight[a] * self.raw[a] + self.weight[b] * self.raw[b]) / max(total, 1e-12)
             self.weight[a], self.last[a] = total, max(self.last[a], self.last[b], self.now)
-            self._drop(b)
+            self._move(a)
             self.merged += 1
-        elif self.prune == "utility":
-            self._drop(int((self.weight / (1.0 + np.maximum(self.now - self.last, 0))).argmin()))
-            self.pruned += 1
+            return b
+        self.pruned += 1
+        return int((self.weight / (1.0 + np.maximum(self.now - self.last, 0))).argmin())
 
     def nearest(self, z: np.ndarray) -> int:
         """Id of the nearest cluster, or -1; changes nothing."""
-        return int(self.ids[_distances(self.coords, self._locate(z)).argmin()]) if len(self.ids) else -1
+        return int(self.ids[_distances(self.coords[: self.m], self._locate(z)).argmin()]) if self.m else -1
 
     def learn(self, z: np.ndarray, weight: float = 1.0, scale: float = 1.0) -> int:
         self.now += 1
         w, q = max(float(weight), 1e-12), self._locate(z)
-        if len(self.ids):
-            d = _distances(self.coords, q)
+        if self.m:
+            d = _distances(self.coords[: self.m], q)
             j = int(d.argmin())
             if d[j] <= self.radius * max(float(scale), 1e-6):
                 old = self.decay * self.weight[j]
                 self.raw[j] = (old * self.raw[j] + w * z) / max(old + w, 1e-12)
                 self.weight[j], self.last[j] = old + w, self.now
-                if self.basis is None:
-                    self.coords = self.raw
-                else:
-                    self.coords[j] = self.raw[j] @ self.basis
+                self._move(j)
                 return int(self.ids[j])
-            if len(self.ids) >= self.capacity:
-                self._make_room()
-        self.raw = np.vstack([self.raw, z])
-        self.weight = np.append(self.weight, w)
-        self.last, self.born, self.ids = (np.append(x, v) for x, v in ((self.last, self.now), (self.born, self.now), (self.ids, self.next_id)))
-        self.coords = self.raw if self.basis is None else np.vstack([self.coords, q])
+        j = self._make_room()
+        self.raw[j], self.weight[j], self.last[j], self.born[j], self.ids[j] = z, w, self.now, self.now, self.next_id
+        if self.basis is not None:
+            self.coords[j] = q
         self.next_id += 1
         return self.next_id - 1
 
@@ -95,12 +97,13 @@ class MicroClusters:
             self.learn(z)
 
     def snapshot(self) -> tuple[np.ndarray, np.ndarray]:
-        centers = self.raw if self.basis is None else self.coords @ self.basis.T
-        return centers.copy(), self.weight.copy()
+        order = self.ids[: self.m].argsort()
+        centers = self.raw[order] if self.basis is None else self.coords[order] @ self.basis.T
+        return centers, self.weight[order]
 
     def counters(self) -> dict:
-        state = self.raw.nbytes + self.weight.nbytes + self.last.nbytes + self.born.nbytes + self.ids.nbytes
-        return {"micro_clusters": len(self.ids), "pruned": self.pruned, "merged": self.merged, "state_bytes": state}
+        state = self.m * (8 * self.raw.shape[1] + 32)
+        return {"micro_clusters": self.m, "pruned": self.pruned, "merged": self.merged, "state_bytes": state}
 
 
 class FadingClusters:
