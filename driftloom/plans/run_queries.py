@@ -36,6 +36,17 @@ def all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("method", "seed").agg(F.count("*").alias("chunks"), F.avg("ari").alias("ari"), F.avg("nmi").alias("nmi"))
 
 
+def final_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition of the whole stream by the last summary of each method."""
+    return runner.evaluate(_stream(spark, sf_dir), _cells(spark, (7,)), 10, CHUNK, final=True).select("method", "seed", "n", "ari", "nmi")
+
+
+def all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window scored, with ten starts of k-means."""
+    cells = runner.run_cells(spark, [(m, 7, "windows", {"radius": 8.0}) for m in ("twstream", "fra_art")])
+    return runner.evaluate(_stream(spark, sf_dir), cells, 10, CHUNK, warmup=0, starts=10, steps=300)
+
+
 def proposed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = runner.run_cells(spark, [("proposed", s, "study", PARAMS) for s in (7, 13)])
     steps = runner.run_matrix(_stream(spark, sf_dir), cells, CHUNK).where(F.col("kind") == "step")
@@ -97,6 +108,8 @@ def streamed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "run_all_methods": all_methods,
+    "run_final_partition": final_partition,
+    "run_all_windows": all_windows,
     "run_proposed_trace": proposed_trace,
     "run_ablation": ablation,
     "run_sensitivity": sensitivity,

@@ -94,8 +94,11 @@ def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000) -> DataFr
 PREDICTED = "method string, seed int, variant string, chunk long, t long, pred int"
 
 
-def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, starts: int = 1, steps: int = 20) -> DataFrame:
-    """Deferred evaluation: for each chunk after the first, the labels that k-means of the snapshot at its end gives its rows."""
+def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, starts: int = 1, steps: int = 20, warmup: int = 1, final: bool = False) -> DataFrame:
+    """Deferred evaluation: the labels that k-means of the snapshot at a chunk's end gives the chunk's rows.
+
+    The first `warmup` chunks of a longer stream aren't scored.  With `final`, the last snapshot labels all rows instead (chunk -1).
+    """
     runs = stream.select("t", "features").crossJoin(F.broadcast(cells))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,10 +107,9 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
         x, t = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["t"].to_numpy()
         _, shots, _, z = learn(x, t, first["method"], int(first["seed"]), json.loads(first["params"]), chunk)
         out = []
-        for number, centers, weights, basis in shots:
-            rows = slice(number * chunk, (number + 1) * chunk)
-            if number == 0 and len(shots) > 1:
-                continue
+        for number, centers, weights, basis in shots[-1:] if final else shots[warmup:] or shots:
+            rows = slice(None) if final else slice(number * chunk, (number + 1) * chunk)
+            number = -1 if final else number
             part = z[rows].astype(np.float32).astype(np.float64)
             part = part if basis is None else (part @ basis) @ basis.T
             label = assign(part, weighted_kmeans(centers, weights, classes, int(first["seed"]), starts, steps))
@@ -120,7 +122,7 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
     return runs.groupBy("run").applyInPandas(one, PREDICTED)
 
 
-def evaluate(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000) -> DataFrame:
+def evaluate(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, **how) -> DataFrame:
     """method, seed, variant, chunk, n, ari, nmi: predictions joined with the labels, which no kernel has seen."""
-    scored = predictions(stream, cells, classes, chunk).join(stream.select("t", "label"), "t")
+    scored = predictions(stream, cells, classes, chunk, **how).join(stream.select("t", "label"), "t")
     return partition_quality(scored, ["method", "seed", "variant", "chunk"], "label", "pred")
