@@ -14,10 +14,11 @@ list is bounded and broadcast), then by hash.
     large keys are cut into chunks of ``CHUNK`` that share one pivot.  A task links the members of
     a chunk: the pivot against all, then every document outside the largest component against
     all; so all links of a chunk are found up to those inside a component already known.
-3.  Token-group matrix: each group's token union (here of prefix tokens) is stored by token.  A
-    document is matched with the unions of all groups but its own; the number of shared tokens
-    bounds its overlap with any member, and only groups whose bound qualifies are opened.  Of two
-    groups the documents of the smaller one ask.  In an opened group (cut into chunks) the bound is
+3.  Token-group matrix: the groups now are the components found, and the chunks of the first key for
+    documents that are linked with nothing yet.  Each group's token union (here of prefix tokens)
+    is stored by token.  A document is matched with the unions of all groups but its own; the
+    number of shared tokens bounds its overlap with any member, and only groups whose bound
+    qualifies are opened.  Of two groups the documents of the smaller component ask.  In an opened group (cut into chunks) the bound is
     taken again over the full union, and then members are compared exactly.
 
 Nothing is emitted for pairs within a group, and links lost between groups are only those of
@@ -115,12 +116,28 @@ FEATURES = "doc_id long, n long, s1 long, s2 long, k1 long, k2 long, bucket int,
 BUCKETS = 32
 
 
+def merged(seen: np.ndarray, count: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens with their counts, after more of them."""
+    new, c = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
+    many = c > 1
+    at = np.searchsorted(seen, new)
+    known = at < len(seen)
+    known[known] = seen[at[known]] == new[known]
+    count = count.copy()
+    count[at[known]] += c[known]
+    # A token met once is kept only if it was known: the share asked for is far above that.
+    add = many & ~known
+    both, n = np.concatenate([seen, new[add]]), np.concatenate([count, c[add]])
+    order = np.argsort(both)
+    return both[order], n[order]
+
+
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
     """A row for each document (size, signature, two min-hash keys), and packed rows of tokens that a partition repeats (bucket not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, rows = HashMemo(), 0
-        seen, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+        seen, count, fresh = np.empty(0, np.uint64), np.empty(0, np.int64), []
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for part in chunks(batches, "text"):
             n = part.num_rows
@@ -131,12 +148,13 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
             none = [pa.nulls(n, kind) for kind in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), *map(_signed, (*sums, *keys)), *none], names)
             rows += n
-            new, c = np.unique(tok, return_counts=True)
-            seen, at = np.unique(np.concatenate([seen, new]), return_inverse=True)
-            count = np.bincount(at, weights=np.concatenate([count, c]), minlength=len(seen)).astype(np.int64)
-            if len(seen) > 4_000_000:  # tokens that cannot reach the share here
-                keep = count > max(1, int(HOT * rows / 4))
+            fresh.append(tok)
+            if sum(map(len, fresh)) > 1_000_000:
+                seen, count = merged(seen, count, fresh)
+                fresh = []
+                keep = count >= max(2, HOT * rows / 4)  # others cannot have the share so far
                 seen, count = seen[keep], count[keep]
+        seen, count = merged(seen, count, fresh)
         keep = count >= max(2, HOT * rows / 2)
         seen, count = seen[keep], count[keep]
         edges = np.searchsorted(seen, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(59)).tolist() + [len(seen)]
@@ -308,8 +326,13 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
     """Links between documents of different groups (comp: node, component), by the token-group matrix."""
     sized = comp.groupBy("component").agg(F.count("*").alias("many")).withColumnRenamed("component", "_c")
     named = comp.join(sized, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "component", "many")
-    grouped = sets.join(named, F.col("doc_id") == F.col("_n"), "left")
-    grouped = checkpointed(grouped.select("doc_id", "set", F.coalesce("component", "doc_id").alias("g"), F.coalesce("many", F.lit(1)).alias("many")))
+    mates = sets.groupBy("k1").agg(F.count("*").alias("_mates")).where(F.col("_mates") > 1).withColumnRenamed("k1", "_k1")
+    home = sets.select("doc_id", "k1").join(mates, F.col("k1") == F.col("_k1"))
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_mates") / chunk).cast("int"))
+    home = home.select(F.col("doc_id").alias("_h"), (-1 - F.shiftrightunsigned(F.xxhash64("k1", part), 1)).alias("_home"))
+    placed = sets.select(F.col("doc_id").alias("d")).join(home, F.col("d") == F.col("_h"), "left").join(named, F.col("d") == F.col("_n"), "left")
+    placed = placed.select("d", F.coalesce("component", "_home", "d").alias("g"), F.coalesce("many", F.lit(1)).alias("many"))
+    grouped = checkpointed(sets.select("doc_id", "set").join(placed, F.col("doc_id") == F.col("d")).select("doc_id", "set", "g", "many"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -331,7 +354,7 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
     asked = checkpointed(opened.groupBy("og", "omany").agg(F.count("*").alias("asked")).select(F.col("og").alias("_og"), F.col("omany").alias("_many"), "asked"))
     slices, parts = F.ceil(F.col("asked") / queries).cast("int"), F.ceil(F.col("_many") / chunk).cast("int")
     ask = opened.join(asked, F.col("og") == F.col("_og")).withColumn("slice", F.pmod(F.xxhash64("q", F.lit(1)), slices).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    ask = ask.select("q", "og", "slice", "part").join(grouped.select("doc_id", "set"), F.col("q") == F.col("doc_id")).select("og", "slice", "part", "doc_id", "set")
+    ask = ask.select("q", "og", "omany", "slice", "part").join(grouped.select("doc_id", "set"), F.col("q") == F.col("doc_id")).select("og", "slice", "part", "doc_id", "set", (F.col("omany") == 1).alias("loose"))
     held = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     members = grouped.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("many") / chunk)).cast("int"))
     members = members.join(held, (F.col("g") == F.col("_og")) & (F.col("part") == F.col("_part"))).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
@@ -341,7 +364,7 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _links([])
-        sets_, out = _load(right), []
+        sets_, out, loose = _load(right), [], left.column("loose")[0].as_py()
         for q, blob in zip(left.column("doc_id").to_pylist(), left.column("set").to_pylist()):
             tok = np.frombuffer(blob, np.uint64)
             at = np.minimum(np.searchsorted(sets_.union, tok), len(sets_.union) - 1)
@@ -350,8 +373,8 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
                 continue
             both = sets_.overlaps(at)
             hit = np.flatnonzero((both > 0) & rule.linked(both, len(tok), sets_.size))
-            if len(hit):  # the members are one component: one link says all
-                out.append((q, int(sets_.ids[hit[0]])))
+            # Members that are one component already: one link says all.
+            out += [(q, int(j)) for j in (sets_.ids[hit] if loose else sets_.ids[hit[:1]])]
         return _links(out)
 
     return ask.groupBy("og", "slice", "part").cogroup(members.groupBy("og", "slice", "part")).applyInArrow(run, "u long, v long")
@@ -409,3 +432,18 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' '))))
+                          WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) + any_value(b.n) AS total FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * common >= 85 * (total - common)),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.m = u.x),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT g.doc_id, len(g)::BIGINT AS n_shingles, component_id FROM g JOIN c ON g.doc_id = c.doc_id
+"""
