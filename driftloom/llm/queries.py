@@ -37,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_count_min_substrings": substring_dedup.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op8_ball_tree_topk": topk.ORACLE_SQL,
+    "op9_token_group_join": jaccard_join.ORACLE_SQL,
 }
