@@ -38,7 +38,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("mean_word_length", "word_chars / n_words", 2.0, 14.0),
     ("symbols_per_word", "n_symbols / n_words", None, 0.1),
     ("stop_word_share", "n_stop / n_words", 0.02, None),
-    ("repeated_line_share", "n_dup_lines / n_lines", None, 0.3),
+    ("repeated_line_share", "n_dup_lines / n_lines", None, 0.5),
     ("shouted_share", "n_shouted / n_words", None, 0.5),
 )
 
