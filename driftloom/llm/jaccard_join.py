@@ -402,15 +402,22 @@ def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, chunk:
 def _sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, k1, k2, set of the representatives in chosen."""
     sc = docs.sparkSession.sparkContext
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * chosen.count()):
+    bits, wanted = 1 << 16, min(FILTER_BITS, 16 * chosen.count())
+    while bits < wanted:
         bits *= 2
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)).cast("int")
+
     # A bitmap of fixed size at most: it spares sets that the join would drop, and decides nothing.
-    mask = np.zeros(bits, bool)
-    for r in chosen.select((slot("rep") / F.lit(4096)).cast("int").alias("b"), (slot("rep") % 4096).alias("s")).groupBy("b").agg(F.collect_set("s").alias("s")).toLocalIterator():
-        mask[np.array(r["s"], np.int64) + r["b"] * 4096] = True
-    shared = sc.broadcast(np.packbits(mask))
+    def pack(table: pa.Table) -> pa.Table:
+        part = np.zeros(4096, bool)
+        part[table.column("s").to_numpy() & 4095] = True
+        return pa.table({"b": pa.array([table.column("b")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    mask = np.zeros(bits // 8, np.uint8)
+    marked = chosen.select(slot("rep").alias("s")).withColumn("b", F.shiftright("s", 12))
+    for r in marked.groupBy("b").applyInArrow(pack, "b int, bits binary").collect():  # `bits` bits in all
+        mask[r["b"] * 512 : (r["b"] + 1) * 512] = np.frombuffer(r["bits"], np.uint8)
+    shared = sc.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bitmap = HashMemo(), shared.value
