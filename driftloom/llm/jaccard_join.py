@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .substring_dedup import deltas, squeeze, unsqueeze
-from .words import HashMemo, checkpointed, chunks, documents, scramble, texts_of, window_hashes
+from .words import HashMemo, checkpointed, chunks, documents, give_back, scramble, texts_of, window_hashes
 
 HOT = 0.001
-CHUNK = 2048
+CHUNK = 1024
 QUERIES = 4096
 FILTER_BITS = 1 << 26  # bits of the prefilter's bitmap at most
 
@@ -163,6 +163,7 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                 none = [pa.nulls(1, pa.int64())] * 6
                 packed = squeeze(deltas(seen[a:b]), count[a:b].astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([*none, pa.array([bucket], pa.int32()), pa.array([b - a], pa.int32()), pa.array([packed], pa.binary())], names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
@@ -219,6 +220,7 @@ def surviving_classes(docs: DataFrame, hot, rule: Rule) -> DataFrame:
                 ],
                 ["token", "s1", "needed"],
             )
+        give_back()
 
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "token long, s1 long, needed int")
     together = Window.partitionBy("token")
@@ -317,7 +319,9 @@ def group_links(sets: DataFrame, rule: Rule, chunk: int = CHUNK) -> DataFrame:
         pivot = table.column("pivot")[0].as_py()
         ids = table.column("doc_id").to_numpy()
         order = np.lexsort((ids, ids != pivot))
-        return _links(link_chunk(_load(table.take(pa.array(order))), rule))
+        links = _links(link_chunk(_load(table.take(pa.array(order))), rule))
+        give_back()
+        return links
 
     return rows.groupBy("w", "k", "part").applyInArrow(run, "u long, v long")
 
@@ -375,6 +379,8 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
             hit = np.flatnonzero((both > 0) & rule.linked(both, len(tok), sets_.size))
             # Members that are one component already: one link says all.
             out += [(q, int(j)) for j in (sets_.ids[hit] if loose else sets_.ids[hit[:1]])]
+        del sets_
+        give_back()
         return _links(out)
 
     return ask.groupBy("og", "slice", "part").cogroup(members.groupBy("og", "slice", "part")).applyInArrow(run, "u long, v long")

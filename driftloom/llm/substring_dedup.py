@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import HashMemo, documents, scramble, texts_of, window_hashes
+from .words import HashMemo, documents, give_back, scramble, texts_of, window_hashes
 
 WIDTH = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SHARD_WINDOWS = 1 << 20
 DEPTH = 2
 COUNTERS = 1 << 22  # in each row of a shard's sketch
@@ -217,6 +217,11 @@ def removal(table: pa.Table, replies: pa.Table, width: int) -> pa.Table:
     return out
 
 
+def _then_free(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """docs (doc_id, text, ...) with _n_words, _n_removed (long) and _kept (string) added."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -224,11 +229,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, s
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     dealt = docs.withColumn("_block", F.pmod(key, F.lit(blocks)))
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())])
-    sketches = dealt.groupBy("_block").applyInArrow(lambda t: partial_sketch(t, width, shards), PACKED)
-    repeated = sketches.groupBy("shard").applyInArrow(lambda t: merged_sketch(t), REPLY)
-    firsts = dealt.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: candidates(t, r, width, shards), PACKED)
-    later = firsts.groupBy("shard").applyInArrow(lambda t: owners(t), REPLY)
-    return dealt.groupBy("_block").cogroup(later.groupBy("block")).applyInArrow(lambda t, r: removal(t, r, width), schema)
+    sketches = dealt.groupBy("_block").applyInArrow(lambda t: _then_free(partial_sketch(t, width, shards)), PACKED)
+    repeated = sketches.groupBy("shard").applyInArrow(lambda t: _then_free(merged_sketch(t)), REPLY)
+    firsts = dealt.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _then_free(candidates(t, r, width, shards)), PACKED)
+    later = firsts.groupBy("shard").applyInArrow(lambda t: _then_free(owners(t)), REPLY)
+    return dealt.groupBy("_block").cogroup(later.groupBy("block")).applyInArrow(lambda t, r: _then_free(removal(t, r, width)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

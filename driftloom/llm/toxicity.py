@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .training import bounded_sample
-from .words import HashMemo, chunks, crc32_mod, documents, scramble, texts_of, window_hashes
+from .words import HashMemo, chunks, crc32_mod, documents, give_back, scramble, texts_of, window_hashes
 
 BITS = 18
 CHAIN = 64
@@ -118,7 +118,7 @@ class Emissions(HashMemo):
         same = doc[1:] == doc[:-1]
         e[1:] += np.where(same, s[:-1, 1], 0)
         e[:-1] += np.where(same, s[1:, 2], 0)
-        if len(self.scores) > 900_000:
+        if len(self.scores) > 450_000:
             self.reset()
         return e, doc
 
@@ -145,52 +145,58 @@ def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([top, np.log1p(np.bincount(doc, weights=np.where(p > 0.01, p, 0), minlength=n))], 1)
 
 
-def toxic_words(split: list[list[bytes]], y: np.ndarray, ratio: float = 10.0, evidence: float = 22.0) -> set[bytes]:
+def toxic_words(texts: list[bytes], y: np.ndarray, ratio: float = 10.0, evidence: float = 22.0) -> set[bytes]:
     """Words, and beginnings of words, far more frequent in toxic than in clean texts; near copies count as one text."""
-    memo, seen = HashMemo(), ({}, {})
-    clusters: list[set] = [set(), set()]
-    for words, label in zip(split, y):
+    memo, number = HashMemo(), {}
+    units, groups = array("q"), array("q")
+    clusters: dict[tuple, int] = {}
+    for text, label in zip(texts, y):
+        words = text.split()
         h = memo.hashes(words)
         grams = window_hashes(h, 3, 17) if len(h) >= 3 else h
-        cluster = (int(scramble(grams, 1).min()), int(scramble(grams, 2).min())) if len(grams) else (0, 0)
-        clusters[label].add(cluster)
+        key = (int(label), int(scramble(grams, 1).min()) if len(grams) else 0)
+        cluster = clusters.setdefault(key, len(clusters))
         for w in {z for x in {normal(x) for x in set(words)} for z in stems(x)}:
-            seen[label].setdefault(w, set()).add(cluster[0])
-    n1, n0 = len(clusters[1]), len(clusters[0])
-    out = set()
-    for w, where in seen[1].items():
-        a, b = len(where), len(seen[0].get(w, ()))
-        if not w or ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)) < ratio:
-            continue
-        # Log-likelihood ratio of the split between the classes: tens of thousands of words are tested.
-        p, q = a / (a + b), n1 / (n1 + n0)
-        g = 2 * (a * np.log(p / q) + (b * np.log((1 - p) / (1 - q)) if b else 0.0))
-        if g >= evidence:
-            out.add(w)
-    return out
+            units.append(number.setdefault(w, len(number)))
+            groups.append(cluster)
+    toxic = np.array([k[0] for k in clusters], bool)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    pairs = np.unique(np.frombuffer(units, np.int64) * len(clusters) + np.frombuffer(groups, np.int64)) if units else np.empty(0, np.int64)
+    unit, on = pairs // max(len(clusters), 1), toxic[pairs % max(len(clusters), 1)] if len(pairs) else np.empty(0, bool)
+    a, b = (np.bincount(unit[x], minlength=len(number)) for x in (on, ~on))
+    share = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    # Log-likelihood ratio of the split between the classes: tens of thousands of words are tested.
+    p, q = a / np.maximum(a + b, 1), n1 / max(n1 + n0, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a > 0, a * np.log(p / q), 0.0) + np.where(b > 0, b * np.log((1 - p) / (1 - q)), 0.0))
+    keep = (share >= ratio) & (g >= evidence) & (p > q)
+    return {w for w, i in number.items() if w and keep[i]}
 
 
 def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, rate: float = 0.5, l2: float = 1e-4, clean_per_toxic: int = 4) -> Field | None:
     """The trained field; None without both classes or without a telling word."""
-    split = [t.split() for t, _ in rows]
+    texts = [t for t, _ in rows]
     y = np.array([int(label) for _, label in rows], np.int64)
     if not len(y) or not y.any() or y.all():
         return None
-    telling = toxic_words(split, y)
+    telling = toxic_words(texts, y)
     if not telling:
         return None
     pieces, golds, spare = [], [], []
-    for words, label in zip(split, y):
+    for i, (text, label) in enumerate(zip(texts, y)):
+        words = text.split()
         for a in range(0, len(words), CHAIN):
-            piece = words[a : a + CHAIN]
-            gold = [int(label and any(z in telling for z in stems(normal(w)))) for w in piece]
+            gold = [int(label and any(z in telling for z in stems(normal(w)))) for w in words[a : a + CHAIN]] if label else [0]
             if any(gold):
-                pieces.append(piece)
+                pieces.append(words[a : a + CHAIN])
                 golds.append(gold)
             else:
-                spare.append(piece)
+                spare.append((i, a))
     step = max(1, len(spare) // max(1, clean_per_toxic * len(pieces)))
-    pieces, golds = pieces + spare[::step], golds + [[0] * len(p) for p in spare[::step]]
+    for i, a in spare[::step]:
+        piece = texts[i].split()[a : a + CHAIN]
+        pieces.append(piece)
+        golds.append([0] * len(piece))
     n, size = len(pieces), 1 << bits
     lengths = np.array([len(p) for p in pieces])
     row = np.repeat(np.arange(n), lengths)
@@ -231,10 +237,11 @@ def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, ra
         field.move = np.clip(climb("move", field.move, pair), -4, 4)
         field.move -= field.move[0, 0]
     emit = Emissions(field)
-    x = np.zeros((len(split), 2))
-    for a in range(0, len(split), 256):
-        e, doc = emit.of(split[a : a + 256])
-        x[a : a + 256] = evidence(word_marginals(field, e, doc, len(split[a : a + 256])), doc, len(split[a : a + 256]))
+    x = np.zeros((len(texts), 2))
+    for a in range(0, len(texts), 256):
+        split = [t.split() for t in texts[a : a + 256]]
+        e, doc = emit.of(split)
+        x[a : a + 256] = evidence(word_marginals(field, e, doc, len(split)), doc, len(split))
     x1, w = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     for _ in range(25):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -258,7 +265,9 @@ def spans_of(text: bytes, hot: list[int]) -> list[dict]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Field | None:
     """The field, or None where nothing can be learned."""
     ids = labels.select("doc_id", label).where(crc32_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
-    return fit(bounded_sample(docs, ids, label, max_rows, max_bytes))
+    field = fit(bounded_sample(docs, ids, label, max_rows, max_bytes))
+    give_back()
+    return field
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -286,6 +295,8 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                 for i in np.unique(doc[hot]):
                     spans[i] = spans_of(texts[i], (hot[doc[hot] == i] - first[i]).tolist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array(many), pa.array(spans, kind)], schema.names)
+        del emit
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

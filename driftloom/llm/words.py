@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than space and ``\\t\\n\\v\\f\\r``
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
-CHUNK_BYTES = 4 << 20
-MEMO_WORDS = 400_000
+CHUNK_BYTES = 2 << 20
+MEMO_WORDS = 200_000
 
 
 def count_words(text: Column) -> Column:
@@ -48,6 +50,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and what one operator held would stay with the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class HashMemo(dict):
     """word (bytes) -> 64-bit hash, remembered for frequent words."""
 
