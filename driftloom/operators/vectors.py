@@ -95,9 +95,68 @@ def neighbors(points: DataFrame, k: int, itself: bool, digits: int = 9) -> DataF
     return pairs.select("i", "j", F.round(F.sqrt("d2"), digits).alias("d")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def nearest_in_block(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int, itself: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d) of the k rows of x nearest to each row of q by (d to nine digits, j).
+
+    Products find the rows that may be among the k, with slack for their error; differences give the distances.
+    """
+    qq, xx, found = (q * q).sum(1), (x * x).sum(1), []
+    top = float(xx.max(initial=0.0))
+    for a in range(0, len(q), step):
+        b = min(a + step, len(q))
+        d2 = np.maximum(qq[a:b, None] + xx[None, :] - 2.0 * (q[a:b] @ x.T), 0.0)
+        own = qi[a:b, None] == xi[None, :]
+        if not itself:
+            d2[own] = np.inf
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k <= len(x) else np.full(b - a, np.inf)
+        may = d2 <= (kth + 4e-9 * np.sqrt(kth) + 1e-12 * (qq[a:b] + top) + 1e-15)[:, None]
+        if not itself:
+            may &= ~own
+        row, col = np.nonzero(may)
+        d = np.empty(len(row))
+        for s in range(0, len(row), 1 << 16):
+            e = slice(s, s + (1 << 16))
+            off = q[a + row[e]] - x[col[e]]
+            d[e] = np.sqrt(np.einsum("ij,ij->i", off, off))
+        order = np.lexsort((xi[col], np.round(d, 9), row))
+        row, col, d = row[order], col[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        found.append((qi[a + row[keep]], xi[col[keep]], d[keep]))
+    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def block_neighbors(stream: DataFrame, k: int, itself: bool, block: int = 8000, least: int = 4, digits: int = 9) -> DataFrame:
+    """i, j, d, place: the k nearest of all rows for each row of a stream (t, features), ties to the smaller row.
+
+    Rows are dealt to blocks by a hash; each pair of blocks is a task that holds two blocks and sends k rows for each of its queries.
+    """
+    rows = stream.where(F.col("features").isNotNull()).select(F.col("t").cast("long").alias("t"), "features")
+    blocks = max(least, -(-rows.count() // block))
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = dealt.select(F.col("t").alias("i"), F.col("features").alias("q"), F.col("_own").alias("a"), other.alias("b"))
+    points = dealt.select(F.col("t").alias("j"), F.col("features").alias("x"), F.col("_own").alias("bx"), other.alias("ax"))
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0)})
+        rows, others = (np.stack(c.to_numpy()).astype(np.float64) for c in (q["q"], x["x"]))
+        i, j, d = nearest_in_block(rows, others, q["i"].to_numpy(), x["j"].to_numpy(), k, itself)
+        return pd.DataFrame({"i": i, "j": j, "d": d})
+
+    pairs = queries.groupBy("a", "b").cogroup(points.groupBy("ax", "bx")).applyInPandas(run, "i long, j long, d double")
+    w = Window.partitionBy("i").orderBy("d", "j")
+    return pairs.select("i", "j", F.round("d", digits).alias("d")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def calibration_radius(points: DataFrame, k: int = 6, share: float = 0.8) -> DataFrame:
     """radius: a quantile of the distances to the k-th nearest row, itself included."""
-    far = neighbors(points, k, itself=True).where(F.col("place") == k)
+    return radius_of(neighbors(points, k, itself=True), k, share)
+
+
+def radius_of(near: DataFrame, k: int = 6, share: float = 0.8) -> DataFrame:
+    far = near.where(F.col("place") == k)
     return far.agg(F.greatest(F.expr(f"percentile(d, {share})"), F.lit(1e-6)).alias("radius"))
 
 

@@ -15,6 +15,7 @@ SEED = 7
 CFG = StreamConfig(original_dim=64, projection_dim=16, max_rank=16, window_size=64, seed=SEED, projection_seed=SEED)
 PREFIX = 120  # rows before the first basis refresh
 REPS = 20
+CALIBRATION = 1000  # rows that the reference calibrates the radius on
 
 
 def r6(c: Column | str) -> Column:
@@ -233,6 +234,17 @@ def radius_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.calibration_radius(cells(spark, sf_dir).where(F.col("t") < 150)).select(r6("radius").alias("radius"))
 
 
+def all_neighbors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_graph of the whole table."""
+    return vectors.block_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False).select("i", "j", r6("d").alias("d"), "place")
+
+
+def reference_radius_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calibration_radius over the reference's rows: the first CALIBRATION of the stream, or all if there are fewer."""
+    first = tables.embeddings(spark, sf_dir).orderBy("t").limit(CALIBRATION)
+    return vectors.radius_of(vectors.block_neighbors(first, 6, itself=True)).select(r6("radius").alias("radius"))
+
+
 PAIRS_SQL = f"""
 WITH {CELLS}, x AS (SELECT * FROM cells WHERE t < 150),
 d AS (SELECT a.t AS i, b.t AS j, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS d FROM x a JOIN x b USING (dim) GROUP BY a.t, b.t)"""
@@ -269,7 +281,15 @@ k AS (SELECT t, list_concat(s, list_transform(s, lambda v: 1.0 - v)) AS code FRO
 def confidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary confidence of the first rows as clusters: one-sidedness, sparseness and change of weight of their neighborhoods."""
     part = cells(spark, sf_dir).where(F.col("t") < 60)
-    near = vectors.neighbors(part, 8, itself=False)
+    return _confidence(part, vectors.neighbors(part, 8, itself=False))
+
+
+def all_confidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """boundary_confidence with every row of the table as a cluster."""
+    return _confidence(cells(spark, sf_dir), vectors.block_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False))
+
+
+def _confidence(part: DataFrame, near: DataFrame) -> DataFrame:
     other = part.select(F.col("t").alias("j"), "dim", F.col("v").alias("u"))
     own = part.withColumnRenamed("t", "i")
     sides = near.select("i", "j").join(other, "j").join(own, ["i", "dim"]).groupBy("i", "dim").agg(F.avg((F.col("u") > F.col("v")).cast("double")).alias("pos"))
@@ -322,6 +342,9 @@ QUERIES = {
     "resonance_code": code_query,
     "resonance_choice": choice_query,
     "boundary_confidence": confidence_query,
+    "knn_graph_whole": all_neighbors_query,
+    "calibration_radius_reference": reference_radius_query,
+    "boundary_confidence_whole": all_confidence_query,
 }
 
 ORACLE_SQL = {
