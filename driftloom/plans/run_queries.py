@@ -17,6 +17,7 @@ from . import runner
 
 PARAMS = {"projection_dim": 32, "window_size": 256, "microcluster_radius": 1.5}
 CHUNK = 100
+BATCH = 50_000  # rows of a micro-batch, about
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,24 +87,38 @@ def method_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def controlled_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generated stream: rows and mean energy by phase and class."""
-    s = read_controlled(spark, rows=900, width=32, slices=3)
+    s = read_controlled(spark, slices=3)
     energy = F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v)
-    return s.groupBy(F.floor(F.col("t") / 300).cast("int").alias("phase"), "label").agg(F.count("*").alias("n"), F.avg(energy).alias("energy"))
+    return s.groupBy(F.floor(F.col("t") / 3000).cast("int").alias("phase"), "label").agg(F.count("*").alias("n"), F.avg(energy).alias("energy"))
 
 
-def streamed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector table as a file stream through the stateful operator, drained into a table of the checkpoint folder."""
+def write_in_order(rows: DataFrame, folder: str, n: int) -> None:
+    """Rows (t, ...) as about n files in order of t, written one after another: a stream takes files by the time they were written."""
+    cuts = rows.agg(F.percentile_approx("t", [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"]
+    edges = [None, *sorted(set(cuts or [])), None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.where(F.col("t") > low)
+        part = part if high is None else part.where(F.col("t") <= high)
+        part.repartition(1).sortWithinPartitions("t").write.mode("append").parquet(folder)
+
+
+def streamed_trace(spark: SparkSession, sf_dir: str, batch: int = BATCH) -> DataFrame:
+    """The whole vector table as a file stream through the stateful operator, drained into a table of the checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         import tempfile
 
         named = tempfile.mkdtemp(prefix="driftloom-stream-")
     base = f"{named}/stream-{uuid.uuid4().hex}"
-    rows = tables.embeddings(spark, sf_dir).where(F.col("t") < 400).select(F.lit("study").alias("run"), "t", "features")
-    rows.repartition(1).sortWithinPartitions("t").write.parquet(f"{base}/in")
+    rows = tables.embeddings(spark, sf_dir).where(F.col("t").isNotNull()).select(F.lit("study").alias("run"), "t", "features")
+    total = rows.select("t").distinct().count()
+    write_in_order(rows, f"{base}/in", max(4, -(-total // batch)))
     config = {"study": {"original_dim": 64, "projection_dim": 64, "projection_mode": "identity", "window_size": 256, "seed": 7}}
     drain(learn_stream(stream_files(spark, f"{base}/in", "run string, t long, features array<double>"), config), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    trace = spark.read.parquet(f"{base}/out")
+    if (learned := trace.count()) != total:
+        raise RuntimeError(f"{learned} of {total} rows were learned: files came out of order")
+    return trace
 
 
 QUERIES = {
