@@ -98,6 +98,12 @@ def outlier_limit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ages.select(F.col("event_id").alias("age"), p.alias("period"), r6(traces.outlier_limit(0.01, p, F.col("event_id"))).alias("limit"))
 
 
+def outlier_limit_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """outlier_limit of every event."""
+    ages, p = tables.table(spark, sf_dir, "events").select("event_id"), traces.prune_period(0.01, 1.2)
+    return ages.select(F.col("event_id").alias("age"), p.alias("period"), r6(traces.outlier_limit(0.01, p, F.col("event_id"))).alias("limit"))
+
+
 def eviction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are users: the least useful of each run."""
     e = tables.table(spark, sf_dir, "events")
@@ -260,6 +266,7 @@ QUERIES = {
     "decimated_trace": decimate_query,
     "faded_weights": fading_query,
     "outlier_limit": outlier_limit_query,
+    "outlier_limit_whole": outlier_limit_whole_query,
     "utility_eviction": eviction_query,
     "promotion_weight": promotion_query,
     "seed_summary": seed_summary_query,
@@ -348,3 +355,6 @@ WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1
 l AS (SELECT k FROM c EXCEPT ALL SELECT k FROM o), p AS (SELECT k FROM o EXCEPT ALL SELECT k FROM c)
 SELECT 'missing' AS kind, k FROM l UNION ALL SELECT 'unlisted', k FROM p UNION ALL SELECT 'mark', k FROM (SELECT k FROM l WHERE k % 25 = 1 UNION SELECT k FROM p)""",
 }
+
+# The same without the limit of rows.
+ORACLE_SQL["outlier_limit_whole"] = ORACLE_SQL["outlier_limit"].replace(" WHERE event_id < 500", "")

@@ -114,6 +114,12 @@ def feature_subset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.melt(part).select("t", "dim", r6("v").alias("v"))
 
 
+def feature_subset_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_subset_prefix of every row; the slice of dimensions is the operator."""
+    part = tables.embeddings(spark, sf_dir).select("t", F.slice("features", 1, 8).alias("features"))
+    return vectors.melt(part).select("t", "dim", r6("v").alias("v"))
+
+
 def lineitem_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.lineitems(spark, sf_dir).groupBy("label", F.floor(F.col("t") / 1000).cast("long").alias("chunk")).agg(
         F.count("*").alias("n"), r6(F.avg(F.element_at("features", 1))).alias("quantity"), r6(F.avg(F.element_at("features", 2))).alias("price")
@@ -272,6 +278,19 @@ def choice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.resonance_choice(coded, protos, 0.8)
 
 
+def code_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resonance_code of every row and dimension."""
+    coded = tables.embeddings(spark, sf_dir).select("t", F.posexplode(vectors.resonance_code(F.col("features"))).alias("place", "x"))
+    return coded.select("t", "place", r6("x").alias("x"))
+
+
+def choice_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resonance_choice by all dimensions."""
+    coded = tables.embeddings(spark, sf_dir).select("t", vectors.resonance_code(F.col("features")).alias("code"))
+    protos = coded.where(F.col("t") < 12).select(F.col("t").alias("category"), F.col("code").alias("proto"))
+    return vectors.resonance_choice(coded, protos, 0.8)
+
+
 CODE_SQL = """
 WITH x AS (SELECT vec_id AS t, list_transform(embedding[1:8], lambda v: least(1.0, greatest(0.0, v::DOUBLE))) AS x FROM embeddings),
 s AS (SELECT t, list_concat(x, list_transform(x, lambda v: pow(v, 0.5))) AS s FROM x),
@@ -342,6 +361,9 @@ QUERIES = {
     "resonance_code": code_query,
     "resonance_choice": choice_query,
     "boundary_confidence": confidence_query,
+    "feature_subset_whole": feature_subset_whole_query,
+    "resonance_code_whole": code_whole_query,
+    "resonance_choice_whole": choice_whole_query,
     "knn_graph_whole": all_neighbors_query,
     "calibration_radius_reference": reference_radius_query,
     "boundary_confidence_whole": all_confidence_query,
@@ -400,3 +422,11 @@ c AS (SELECT t, category, round(match / (0.001 + size), 9) AS value, round(match
 SELECT t, arg_max(category, (value, category)) FILTER (fits) AS category FROM c GROUP BY t""",
     "boundary_confidence": CONFIDENCE_SQL,
 }
+
+# The same without the limits of rows and width.
+CODE_WHOLE_SQL = CODE_SQL.replace("embedding[1:8]", "embedding")
+ORACLE_SQL |= {
+    "feature_subset_whole": f"WITH {CELLS} SELECT t, dim, round(v, 6) + 0.0 AS v FROM cells WHERE dim < 8",
+    "resonance_code_whole": CODE_WHOLE_SQL + " SELECT t, unnest(range(0, len(code)))::INT AS place, round(unnest(code), 6) + 0.0 AS x FROM k",
+    "resonance_choice_whole": ORACLE_SQL["resonance_choice"].replace(CODE_SQL, CODE_WHOLE_SQL),
+}

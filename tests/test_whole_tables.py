@@ -61,3 +61,9 @@ def test_confidence_of_every_row(spark, sf_dir, points):
         want[i] = min(1.0, max(0.05, 1 - (skew + sparse / 2 + change / 2) / 3))
     got = {r["i"]: r["confidence"] for r in registry.QUERIES["boundary_confidence_whole"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in got)
+
+
+@pytest.mark.parametrize("name,width", [("feature_subset_whole", 8), ("resonance_code_whole", 256), ("resonance_choice_whole", 1), ("outlier_limit_whole", 1)])
+def test_every_row_is_there(spark, sf_dir, name, width):
+    rows = pq.read_metadata(f"{sf_dir}/{'events' if name.startswith('outlier') else 'embeddings'}.parquet").num_rows
+    assert registry.QUERIES[name](spark, sf_dir).count() == rows * width
