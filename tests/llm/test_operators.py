@@ -214,16 +214,42 @@ def test_quality_rules_counts(odd_docs, docs, no_docs):
 # search
 
 
+def brute_topk(rows, k, every=20):
+    """(query, rank, id, score) in Python integers; scores saturate."""
+    z = [(i, [int(np.floor(64.0 * x)) if abs(x) < 2**52 else 64 * int(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, q in z:
+        if i % every == 0:
+            s = [(min(max(sum(a * b for a, b in zip(q, p)), -(2**63)), 2**63 - 1), j) for j, p in z if j != i and len(p) == len(q)]
+            out += [(i, n + 1, j, t) for n, (t, j) in enumerate(sorted(s, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
+ODD_VECTORS = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (40, [1e300, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (9, [1.0, 0.0, 0.0])]
+
+
 def test_topk_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (40, [1e300, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (9, [1.0, 0.0, 0.0])]
-    v = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, rank int")
-    v = v.where("vec_id is null or vec_id <> 40")
+    v = spark.createDataFrame([(i, x, 1) for i, x in ODD_VECTORS], "vec_id long, embedding array<double>, rank int")
     for shard in (3, 100):
         out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, 3, shard_rows=shard).collect())
-        assert out == [(0, 1, 7, 2048), (0, 2, 8, 2048), (0, 3, 8, 2048), (20, 1, 0, 2048), (20, 2, 7, 2048), (20, 3, 8, 2048)]
+        assert out == brute_topk(ODD_VECTORS, 3)
+        assert [x for x in out if x[0] == 20] == [(20, 1, 40, 2**63 - 1), (20, 2, 0, 2048), (20, 3, 7, 2048)]
     assert topk.top_k(v.limit(0)).count() == 0
 
 
+def test_topk_with_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(160, 4))
+    x[::7] *= 10.0 ** rng.integers(-300, 300, size=(len(x[::7]), 1))
+    x[::20] *= 10.0 ** rng.integers(0, 12, size=(8, 1))
+    x[3], x[60], x[80], x[100] = 1e9, 1e9, 1e308, -1e308
+    x[120, 0], x[5] = 1e300, [1e308, 1.0, -1e308, 5e-324]
+    rows = [(i, a.tolist()) for i, a in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (40, 1000):
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, 12, shard_rows=shard).collect()) == brute_topk(rows, 12)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).round(1)
