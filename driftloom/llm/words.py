@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
@@ -37,10 +37,12 @@ def word_array(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is named, a temporary one (local tests)."""
+    """Use the cluster's spark.checkpoint.dir.  Only a local session that names none gets a temporary folder; others raise."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftloom-checkpoint-"))
 
 
@@ -50,6 +52,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running_number(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with the number, from 0, of each among the rows equal in keys (null equals null).
+
+    The rows are written once.  Numbers are counted within each written partition and moved on by the
+    counts of the partitions before it, so no task sees a whole group.  Which of the rows that are
+    equal in all columns has which number depends on how they lie, the set of numbers doesn't.
+    """
+    held = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_at", 33)))
+    counts = held.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_start", before).withColumn("_all", F.sum("_n").over(group)).where(F.col("_all") > 1)
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), "_start")
+    same = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy("_at")) - 1
+    many = held.join(starts, same).withColumn(name, (F.col("_start") + inside).cast("long"))
+    single = held.join(starts, same, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    return single.select(*rows.columns, name).union(many.select(*rows.columns, name))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores put before it until no column is called so (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers are reused, and what one operator held would stay with the next."""
     pa.default_memory_pool().release_unused()
