@@ -6,21 +6,24 @@ frequent in toxic than in clean training texts, counted over clusters of near co
 text is labelled toxic.
 The field has two states and log-linear weights: the word, its beginnings and end (hashed
 slots), the word before, the word after, a bias and a transition table.  It is trained by
-gradient ascent (AdaGrad) on the conditional likelihood of the labelled tokens.
+gradient ascent (AdaGrad) on the conditional likelihood of the labelled tokens; a text is one chain,
+and the gradient is that of the exact word and pair marginals.
 
-Scoring cuts a text into chains of ``CHAIN`` words, runs forward-backward over all chains of a
-slice at once (vectors over chains, one step for each position) and has a marginal for each
-word.  A document's score is a logistic function of its largest marginal and of the logarithm
-of its expected number of toxic words; its offending spans are the runs of words with a
-marginal of 1/2 or more, as code point offsets [start, end).
+Forward-backward runs over whole texts: each is cut into pieces of ``PIECE`` words, all pieces
+of a slice are stepped through at once, and what enters a piece from the left and from the right
+is found first, from the products of the pieces' transfer matrices.  So every transition counts, and
+a text of any length takes PIECE + words / PIECE steps.  A document's score is a logistic function of
+its largest marginal and of the logarithm of its expected number of toxic words; its offending
+spans are the runs of words with a marginal of 1/2 or more, as code point offsets [start, end).
 
 The sample is bounded by ``MAX_ROWS`` rows and ``MAX_BYTES`` bytes of labelled texts outside
-the held-out fold.
+the held-out fold; all of its words are learned from.
 
 Cases: null and empty texts have no words and get the score of no evidence; without labelled
 rows, or without toxic ones, scores are 0; null and repeated ids are scored row by row;
 labels that repeat for an id count once (the larger); empty tables give no rows; other
-columns pass through `score`.
+columns pass through `score`, whose own columns get underscores put before them where an
+input column is called so.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .training import bounded_sample
-from .words import HashMemo, chunks, crc32_mod, documents, give_back, scramble, texts_of, window_hashes
+from .words import HashMemo, chunks, crc32_mod, documents, give_back, scramble, texts_of, unused, window_hashes
 
 BITS = 18
-CHAIN = 64
+PIECE = 64
 MAX_ROWS, MAX_BYTES = 3000, 12 << 20
 HELD_OUT = (5, 0)
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -72,21 +74,85 @@ class Field:
         self.bias, self.move = 0.0, np.zeros((2, 2))
         self.document = np.zeros(3)
 
-    def marginals(self, e: np.ndarray) -> np.ndarray:
-        """P(state 1) for each cell of e: (chains, positions) of log odds; chains shorter than that end in -inf cells."""
-        x, m = np.exp(np.clip(e, -30, 30)), np.exp(self.move)
-        n = e.shape[1]
-        f, b = np.empty_like(x), np.ones_like(x)
-        f[:, 0] = x[:, 0]
-        for t in range(1, n):
-            p = f[:, t - 1]
-            f[:, t] = (m[0, 1] + m[1, 1] * p) / (m[0, 0] + m[1, 0] * p) * x[:, t]
-        for t in range(n - 2, -1, -1):
-            p = b[:, t + 1] * x[:, t + 1]
-            b[:, t] = (m[1, 0] + m[1, 1] * p) / (m[0, 0] + m[0, 1] * p)
-        odds = np.minimum(f * b, 1e30)
+
+class Messages:
+    """Forward and backward messages of chains, as odds of state 1 for each word, and what follows from them.
+
+    e: log odds of each word by its own; doc: the chain of each word, ascending.
+    """
+
+    def __init__(self, e: np.ndarray, doc: np.ndarray, move: np.ndarray, piece: int = PIECE) -> None:
+        self.x = np.exp(np.clip(e.astype(np.float64), -30, 30))
+        self.m = np.exp(move)
+        n = len(e)
+        self.first = np.ones(n, bool)
+        self.first[1:] = doc[1:] != doc[:-1]
+        start = np.flatnonzero(self.first)
+        chain = np.cumsum(self.first) - 1
+        at = np.arange(n) - start[chain] if n else np.empty(0, np.int64)
+        size = np.bincount(chain, minlength=len(start))
+        many = -(-size // piece)  # pieces of each chain
+        base = np.cumsum(many) - many
+        self.row, self.col = base[chain] + at // piece, at % piece
+        rows = int(many.sum())
+        table = np.ones((piece, rows))
+        table[self.col, self.row] = self.x
+        self.length = np.bincount(self.row, minlength=rows)
+        left, right = self._between(table, base, many)
+        f, b = self._inside(table, left, right)
+        self.f, self.b = f[self.col, self.row], b[self.col, self.row]
+
+    def _between(self, x: np.ndarray, base: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece: the odds predicted for its first word by all words before, and those that all words after it send to its last."""
+        rows, m = x.shape[1], self.m
+        left, right = np.ones(rows), np.ones(rows)
+        if not (many > 1).any():
+            return left, right
+        # Transfer matrix of a piece: D(0) M D(1) M ... D(last), scaled to a largest entry of 1.
+        t00, t01, t10, t11 = np.ones(rows), np.zeros(rows), np.zeros(rows), x[0].copy()
+        for k in range(1, x.shape[0]):
+            on = self.length > k
+            a00, a01 = t00 * m[0, 0] + t01 * m[1, 0], (t00 * m[0, 1] + t01 * m[1, 1]) * x[k]
+            a10, a11 = t10 * m[0, 0] + t11 * m[1, 0], (t10 * m[0, 1] + t11 * m[1, 1]) * x[k]
+            scale = np.where(on, 1.0 / np.maximum(np.maximum(a00, a01), np.maximum(a10, a11)), 1.0)
+            t00, t01, t10, t11 = (np.where(on, a * scale, t) for a, t in ((a00, t00), (a01, t01), (a10, t10), (a11, t11)))
+        for k in range(1, int(many.max())):
+            to = base[many > k] + k
+            p = to - 1
+            v0, v1 = t00[p] + left[p] * t10[p], t01[p] + left[p] * t11[p]
+            left[to] = (v0 * m[0, 1] + v1 * m[1, 1]) / (v0 * m[0, 0] + v1 * m[1, 0])
+        for k in range(int(many.max()) - 2, -1, -1):
+            to = base[many > k + 1] + k
+            p = to + 1
+            w0, w1 = t00[p] + t01[p] * right[p], t10[p] + t11[p] * right[p]
+            right[to] = (m[1, 0] * w0 + m[1, 1] * w1) / (m[0, 0] * w0 + m[0, 1] * w1)
+        return left, right
+
+    def _inside(self, x: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, steps = self.m, x.shape[0]
+        f, b = np.empty_like(x), np.empty_like(x)
+        f[0] = left * x[0]
+        for k in range(1, steps):
+            p = f[k - 1]
+            f[k] = (m[0, 1] + m[1, 1] * p) / (m[0, 0] + m[1, 0] * p) * x[k]
+        b[-1] = right
+        for k in range(steps - 2, -1, -1):
+            p = b[k + 1] * x[k + 1]
+            b[k] = np.where(self.length > k + 1, (m[1, 0] + m[1, 1] * p) / (m[0, 0] + m[0, 1] * p), right)
+        return f, b
+
+    def marginals(self) -> np.ndarray:
+        """P(state 1) of each word."""
+        odds = np.minimum(self.f * self.b, 1e30)
         return odds / (1 + odds)
 
+    def pairs(self) -> np.ndarray:
+        """Expected transitions between neighbors of a chain, by (state, state): sums of exact pair marginals."""
+        inner = np.flatnonzero(~self.first) - 1
+        f, xb = self.f[inner], self.x[inner + 1] * self.b[inner + 1]
+        w = np.stack([np.full(len(f), self.m[0, 0]), self.m[0, 1] * xb, f * self.m[1, 0], f * self.m[1, 1] * xb], 1)
+        return (w / w.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+
 
 class Emissions(HashMemo):
     """word -> index into its own score and what it adds to the word after and the word before."""
@@ -123,21 +189,6 @@ class Emissions(HashMemo):
         return e, doc
 
 
-def word_marginals(field: Field, e: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Marginals of the words of n texts, whose chains are CHAIN words long at most."""
-    if not len(e):
-        return np.zeros(0)
-    sizes = np.bincount(doc, minlength=n)
-    first = np.cumsum(sizes) - sizes
-    chains = -(-sizes // CHAIN)
-    base = np.cumsum(chains) - chains
-    at = np.arange(len(e)) - first[doc]
-    row, col = base[doc] + at // CHAIN, at % CHAIN
-    table = np.full((int(chains.sum()), CHAIN), -30.0, np.float32)
-    table[row, col] = e
-    return field.marginals(table)[row, col]
-
-
 def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """(largest marginal, log of 1 + expected toxic words) of n texts."""
     top = np.zeros(n)
@@ -145,104 +196,110 @@ def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([top, np.log1p(np.bincount(doc, weights=np.where(p > 0.01, p, 0), minlength=n))], 1)
 
 
-def toxic_words(texts: list[bytes], y: np.ndarray, ratio: float = 10.0, evidence: float = 22.0) -> set[bytes]:
-    """Words, and beginnings of words, far more frequent in toxic than in clean texts; near copies count as one text."""
-    memo, number = HashMemo(), {}
-    units, groups = array("q"), array("q")
-    clusters: dict[tuple, int] = {}
-    for text, label in zip(texts, y):
-        words = text.split()
-        h = memo.hashes(words)
+class Sample:
+    """Training texts as numbers of their different words, with the words' hashed slots and units of evidence."""
+
+    def __init__(self, texts: list[bytes], bits: int) -> None:
+        number: dict[bytes, int] = {}
+        ids, sizes = array("i"), []
+        for text in texts:
+            words = text.split()
+            sizes.append(len(words))
+            ids.extend([number.setdefault(w, len(number)) for w in words])
+        self.sizes = np.array(sizes, np.int64)
+        self.word = np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        self.slots = np.array([slots(w, bits) for w in number], np.int32).reshape(-1, 5)
+        unit: dict[bytes, int] = {}
+        self.units = np.full((len(number), 4), -1, np.int32)  # a word and its beginnings
+        for w, i in number.items():
+            for k, z in enumerate(stems(normal(w))):
+                if z:
+                    self.units[i, k] = unit.setdefault(z, len(unit))
+        self.unit_names = list(unit)
+        memo = HashMemo()
+        self.hashes = memo.hashes(list(number))
+        self.start = np.cumsum(self.sizes) - self.sizes
+
+    def words_of(self, i: int) -> np.ndarray:
+        return self.word[self.start[i] : self.start[i] + self.sizes[i]]
+
+    def cluster_key(self, i: int) -> int:
+        """Equal for most near copies: the least hash of the text's word triples."""
+        h = self.hashes[self.words_of(i)]
         grams = window_hashes(h, 3, 17) if len(h) >= 3 else h
-        key = (int(label), int(scramble(grams, 1).min()) if len(grams) else 0)
-        cluster = clusters.setdefault(key, len(clusters))
-        for w in {z for x in {normal(x) for x in set(words)} for z in stems(x)}:
-            units.append(number.setdefault(w, len(number)))
-            groups.append(cluster)
-    toxic = np.array([k[0] for k in clusters], bool)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    pairs = np.unique(np.frombuffer(units, np.int64) * len(clusters) + np.frombuffer(groups, np.int64)) if units else np.empty(0, np.int64)
-    unit, on = pairs // max(len(clusters), 1), toxic[pairs % max(len(clusters), 1)] if len(pairs) else np.empty(0, bool)
-    a, b = (np.bincount(unit[x], minlength=len(number)) for x in (on, ~on))
+        return int(scramble(grams, 1).min()) if len(grams) else 0
+
+
+def toxic_units(sample: Sample, y: np.ndarray, ratio: float = 10.0, evidence: float = 22.0) -> np.ndarray:
+    """Which units (words, beginnings of words) are far more frequent in toxic than in clean texts; near copies count as one text."""
+    clusters: dict[tuple[int, int], list[int]] = {}
+    for i, label in enumerate(y):
+        clusters.setdefault((int(label), sample.cluster_key(i)), []).append(i)
+    counts = np.zeros((2, len(sample.unit_names)), np.int64)
+    for (label, _), members in clusters.items():
+        found = np.unique(sample.units[np.unique(np.concatenate([sample.words_of(i) for i in members]))])
+        counts[label, found[found >= 0]] += 1
+    n1 = sum(label for label, _ in clusters)
+    n0 = len(clusters) - n1
+    b, a = counts
     share = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
     # Log-likelihood ratio of the split between the classes: tens of thousands of words are tested.
     p, q = a / np.maximum(a + b, 1), n1 / max(n1 + n0, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(a > 0, a * np.log(p / q), 0.0) + np.where(b > 0, b * np.log((1 - p) / (1 - q)), 0.0))
-    keep = (share >= ratio) & (g >= evidence) & (p > q)
-    return {w for w, i in number.items() if w and keep[i]}
+    return (share >= ratio) & (g >= evidence) & (p > q)
+
 
+def emissions(field: Field, word: np.ndarray, doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Log odds of each word; slot: the slots of each different word."""
+    e = field.own[slot].sum(1)[word] + np.float32(field.bias)
+    same = doc[1:] == doc[:-1]
+    e[1:] += np.where(same, field.before[slot[:, 0]][word[:-1]], 0)
+    e[:-1] += np.where(same, field.after[slot[:, 0]][word[1:]], 0)
+    return e
 
-def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, rate: float = 0.5, l2: float = 1e-4, clean_per_toxic: int = 4) -> Field | None:
+
+def gradient(field: Field, word: np.ndarray, doc: np.ndarray, slot: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the log likelihood of the states gold, by the name of each weight."""
+    size, n = 1 << field.bits, len(slot)
+    messages = Messages(emissions(field, word, doc, slot), doc, field.move)
+    d = gold - messages.marginals()
+    by_word = np.bincount(word, weights=d, minlength=n)
+    own = np.bincount(slot.ravel(), weights=np.repeat(by_word, slot.shape[1]), minlength=size)
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    before = np.bincount(slot[:, 0], weights=np.bincount(word[inner], weights=d[inner + 1], minlength=n), minlength=size)
+    after = np.bincount(slot[:, 0], weights=np.bincount(word[inner + 1], weights=d[inner], minlength=n), minlength=size)
+    seen = np.bincount((2 * gold[inner] + gold[inner + 1]).astype(np.int64), minlength=4).reshape(2, 2)
+    return {"own": own, "before": before, "after": after, "bias": d.sum(), "move": seen - messages.pairs()}
+
+
+def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Field | None:
     """The trained field; None without both classes or without a telling word."""
-    texts = [t for t, _ in rows]
     y = np.array([int(label) for _, label in rows], np.int64)
     if not len(y) or not y.any() or y.all():
         return None
-    telling = toxic_words(texts, y)
-    if not telling:
+    sample = Sample([t for t, _ in rows], bits)
+    telling = toxic_units(sample, y)
+    if not telling.any():
         return None
-    pieces, golds, spare = [], [], []
-    for i, (text, label) in enumerate(zip(texts, y)):
-        words = text.split()
-        for a in range(0, len(words), CHAIN):
-            gold = [int(label and any(z in telling for z in stems(normal(w)))) for w in words[a : a + CHAIN]] if label else [0]
-            if any(gold):
-                pieces.append(words[a : a + CHAIN])
-                golds.append(gold)
-            else:
-                spare.append((i, a))
-    step = max(1, len(spare) // max(1, clean_per_toxic * len(pieces)))
-    for i, a in spare[::step]:
-        piece = texts[i].split()[a : a + CHAIN]
-        pieces.append(piece)
-        golds.append([0] * len(piece))
-    n, size = len(pieces), 1 << bits
-    lengths = np.array([len(p) for p in pieces])
-    row = np.repeat(np.arange(n), lengths)
-    col = np.concatenate([np.arange(k) for k in lengths])
-    known: dict[bytes, tuple[int, ...]] = {}
-    s = np.array([known.get(w) or known.setdefault(w, slots(w, bits)) for p in pieces for w in p], np.int64)
-    gold = np.concatenate([np.array(g, np.float64) for g in golds])
-    inner = np.flatnonzero(row[1:] == row[:-1])
-    field, g2 = Field(bits), defaultdict(float)
+    hot = (telling[np.maximum(sample.units, 0)] & (sample.units >= 0)).any(1)
+    gold = (hot[sample.word] & (y[sample.doc] == 1)).astype(np.float64)
+    field = Field(bits)
     field.bias = -3.0
-
-    def climb(name: str, value, gradient):
-        g2[name] = g2[name] + gradient * gradient
-        return value + rate * gradient / np.sqrt(g2[name] + 1e-8)
-
-    table = np.full((n, CHAIN), -30.0)
+    squares: dict[str, np.ndarray] = {}
     for _ in range(rounds):
-        e = field.own[s].sum(1) + field.bias
-        e[inner + 1] += field.before[s[inner, 0]]
-        e[inner] += field.after[s[inner + 1, 0]]
-        table[row, col] = e
-        p = field.marginals(table)[row, col]
-        d = gold - p
-        own = sum(np.bincount(s[:, k], weights=d, minlength=size) for k in range(s.shape[1]))
-        before = np.bincount(s[inner, 0], weights=d[inner + 1], minlength=size)
-        after = np.bincount(s[inner + 1, 0], weights=d[inner], minlength=size)
-        # Transitions: observed minus expected pairs; the pair marginal from the two word marginals and the table.
-        pair = np.zeros((2, 2))
-        a, b = p[inner], p[inner + 1]
-        w = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b], 1) * np.exp(field.move.ravel())
-        w /= w.sum(1, keepdims=True)
-        np.add.at(pair.ravel(), (2 * gold[inner] + gold[inner + 1]).astype(int), 1.0)
-        pair -= w.sum(0).reshape(2, 2)
-        field.own = climb("own", field.own, own - l2 * field.own).astype(np.float32)
-        field.before = climb("before", field.before, before - l2 * field.before).astype(np.float32)
-        field.after = climb("after", field.after, after - l2 * field.after).astype(np.float32)
-        field.bias = float(climb("bias", field.bias, d.sum()))
-        field.move = np.clip(climb("move", field.move, pair), -4, 4)
+        for name, g in gradient(field, sample.word, sample.doc, sample.slots, gold).items():
+            was = getattr(field, name)
+            g = g - l2 * was if name in ("own", "before", "after") else g
+            squares[name] = squares.get(name, 0.0) + g * g
+            step = was + rate * g / np.sqrt(squares[name] + 1e-8)
+            setattr(field, name, step.astype(np.float32) if name in ("own", "before", "after") else step)
+        field.bias, field.move = float(field.bias), np.clip(field.move, -4, 4)
         field.move -= field.move[0, 0]
-    emit = Emissions(field)
-    x = np.zeros((len(texts), 2))
-    for a in range(0, len(texts), 256):
-        split = [t.split() for t in texts[a : a + 256]]
-        e, doc = emit.of(split)
-        x[a : a + 256] = evidence(word_marginals(field, e, doc, len(split)), doc, len(split))
-    x1, w = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
+    p = Messages(emissions(field, sample.word, sample.doc, sample.slots), sample.doc, field.move).marginals()
+    x1 = np.column_stack([np.ones(len(y)), evidence(p, sample.doc, len(y))])
+    w = np.zeros(3)
     for _ in range(25):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         w += np.linalg.solve((x1 * (q * (1 - q))[:, None]).T @ x1 + 0.05 * np.eye(3), x1.T @ (y - q) - 0.05 * w)
@@ -271,9 +328,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """docs with _score (double), _toxic_words (int) and _spans added; every whole text is read."""
+    """docs with _score (double), _toxic_words (int) and _spans added at the end; every whole text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 3 * 2**BITS floats, whatever the tables' size
-    more = [T.StructField("_score", T.DoubleType()), T.StructField("_toxic_words", T.IntegerType()), T.StructField("_spans", SPAN)]
+    names = unused(docs.columns, "_score", "_toxic_words", "_spans")
+    more = [T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.IntegerType(), SPAN))]
     schema = T.StructType([*docs.schema.fields, *more])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -286,7 +344,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
             if field:
                 texts = texts_of(part.column("text"))
                 e, doc = emit.of([t.split() for t in texts])
-                q = word_marginals(field, e, doc, n)
+                q = Messages(e, doc, field.move).marginals()
                 x = evidence(q, doc, n)
                 p = 1 / (1 + np.exp(-np.clip(field.document[0] + x @ field.document[1:], -35, 35)))
                 hot = np.flatnonzero(q >= 0.5)
@@ -305,6 +363,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     field = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = crc32_mod(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
-    return score(docs, field).select(
+    return score(docs, field).select(  # docs has no other columns, so the names stand
         "doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_spans").alias("spans")
     )

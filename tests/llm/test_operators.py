@@ -96,6 +96,41 @@ def test_mixing_targets_and_takes(spark, odd_docs, no_docs, docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_inclusion_frequencies_are_the_expected_copies(spark):
+    """Sixty sources of the same 200 sizes: how often a size is taken is what its measure expects."""
+    rng = random.Random(5)
+    sizes = [rng.choice([1, 2, 3, 6, 12, 30, 60, 120]) for _ in range(200)]
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"s{s:03d}") for s in range(60) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(frame, total_share=0.8, weights=(1,)).collect()
+    # The expected copies by bisection: min(2, c * digits) whose words are 0.8 of all words.
+    low, high = 0.0, 9.0
+    for _ in range(99):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * min(2, c * n.bit_length()) for n in sizes) < 0.8 * sum(sizes) else (low, c)
+    copies = defaultdict(list)
+    for r in out:
+        copies[r["size"]].append(r["copies"])
+    for n, got in copies.items():
+        e = min(2, c * n.bit_length())
+        assert set(got) <= {int(e), int(e) + 1, min(2, int(e) + 2)}
+        assert abs(sum(got) / len(got) - e) < 0.05
+    assert sum(copies[120]) / len(copies[120]) > 2 * sum(copies[2]) / len(copies[2])
+
+
+def test_mixing_splits_a_large_group_of_equal_rows(spark):
+    rows = [(7, "five words are in here", "a")] * 1000 + [(8 + i, "w " * (i % 9 + 1), "a") for i in range(100)] + [(None, "x y", None)] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for share in (0.3, 0.9, 1.5):
+        out = mixing.mix(frame, total_share=share).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, len(words(t))) for i, t, _ in rows)
+        for source, largest in (("a", 9), (None, 2)):
+            of = [r for r in out if r["source"] == source]
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= largest / 2
+        wide = mixing.mix(frame, total_share=share, keep=("text",)).collect()
+        assert Counter((r["doc_id"], r["copies"]) for r in wide) == Counter((r["doc_id"], r["copies"]) for r in out)
+
+
 def test_mixing_keeps_columns_and_agrees_with_the_narrow_form(docs):
     narrow = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     wide = mixing.mix(docs, keep=("text", "lang")).collect()
@@ -121,16 +156,64 @@ def test_toxicity_on_held_out_rows(spark):
     assert spans and all(s == s.strip() for s in spans)
 
 
-def test_field_marginals_against_enumeration():
-    field = toxicity.Field()
-    field.move = np.array([[0.0, -1.0], [-0.5, 1.5]])
-    e = np.array([[0.3, -1.0, 2.0, 0.1, -0.4]])
-    total, on = 0.0, np.zeros(5)
-    for bits in range(32):
-        y = [bits >> i & 1 for i in range(5)]
-        p = np.exp(sum(e[0, i] * y[i] for i in range(5)) + sum(field.move[y[i], y[i + 1]] for i in range(4)))
+def enumerated(e, move):
+    """(log of the sum over all state sequences, marginals, expected pairs) of one chain."""
+    n = len(e)
+    total, on, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+    for bits in range(1 << n):
+        y = [bits >> i & 1 for i in range(n)]
+        p = np.exp(sum(e[i] * y[i] for i in range(n)) + sum(move[y[i], y[i + 1]] for i in range(n - 1)))
         total, on = total + p, on + p * np.array(y)
-    assert np.allclose(field.marginals(e)[0], on / total)
+        for i in range(n - 1):
+            pairs[y[i], y[i + 1]] += p
+    return np.log(total), on / total, pairs / total
+
+
+def test_messages_against_enumeration():
+    move, rng = np.array([[0.0, -1.0], [-0.5, 1.5]]), np.random.default_rng(3)
+    sizes = [5, 1, 9, 2, 12, 4]
+    e, doc = rng.normal(0, 2, sum(sizes)), np.repeat([0, 2, 3, 5, 6, 9], sizes)
+    want = [enumerated(x, move) for x in np.split(e, np.cumsum(sizes)[:-1])]
+    for piece in (1, 2, 4, 64):  # chains are whole, however they are cut into pieces
+        got = toxicity.Messages(e, doc, move, piece)
+        assert np.allclose(got.marginals(), np.concatenate([w[1] for w in want]))
+        assert np.allclose(got.pairs(), sum(w[2] for w in want))
+    assert not len(toxicity.Messages(e[:0], doc[:0], move).marginals())
+    long = toxicity.Messages(np.tile(e, 500), np.zeros(500 * len(e), int), move, 7).marginals()
+    assert np.allclose(long, toxicity.Messages(np.tile(e, 500), np.zeros(500 * len(e), int), move, 100_000).marginals(), rtol=1e-9)
+
+
+def test_gradient_of_the_field_against_finite_differences():
+    rng, field = np.random.default_rng(8), toxicity.Field(4)
+    field.own, field.before, field.after = (rng.normal(0, 0.5, 16) for _ in range(3))
+    field.bias, field.move = -0.3, np.array([[0.0, -0.6], [0.4, 0.9]])
+    slot = rng.integers(0, 16, (6, 5))
+    doc = np.repeat([0, 1, 2], [7, 1, 5])
+    word, gold = rng.integers(0, 6, len(doc)), rng.integers(0, 2, len(doc)).astype(float)
+
+    def likelihood():
+        e, out = toxicity.emissions(field, word, doc, slot), 0.0
+        for d in range(3):
+            at = np.flatnonzero(doc == d)
+            y = gold[at].astype(int)
+            out += e[at] @ y + sum(field.move[a, b] for a, b in zip(y, y[1:])) - enumerated(e[at], field.move)[0]
+        return out
+
+    got = toxicity.gradient(field, word, doc, slot, gold)
+    for name in ("own", "before", "after", "move"):
+        values = getattr(field, name)
+        for i in np.ndindex(values.shape):
+            was, sides = values[i], []
+            for step in (1e-5, -1e-5):
+                values[i] = was + step
+                sides.append(likelihood())
+            values[i] = was
+            assert got[name][i] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-5)
+    was, sides = field.bias, []
+    for step in (1e-3, -1e-3):
+        field.bias = was + step
+        sides.append(likelihood())
+    assert got["bias"] == pytest.approx((sides[0] - sides[1]) / 2e-3, abs=1e-3)
 
 
 def test_trained_operators_on_odd_rows(spark, odd_docs, no_docs, docs, labels):
