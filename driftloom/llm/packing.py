@@ -7,8 +7,9 @@ one of its duplicate cluster.  Open bins are kept in order of their room and car
 (sources, clusters); the search starts at the first bin with room enough and goes on to its
 successors until a compatible one is found, else a bin is opened.  Nothing is dropped.
 
-Pieces are dealt to blocks by a hash of the row, ``block_rows`` on average, and each block is
-packed by one task; sources and clusters of any size are spread over all blocks.
+Pieces are dealt to blocks by a hash of the row and its running number among equal rows,
+``block_rows`` on average, and each block is packed by one task; sources and clusters of any
+size are spread over all blocks, and the result doesn't depend on how the table is partitioned.
 
 Cases: null source or null text conflict with nothing by source or cluster; empty and null
 texts are pieces of 0 words; repeated rows are packed each for itself (a repeated document is
@@ -24,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import count_words, documents
+from .words import count_words, documents, running_number
 
 CAPACITY = 2048
 BLOCK_ROWS = 4096
@@ -95,12 +96,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS
     """A row for each piece of each row of docs (doc_id, text, source); cluster: a column, else equal texts are a cluster."""
     same = F.col(cluster).cast("string") if cluster else F.when(F.length("text") > 0, F.md5(F.col("text").cast("binary")))
     rows = docs.select("doc_id", "source", same.alias("_cluster"), count_words(F.col("text")).alias("_n"), F.xxhash64("doc_id", "text").alias("_h"))
-    blocks = max(1, -(-docs.select("doc_id").count() // block_rows))
-    # Rows that repeat wholly would share a block; their running number doesn't matter, so deal them at random from a seed.
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h", F.pmod(F.monotonically_increasing_id(), F.lit(64))), F.lit(blocks)))
+    # Rows that repeat wholly would share a block; their running numbers deal them, the same however the table is partitioned.
+    rows = running_number(rows, ["doc_id", "source", "_cluster", "_h"], "_turn")
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h", "source", "_cluster", "_turn"), F.lit(blocks)))
 
     def run(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, sort_keys=[("_n", "descending"), ("doc_id", "ascending"), ("_h", "ascending")])
+        order = pa.compute.sort_indices(table, sort_keys=[("_n", "descending"), *[(c, "ascending") for c in ("doc_id", "_h", "source", "_cluster", "_turn")]])
         t = table.take(order).to_pydict()
         n = np.array(t["_n"], np.int64)
         full, last = n // capacity, n % capacity
