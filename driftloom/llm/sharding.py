@@ -9,22 +9,27 @@ differ by one at most), so shard counts are at most one apart: the law ``rows``.
 Only counts by ring cell, at most ``cells`` numbers, reach the driver.  The walk over
 them yields, for each cell, which ranks of its rows go to which shard and from which
 slot on; one shuffle of narrow rows by cell ranks the rows, and a broadcast of the
-plan (at most ``cells`` + points + shards rows) places them.
+plan (at most ``cells`` + points + shards rows) places them.  The narrow rows are written
+once, so texts are read once.
 
-Cases: null or repeated ids hash with the text's digest, so that copies of one id
-don't share a cell; null and empty texts have size 8; an empty table gives no rows;
-other columns of the input are ignored.
+A row's key is its id, the text's checksum and size, and a running number among rows equal in
+these, in sixteens: copies of one id and equal rows spread over the ring, and which shards
+a group of equal rows takes doesn't depend on how the table is partitioned.
+
+Cases: null ids are a value like others; null and empty texts have size 8 and the checksum 0; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .words import documents
+from .words import documents, running_number
 
 CELLS = 1 << 14
 
@@ -72,20 +77,19 @@ def bounded_walk(counts: dict[int, int], owners: list[int], n_shards: int) -> li
 
 def assign_shards(docs: DataFrame, n_shards: int = 24, vnodes: int = 64, cells: int = CELLS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    crc = F.crc32(body)
-    rows = docs.select(
-        F.col("doc_id"),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        crc.cast("long").alias("text_crc32"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null/"), crc.cast("string")))).alias("_pos"),
-    )
+    rows = docs.select(F.col("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
+    keys = ["doc_id", "text_crc32", "size"]
+    rows = running_number(rows, keys, "_turn")
+    rows = rows.withColumn("_pos", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size", F.shiftright("_turn", 4)))
     rows = rows.withColumn("_cell", F.pmod(F.shiftrightunsigned("_pos", 20), F.lit(cells)).cast("int"))
     counts = {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
     plan = bounded_walk(counts, ring_owners(n_shards, vnodes, cells), n_shards)
-    placed = spark.createDataFrame(plan, "p_cell int, p_from long, p_to long, p_shard int, p_slot long")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_pos", "doc_id", "text_crc32", "size")) - 1)
+    kind = "array<struct<p_cell:int,p_from:long,p_to:long,p_shard:int,p_slot:long>>"
+    names = ("p_cell", "p_from", "p_to", "p_shard", "p_slot")
+    text = json.dumps([dict(zip(names, p)) for p in plan])
+    placed = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_pos", *keys, "_turn")) - 1)
     near = (F.col("_cell") == F.col("p_cell")) & (F.col("_rank") >= F.col("p_from")) & (F.col("_rank") < F.col("p_to"))
     return ranked.join(F.broadcast(placed), near).select(
         "doc_id",
