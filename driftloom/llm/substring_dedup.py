@@ -17,17 +17,20 @@ texts is shared by three rounds, in which only digests travel:
 3.  Each block marks those and its own repeats, and drops the words they cover.
 
 No sketch is ever broadcast or held whole: a shard has about ``shard_windows`` windows at any
-size of input.  A window of a third of all documents sends one entry for each block.  Equality of
-windows is equality of 128-bit hashes (two independent combinations of 64-bit word hashes).
+size of input.  A window of a third of all documents sends one entry for each block; beyond
+``SPAN`` blocks those of each range of blocks meet first, and one entry for each range goes on.
+Equality of windows is equality of 128-bit hashes (two independent combinations of 64-bit word hashes).
 
 Cases: null and empty texts have no words and keep nothing (the digest of the empty text); texts
 shorter than a window lose nothing; rows without an id come last in order; rows that repeat an
 id are ordered by text, equal rows arbitrarily (the first keeps its words); an empty table gives
-no rows; further columns pass through `dedup`.
+no rows; further columns pass through `dedup`, whose own columns get underscores put before
+them where an input column is called so; all rows of one id are in one block.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -37,16 +40,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import HashMemo, documents, give_back, scramble, texts_of, window_hashes
+from .words import HashMemo, checkpointed, documents, give_back, scramble, texts_of, unused, window_hashes
 
 WIDTH = 20
 BLOCK_BYTES = 2 << 20
 SHARD_WINDOWS = 1 << 20
+SPAN = 4096  # blocks whose windows meet in one task
 DEPTH = 2
 COUNTERS = 1 << 22  # in each row of a shard's sketch
 LAST = np.iinfo(np.int64).max
 PACKED = "shard int, block long, n int, data binary"
 REPLY = "block long, shard int, data binary"
+TOLD = "block long, shard int, n int, data binary"
+BLOCK = "_block of substring dedup"  # the one name that a column of the input may not have
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
@@ -101,6 +108,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)})
 
 
+_TOLD = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 _PACKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 _REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 
@@ -109,7 +117,7 @@ def partial_sketch(table: pa.Table, width: int, shards: int) -> pa.Table:
     """Round 1, block: its sketch in sparse form, by shard."""
     block = Block(table, width, both=False)
     keys, count = np.unique(block.keys(shards), return_counts=True)
-    number, out = table.column("_block")[0].as_py(), []
+    number, out = table.column(BLOCK)[0].as_py(), []
     for shard, i, j in _split(keys):
         low = (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         out.append((shard, number, j - i, zlib.compress(squeeze(deltas(low)) + np.packbits(count[i:j] > 1).tobytes(), 0)))
@@ -160,45 +168,70 @@ def candidates(table: pa.Table, replies: pa.Table, width: int, shards: int) -> p
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b, at, shard = a[first], b[first], at[first], shard[first]
     ids = block.ids()[block.doc[block.start[at]]]
-    number, out = table.column("_block")[0].as_py(), []
+    number, out = table.column(BLOCK)[0].as_py(), []
     for s in np.unique(shard):
         i, j = np.searchsorted(shard, (s, s + 1))
         out.append((int(s), number, int(j - i), squeeze(deltas(a[i:j]), b[i:j], ids[i:j], at[i:j].astype(np.uint32))))
     return _rows(_PACKED, out)
 
 
-def owners(table: pa.Table) -> pa.Table:
-    """Round 2, shard: exact groups of equal windows; tells each block which of its firsts come after another block's."""
-    t = table.select(["shard", "block", "n", "data"]).to_pydict()
+Firsts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # hash, other hash, id, position, block
+
+
+def _firsts(t: pa.Table) -> Firsts:
+    """The windows that blocks sent, or (block numbers below 0) ranges of blocks."""
     parts = []
-    for n, d in zip(t["n"], t["data"]):
-        a, b, ids, at = unsqueeze(d, n, np.uint64, np.uint64, np.int64, np.uint32)
-        parts.append((np.cumsum(a, dtype=np.uint64), b, ids, at))
-    a, b, ids, at = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    block = np.repeat(np.array(t["block"], np.int64), np.array(t["n"], np.int64))
+    for n, block, d in zip(t.column("n").to_pylist(), t.column("block").to_pylist(), t.column("data").to_pylist()):
+        if block >= 0:
+            a, b, ids, at = unsqueeze(d, n, np.uint64, np.uint64, np.int64, np.uint32)
+            parts.append((np.cumsum(a, dtype=np.uint64), b, ids, at, np.full(n, block, np.int64)))
+        else:
+            a, *rest = unsqueeze(d, n, np.uint64, np.uint64, np.int64, np.uint32, np.int64)
+            parts.append((np.cumsum(a, dtype=np.uint64), *rest))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
+
+
+def owners(table: pa.Table, ahead: bool = False) -> pa.Table:
+    """Round 2, shard: exact groups of equal windows; tells each block which of its firsts come after another one's.
+
+    ahead: the table is of a range of blocks, whose earliest windows go on (as a row with a block number below 0).
+    """
+    shard = table.column("shard")[0].as_py()
+    a, b, ids, at, block = _firsts(table)
     order = np.lexsort((block, ids, b, a))
     later = np.zeros(len(a), bool)
     later[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    order = order[later]
+    first, order = order[~later], order[later]
     order = order[np.lexsort((at[order], block[order]))]
     out = []
     for k in np.unique(block[order]):
         i, j = np.searchsorted(block[order], (k, k + 1))
-        out.append((int(k), t["shard"][0], squeeze(deltas(at[order[i:j]]))))
-    return _rows(_REPLY, out)
+        out.append((int(k), shard, int(j - i), squeeze(deltas(at[order[i:j]]))))
+    if ahead:
+        out.append((-1 - table.column("span")[0].as_py(), shard, len(first), squeeze(deltas(a[first]), b[first], ids[first], at[first], block[first])))
+    return _rows(_TOLD, out)
 
 
-def removal(table: pa.Table, replies: pa.Table, width: int) -> pa.Table:
-    """Round 3, block: every document with its number of words, of removed words, and the words kept."""
+def cut(text: bytes, gone: list[bool]) -> bytes:
+    """text without the words marked gone and the white space after each of them."""
+    out, at = [], 0
+    for m, off in zip(_WORD.finditer(text), gone):
+        if off:
+            out.append(text[at : m.start()])
+            at = m.end()
+    return b"".join([*out, text[at:]])
+
+
+def removal(table: pa.Table, replies: pa.Table, width: int, names: list[str], joined: bool) -> pa.Table:
+    """Round 3, block: every document with its number of words, of removed words, and what is kept of its text."""
     block = Block(table, width)
     order = np.lexsort((block.b, block.a))
     again = np.zeros(len(order), bool)
     a, b = block.a[order], block.b[order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     again[order[1:][same]] = True
-    for d in replies.column("data").to_pylist() if replies.num_rows else []:
-        raw = zlib.decompress(d)
-        (x,) = unsqueeze(d, len(raw) // 4, np.uint32)
+    for n, d in zip(replies.column("n").to_pylist(), replies.column("data").to_pylist()):
+        (x,) = unsqueeze(d, n, np.uint32)
         again[np.cumsum(x, dtype=np.uint32)] = True
     edge = np.zeros(len(block.doc) + 1, np.int32)
     np.add.at(edge, block.start[again], 1)
@@ -206,13 +239,17 @@ def removal(table: pa.Table, replies: pa.Table, width: int) -> pa.Table:
     gone = np.cumsum(edge)[:-1] > 0
     removed = np.bincount(block.doc[gone], minlength=len(block.words))
     first, kept = np.cumsum(block.sizes) - block.sizes, []
+    texts = None if joined else texts_of(block.table.column("text").combine_chunks())
+    valid = block.table.column("text").is_valid().to_pylist()
     for i, words in enumerate(block.words):
-        if removed[i]:
-            off = gone[first[i] : first[i] + len(words)].tolist()
-            words = [w for w, x in zip(words, off) if not x]
-        kept.append(b" ".join(words))
-    out = block.table.drop_columns(["_block"])
-    for name, column in (("_n_words", pa.array(block.sizes)), ("_n_removed", pa.array(removed.astype(np.int64))), ("_kept", pa.array(kept, pa.binary()).cast(pa.string()))):
+        off = gone[first[i] : first[i] + len(words)].tolist() if removed[i] else []
+        if joined:
+            kept.append(b" ".join([w for w, x in zip(words, off) if not x] if off else words))
+        else:
+            kept.append(cut(texts[i], off) if off else texts[i] if valid[i] else None)
+    out = block.table.drop_columns([BLOCK])
+    columns = (pa.array(block.sizes), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string()))
+    for name, column in zip(names, columns):
         out = out.append_column(name, column)
     return out
 
@@ -222,18 +259,29 @@ def _then_free(table: pa.Table) -> pa.Table:
     return table
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """docs (doc_id, text, ...) with _n_words, _n_removed (long) and _kept (string) added."""
+def dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, shard_windows: int = SHARD_WINDOWS, joined: bool = True, span: int = SPAN) -> DataFrame:
+    """docs (doc_id, text, ...) with _n_words, _n_removed (long) and _kept (string) added at the end.
+
+    _kept: the words kept, joined by one space, or (joined=False) the text itself without the removed words
+    and the white space after each, so that a text that loses nothing stays as it is.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // (6 * shard_windows)))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    dealt = docs.withColumn("_block", F.pmod(key, F.lit(blocks)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())])
-    sketches = dealt.groupBy("_block").applyInArrow(lambda t: _then_free(partial_sketch(t, width, shards)), PACKED)
+    dealt = docs.withColumn(BLOCK, F.pmod(key, F.lit(blocks)))
+    names = unused(docs.columns, "_n_words", "_n_removed", "_kept")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.StringType()))]])
+    sketches = dealt.groupBy(BLOCK).applyInArrow(lambda t: _then_free(partial_sketch(t, width, shards)), PACKED)
     repeated = sketches.groupBy("shard").applyInArrow(lambda t: _then_free(merged_sketch(t)), REPLY)
-    firsts = dealt.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _then_free(candidates(t, r, width, shards)), PACKED)
-    later = firsts.groupBy("shard").applyInArrow(lambda t: _then_free(owners(t)), REPLY)
-    return dealt.groupBy("_block").cogroup(later.groupBy("block")).applyInArrow(lambda t, r: _then_free(removal(t, r, width)), schema)
+    firsts = dealt.groupBy(BLOCK).cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _then_free(candidates(t, r, width, shards)), PACKED)
+    if blocks > span:  # first within each range of blocks, then the earliest of all ranges: no window meets all blocks in one task
+        ranges = firsts.withColumn("span", F.floor(F.col("block") / span))
+        inside = checkpointed(ranges.groupBy("shard", "span").applyInArrow(lambda t: _then_free(owners(t, True)), TOLD))
+        across = inside.where(F.col("block") < 0).groupBy("shard").applyInArrow(lambda t: _then_free(owners(t)), TOLD)
+        later = inside.where(F.col("block") >= 0).union(across)
+    else:
+        later = firsts.groupBy("shard").applyInArrow(lambda t: _then_free(owners(t)), TOLD)
+    return dealt.groupBy(BLOCK).cogroup(later.groupBy("block")).applyInArrow(lambda t, r: _then_free(removal(t, r, width, names, joined)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
