@@ -11,9 +11,10 @@ list is bounded and broadcast), then by hash.
 
 1.  Prefilter: a document stays if enough tokens of its prefix are in some other class's prefix.
 2.  Groups: the survivors are partitioned into groups of similar documents, by two min-hash keys;
-    large keys are cut into chunks of ``CHUNK`` that share one pivot.  A task links the members of
-    a chunk: the pivot against all, then every document outside the largest component against
-    all; so all links of a chunk are found up to those inside a component already known.
+    large keys are cut into chunks of ``CHUNK`` sets (and ``CHUNK_TOKENS`` tokens) that share one pivot;
+    members of a key are counted by salted keys, so a large key's don't meet in one task.  A task
+    links the members of a chunk: the pivot against all, then every document outside the largest
+    component against all; so all links of a chunk are found up to those inside a component known.
 3.  Token-group matrix: the groups now are the components found, and the chunks of the first key for
     documents that are linked with nothing yet.  Each group's token union (here of prefix tokens)
     is stored by token.  A document is matched with the unions of all groups but its own; the
@@ -41,11 +42,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .substring_dedup import deltas, squeeze, unsqueeze
-from .words import HashMemo, checkpointed, chunks, documents, give_back, scramble, texts_of, window_hashes
+from .words import HashMemo, checkpointed, chunks, documents, give_back, scramble, texts_of, unused, window_hashes
 
 HOT = 0.001
 CHUNK = 1024
 QUERIES = 4096
+CHUNK_TOKENS = 1 << 21  # tokens of a chunk or of a slice of queries at most, but for one longer set
+SALTS = 64
 FILTER_BITS = 1 << 26  # bits of the prefilter's bitmap at most
 
 
@@ -304,15 +307,38 @@ def _load(table: pa.Table) -> Sets:
     return Sets(table.column("doc_id").to_numpy(), table.column("set").to_pylist())
 
 
+def counted(rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """rows (d, n, and by) of groups of `least` rows or more, with many, mass and pivot: the group's rows, sum of n and least d.
+
+    Groups are counted and told by salted keys: a group's rows meet in SALTS places, not in one.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("d", F.lit(7)), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*by, "_salt").agg(F.count("*").alias("_rows"), F.sum("n").alias("_sum"), F.min("d").alias("_low"))
+    whole = parts.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.sum("_rows").alias("many"), F.sum("_sum").alias("mass"), F.min("_low").alias("pivot"), F.collect_list("_salt").alias("_salts"))
+    told = whole.where(F.col("many") >= least).withColumn("_told", F.explode("_salts")).drop("_salts")
+    same = F.col("_salt") == F.col("_told")
+    for k in by:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return salted.join(told, same).select(*rows.columns, "many", "mass", "pivot")
+
+
+def chunks_of(rows, mass, per: int):
+    """How many chunks a group of that many rows and tokens is cut into."""
+    return F.greatest(F.ceil(rows / per), F.ceil(mass / CHUNK_TOKENS)).cast("int")
+
+
+def key_groups(sets: DataFrame, keys: tuple[str, ...], chunk: int) -> DataFrame:
+    """d, w (which key), k, pivot, parts, part of the sets that share a min-hash key with others."""
+    every = F.array(*[F.struct(F.lit(i).alias("w"), F.col(k).alias("k")) for i, k in enumerate(keys)])
+    rows = sets.select(F.col("doc_id").alias("d"), "n", F.explode(every).alias("_k")).select("d", "n", F.col("_k.w").alias("w"), F.col("_k.k").alias("k"))
+    dealt = counted(rows, ["w", "k"], 2).withColumn("parts", chunks_of(F.col("many"), F.col("mass"), chunk))
+    return dealt.select("d", "w", "k", "pivot", "parts", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int").alias("part"))
+
+
 def group_links(sets: DataFrame, rule: Rule, chunk: int = CHUNK) -> DataFrame:
     """Links found within the groups of either min-hash key."""
-    both = F.array(*[F.struct(F.lit(i).alias("w"), F.col(k).alias("k")) for i, k in enumerate(("k1", "k2"))])
-    keys = sets.select(F.col("doc_id").alias("d"), F.explode(both).alias("_k")).select("d", F.col("_k.w").alias("w"), F.col("_k.k").alias("k"))
-    groups = keys.groupBy(F.col("w").alias("gw"), F.col("k").alias("gk")).agg(F.count("*").alias("many"), F.min("d").alias("pivot")).where(F.col("many") > 1)
-    dealt = keys.join(groups, (F.col("w") == F.col("gw")) & (F.col("k") == F.col("gk")))
-    parts = F.ceil(F.col("many") / chunk).cast("int")
-    own = F.when(F.col("d") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("d"), parts).cast("int")))
-    dealt = dealt.select("d", "w", "k", "pivot", F.explode(own).alias("part"))
+    own = F.when(F.col("d") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    dealt = key_groups(sets, ("k1", "k2"), chunk).select("d", "w", "k", "pivot", F.explode(own).alias("part"))
     rows = sets.select("doc_id", "set").join(dealt, F.col("doc_id") == F.col("d")).select("doc_id", "set", "w", "k", "pivot", "part")
 
     def run(table: pa.Table) -> pa.Table:
@@ -328,15 +354,14 @@ def group_links(sets: DataFrame, rule: Rule, chunk: int = CHUNK) -> DataFrame:
 
 def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int = CHUNK, queries: int = QUERIES) -> DataFrame:
     """Links between documents of different groups (comp: node, component), by the token-group matrix."""
-    sized = comp.groupBy("component").agg(F.count("*").alias("many")).withColumnRenamed("component", "_c")
-    named = comp.join(sized, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "component", "many")
-    mates = sets.groupBy("k1").agg(F.count("*").alias("_mates")).where(F.col("_mates") > 1).withColumnRenamed("k1", "_k1")
-    home = sets.select("doc_id", "k1").join(mates, F.col("k1") == F.col("_k1"))
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_mates") / chunk).cast("int"))
-    home = home.select(F.col("doc_id").alias("_h"), (-1 - F.shiftrightunsigned(F.xxhash64("k1", part), 1)).alias("_home"))
-    placed = sets.select(F.col("doc_id").alias("d")).join(home, F.col("d") == F.col("_h"), "left").join(named, F.col("d") == F.col("_n"), "left")
-    placed = placed.select("d", F.coalesce("component", "_home", "d").alias("g"), F.coalesce("many", F.lit(1)).alias("many"))
-    grouped = checkpointed(sets.select("doc_id", "set").join(placed, F.col("doc_id") == F.col("d")).select("doc_id", "set", "g", "many"))
+    home = key_groups(sets, ("k1",), chunk).select(F.col("d").alias("_h"), (-1 - F.shiftrightunsigned(F.xxhash64("k", "part"), 1)).alias("_home"))
+    named = comp.select(F.col("node").alias("_n"), "component")
+    placed = sets.select(F.col("doc_id").alias("d"), "n").join(home, F.col("d") == F.col("_h"), "left").join(named, F.col("d") == F.col("_n"), "left")
+    # A group that is a component counts its rows and tokens; any other is searched member by member (many is 1).
+    linked = counted(placed.where(F.col("component").isNotNull()).select("d", "n", F.col("component").alias("g")), ["g"], 1)
+    linked = linked.select("d", "n", "g", "many", chunks_of(F.col("many"), F.col("mass"), chunk).alias("parts"))
+    loose = placed.where(F.col("component").isNull()).select("d", "n", F.coalesce("_home", "d").alias("g"), F.lit(1).cast("long").alias("many"), F.lit(1).alias("parts"))
+    grouped = checkpointed(sets.select("doc_id", "set").join(linked.union(loose), F.col("doc_id") == F.col("d")).select("doc_id", "set", "n", "g", "many", "parts"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -346,22 +371,27 @@ def matrix_links(sets: DataFrame, comp: DataFrame, hot, rule: Rule, chunk: int =
             tok, own, _ = _ordered_prefix(tok, np.repeat(np.arange(len(sets_)), size), len(sets_), hot.value, rule)
             take = pa.array(own)
             need = pa.array(rule.needed(size).astype(np.int32)).take(take)
-            yield pa.RecordBatch.from_arrays([_signed(tok), part.column("doc_id").take(take), part.column("g").take(take), part.column("many").take(take), need], ["token", "doc_id", "g", "many", "needed"])
+            more = [part.column(c).take(take) for c in ("doc_id", "g", "many", "parts")]
+            yield pa.RecordBatch.from_arrays([_signed(tok), *more, need], ["token", "doc_id", "g", "many", "parts", "needed"])
 
-    rows = grouped.select("doc_id", "set", "g", "many").mapInArrow(prefixes, "token long, doc_id long, g long, many long, needed int")
+    rows = grouped.select("doc_id", "set", "g", "many", "parts").mapInArrow(prefixes, "token long, doc_id long, g long, many long, parts int, needed int")
     split = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") != F.col("hi")).select(F.col("token").alias("t"))
     rows = checkpointed(rows.join(split, F.col("token") == F.col("t"), "left_semi"))
-    unions = rows.select(F.col("token").alias("t"), F.col("g").alias("og"), F.col("many").alias("omany")).distinct()
+    unions = rows.select(F.col("token").alias("t"), F.col("g").alias("og"), F.col("many").alias("omany"), F.col("parts").alias("oparts")).distinct()
     asks = (F.col("many") < F.col("omany")) | ((F.col("many") == F.col("omany")) & (F.col("g") > F.col("og")))
-    bound = rows.join(unions, (F.col("token") == F.col("t")) & asks).groupBy("doc_id", "og", "omany").agg(F.count("*").alias("c"), F.max("needed").alias("needed"))
-    opened = checkpointed(bound.where(F.col("c") >= F.col("needed")).select(F.col("doc_id").alias("q"), "og", "omany"))
-    asked = checkpointed(opened.groupBy("og", "omany").agg(F.count("*").alias("asked")).select(F.col("og").alias("_og"), F.col("omany").alias("_many"), "asked"))
-    slices, parts = F.ceil(F.col("asked") / queries).cast("int"), F.ceil(F.col("_many") / chunk).cast("int")
-    ask = opened.join(asked, F.col("og") == F.col("_og")).withColumn("slice", F.pmod(F.xxhash64("q", F.lit(1)), slices).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    ask = ask.select("q", "og", "omany", "slice", "part").join(grouped.select("doc_id", "set"), F.col("q") == F.col("doc_id")).select("og", "slice", "part", "doc_id", "set", (F.col("omany") == 1).alias("loose"))
-    held = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    members = grouped.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("many") / chunk)).cast("int"))
-    members = members.join(held, (F.col("g") == F.col("_og")) & (F.col("part") == F.col("_part"))).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    bound = rows.join(unions, (F.col("token") == F.col("t")) & asks).groupBy("doc_id", "og", "omany", "oparts").agg(F.count("*").alias("c"), F.max("needed").alias("needed"))
+    opened = bound.where(F.col("c") >= F.col("needed")).select(F.col("doc_id").alias("q"), "og", "omany", "oparts")
+    opened = checkpointed(opened.join(grouped.select("doc_id", "n"), F.col("q") == F.col("doc_id")).select("q", "n", "og", "omany", "oparts"))
+    # The queries of a group are counted by salted keys too, and dealt to slices.
+    sized = counted(opened.select(F.col("q").alias("d"), "n", F.col("og").alias("g"), F.col("oparts").alias("p"), (F.col("omany") == 1).alias("loose")), ["g", "p"], 1)
+    sized = checkpointed(sized.withColumn("slices", chunks_of(F.col("many"), F.col("mass"), queries)).select(F.col("d").alias("q"), "g", "p", "loose", "slices"))
+    ask = sized.withColumn("slice", F.pmod(F.xxhash64("q", F.lit(1)), F.col("slices")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    ask = ask.select("q", F.col("g").alias("og"), "slice", "part", "loose").join(grouped.select("doc_id", "set"), F.col("q") == F.col("doc_id")).select("og", "slice", "part", "doc_id", "set", "loose")
+    asked = sized.select(F.col("g").alias("_og"), F.col("p").alias("_p"), "slices").distinct()
+    held = asked.select("_og", "slices", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_part"))
+    # A home's members are few (a chunk of a key at most); a component's are dealt to its parts.
+    members = grouped.select("g", "doc_id", "set", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int").alias("part"))
+    members = members.join(held, (F.col("g") == F.col("_og")) & (F.col("part") == F.col("_part"))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     members = members.select(F.col("g").alias("og"), "slice", "part", "doc_id", "set")
     members = members.toDF(*members.columns)  # attributes of its own, as both sides come from grouped
 
@@ -405,6 +435,38 @@ def join(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, chunk:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that stay when one document of each component does: the one with the smallest id.
+
+    A document is an id with a text: where an id repeats with different texts, or is null, each of
+    its texts is a document of its own (null is the largest id; then the smaller digest of the text
+    stays).  Of rows equal in id and text one stays, the first by its other columns as JSON.
+    """
+    digest, row, key, i, d, k = unused(docs.columns, "_digest", "_row", "_key", "_id", "_text", "_new")
+    marked = docs.withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = checkpointed(marked.select(F.col("doc_id").alias(i), F.col(digest).alias(d)).distinct())
+    several = texts.groupBy(F.col(i).alias("s")).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("s").isNull())
+    odd = texts.join(several, F.col(i).eqNullSafe(F.col("s"))).select(i, d)
+    low = texts.agg(F.min(i)).first()[0] or 0
+    odd = checkpointed(odd.withColumn(k, F.lit(min(low, 0) - 1) - F.monotonically_increasing_id()))  # numbers that are no ids
+    if odd.limit(1).count():
+        keyed = marked.join(odd, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d)), "left")
+        keyed = keyed.withColumn(row, F.coalesce(k, "doc_id")).drop(i, d, k, digest)
+        found = join(keyed.select(F.col(row).alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("r"), "component_id").distinct()
+        found = found.join(odd, F.col("r") == F.col(k), "left")
+        real = F.when(F.col(k).isNull(), F.col("r")).otherwise(F.col(i))
+        order = F.struct(real.isNull(), real, F.coalesce(d, F.lit("")), "r")
+        stay = found.groupBy("component_id").agg(F.min_by("r", order).alias(key)).select(key)
+    else:
+        keyed = marked.withColumn(row, F.col("doc_id")).drop(digest)
+        found = join(keyed.select("doc_id", "text"), width, num, den)
+        stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    kept = keyed.join(stay, F.col(row) == F.col(key)).drop(key)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    first = kept.groupBy(row).agg(F.min_by(F.struct(*docs.columns), others).alias(key))
+    return first.select(f"{key}.*")
+
+
 def _sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, k1, k2, set of the representatives in chosen."""
     sc = docs.sparkSession.sparkContext
