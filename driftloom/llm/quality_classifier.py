@@ -11,7 +11,8 @@ texts outside the held-out fold); scoring streams every whole text in slices of
 
 Cases: null and empty texts have no n-grams and get the bias's score; without labelled rows
 all scores are 0; null or repeated ids are scored row by row; labels that repeat for an id
-count once (the larger); empty tables give no rows; other columns pass through `score`.
+count once (the larger); empty tables give no rows; other columns pass through `score`, whose
+own column gets underscores put before it where an input column is called so.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .training import bounded_sample
-from .words import HashMemo, chunks, crc32_mod, documents, mix, scramble, texts_of
+from .words import HashMemo, chunks, crc32_mod, documents, mix, scramble, texts_of, unused
 
 BITS = 20
 MAX_ROWS, MAX_BYTES = 4000, 24 << 20
@@ -121,7 +122,7 @@ def fit_ftrl(rows: list[tuple[bytes, object]], bits: int = BITS, epochs: int = 4
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    return w.astype(np.float32), float(b)
+    return w.astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float] | None:
@@ -132,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """docs with _score (double, 0 to 1) added; every whole text is read."""
+    """docs with _score (double, 0 to 1) added at the end; every whole text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats, whatever the tables' size
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(unused(docs.columns, "_score")[0], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = OutlineMemo()
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
             else:
                 w, b = shared.value
                 p = 1 / (1 + np.exp(-np.clip(dots(texts_of(part.column("text")), w, memo) + b, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
