@@ -3,7 +3,11 @@
 First the family: one linear support vector machine for each family against the rest.
 Then, within the family, one-versus-one linear machines separate its languages; the
 language with the most votes wins, the larger summed margin deciding ties.  Features are
-hashed byte trigrams of the lower-cased text (``2**bits`` slots), as counts of unit length.
+hashed byte trigrams of the text with A-Z lower-cased (``2**bits`` slots), as counts of unit length.
+
+Families: a written table groups well-known languages.  Any other language joins the family with
+the centroid most like its own in the training texts, if their cosine is ``ALIKE`` or more; else it
+begins a family, which later ones may join.
 
 The machines are fitted by dual coordinate descent on a bounded sample (``MAX_ROWS`` rows,
 ``MAX_BYTES`` bytes); scoring adds up table rows over all trigrams of every whole text.
@@ -32,7 +36,9 @@ BITS = 16
 MAX_ROWS, MAX_BYTES = 3000, 16 << 20
 HELD_OUT = (3, 1)
 
-# Families of some languages; any other language is a family of its own.
+ALIKE = 0.6
+
+# Families of some languages.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
@@ -40,8 +46,17 @@ FAMILIES = {
 }
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, ls in FAMILIES.items() if lang in ls), lang)
+def families_of(centroids: dict[str, np.ndarray]) -> dict[str, str]:
+    """language -> family, given the mean vector of each language."""
+    out = {x: f for f, langs in FAMILIES.items() for x in langs if x in centroids}
+    for x in sorted(set(centroids) - set(out)):
+        like = {}
+        for f in set(out.values()):
+            c = sum(centroids[y] for y, g in out.items() if g == f)
+            like[f] = float(c @ centroids[x]) / max(float(np.linalg.norm(c) * np.linalg.norm(centroids[x])), 1e-12)
+        best = max(like, key=lambda f: (like[f], f), default=None)
+        out[x] = best if best is not None and like[best] >= ALIKE else x
+    return out
 
 
 def trigram_slots(text: bytes, bits: int = BITS) -> np.ndarray:
@@ -77,14 +92,17 @@ class Model:
         self.bits = bits
         langs = np.array([str(label) for _, label in rows])
         self.langs = sorted(set(langs.tolist()))
-        self.families = sorted({family_of(x) for x in self.langs})
-        self.members = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
-        vectors = []
+        vectors, centroids = [], {x: np.zeros(1 << bits) for x in self.langs}
         for text, _ in rows:
             slot = trigram_slots(text, bits)
             at, n = np.unique(slot, return_counts=True)
             vectors.append((at, n / max(np.linalg.norm(n), 1e-9)))
-        of = np.array([family_of(x) for x in langs])
+        for (at, x), lang in zip(vectors, langs):
+            centroids[lang][at] += x
+        family = families_of(centroids)
+        self.families = sorted(set(family.values()))
+        self.members = {f: [x for x in self.langs if family[x] == f] for f in self.families}
+        of = np.array([family[x] for x in langs])
         columns, self.rest, self.pairs = [], {}, {}
         if len(self.families) > 1:
             for f in self.families:
