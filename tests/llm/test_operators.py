@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -35,6 +36,12 @@ def check_packing(rows, out, capacity):
             assert len(some) == len(set(some))
 
 
+def test_packing_does_not_depend_on_partitions(docs, odd_docs):
+    for frame in (docs, odd_docs, odd_docs.union(odd_docs)):
+        one, two = (Counter(map(str, packing.pack(f, 512, 50).collect())) for f in (frame, frame.repartition(7, "n_chars").sortWithinPartitions("text")))
+        assert one == two
+
+
 def test_packing_holds_everything_without_conflicts(odd_docs, no_docs, docs):
     for frame, capacity in ((odd_docs, 64), (docs, 512)):
         check_packing(frame.select("doc_id", "text").collect(), packing.pack(frame, capacity, 50).collect(), capacity)
@@ -236,6 +243,71 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert accuracy(quality_classifier.query(spark, sf).collect(), spark.read.parquet(f"{sf}/labels.parquet"), "quality") > 0.95
 
 
+def test_classifier_against_a_plain_model(spark, docs, labels):
+    """Scores are sparse dot products over a text's n-grams, one by one in Python; training is FTRL, step by step."""
+    rows = [(r["text"].encode(), r["quality"]) for r in docs.join(labels, "doc_id").where("text is not null").limit(30).collect()]
+    w, bias = quality_classifier.fit_ftrl(rows, bits=12, epochs=2)
+    z, n, zb, nb = defaultdict(float), defaultdict(float), 0.0, 0.0
+    a, be, l1, l2 = 0.5, 1.0, 0.002, 0.05
+
+    def vector(text):
+        x = Counter()
+        for slot, _ in quality_classifier.features([text], quality_classifier.OutlineMemo(), 12):
+            for s in slot.tolist():
+                x[s] += 1 / len(slot)
+        return x
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= l1 else -(z[s] - np.sign(z[s]) * l1) / ((be + n[s] ** 0.5) / a + l2)
+
+    for _ in range(2):
+        for text, y in rows:
+            x, b = vector(text), -zb / ((be + nb**0.5) / a)
+            wi = {s: weight(s) for s in x}
+            g = 1 / (1 + np.exp(-(sum(wi[s] * v for s, v in x.items()) + b))) - y
+            for s, v in x.items():
+                z[s] += g * v - ((n[s] + (g * v) ** 2) ** 0.5 - n[s] ** 0.5) / a * wi[s]
+                n[s] += (g * v) ** 2
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / a * b
+            nb += g * g
+    assert bias == pytest.approx(-zb / ((be + nb**0.5) / a), rel=1e-6)
+    assert all(w[s] == pytest.approx(weight(s), rel=1e-4, abs=1e-6) for s in list(z))
+    frame = docs.limit(20)
+    model = quality_classifier.train(docs, labels)
+    for r in quality_classifier.score(frame, model).collect():
+        memo, dot = quality_classifier.OutlineMemo(), 0.0
+        for slot, _ in quality_classifier.features([(r["text"] or "").encode()], memo):
+            dot += sum(float(model[0][s]) for s in slot.tolist()) / max(len(slot), 1)
+        assert r["_score"] == pytest.approx(1 / (1 + np.exp(-np.clip(dot + model[1], -35, 35))), rel=1e-6)
+
+
+def test_language_votes_against_a_plain_model(docs):
+    """Family first, then the votes of its one-versus-one machines, each margin summed trigram by trigram."""
+    model = langid.train(docs)
+    for r in docs.where("text is not null").limit(15).collect():
+        text = r["text"].encode()
+        b = bytes(32 if c < 33 else c for c in b" " + text.lower() + b" ")
+        counts = Counter(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - model.bits) for i in range(len(b) - 2))
+        norm = sum(v * v for v in counts.values()) ** 0.5
+        margin = lambda k: sum(v * float(model.table[s, k]) for s, v in counts.items()) / norm + float(model.table[-1, k])
+        family = max(model.families, key=lambda f: margin(model.rest[f])) if model.rest else model.families[0]
+        votes = Counter({x: 0 for x in model.members[family]})
+        for (x, y), k in model.pairs.items():
+            if x in votes and y in votes:
+                votes[x if margin(k) > 0 else y] += 1
+        said, _ = model.predict([text])
+        assert votes[said[0]] == max(votes.values())
+
+
+def test_unknown_languages_join_the_family_they_resemble():
+    rng = np.random.default_rng(1)
+    base = {f: np.abs(rng.normal(size=64)) ** 3 for f in ("g", "r", "new")}
+    like = lambda f: base[f] + 0.05 * np.abs(rng.normal(size=64))
+    got = langid.families_of({"en": like("g"), "de": like("g"), "fr": like("r"), "qa": like("r"), "qb": like("new"), "qc": like("new")})
+    assert got["en"] == got["de"] == "germanic" and got["fr"] == got["qa"] == "romance"
+    assert got["qb"] == got["qc"] == "qb"
+
+
 def test_langid_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -243,6 +315,15 @@ def test_langid_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in out) / len(out) > 0.97
 
 
+def test_columns_of_the_input_may_be_called_like_results(spark, docs, labels):
+    frame = docs.limit(5).selectExpr("doc_id", "text", "1 AS _score", "'x' AS _spans", "2 AS _Kept", "3 AS _n_words", "4 AS __score", "5 AS _block")
+    field, model = toxicity.train(docs, labels), quality_classifier.train(docs, labels)
+    for out in (toxicity.score(frame, field), quality_classifier.score(frame, model), substring_dedup.dedup(frame)):
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        rows = out.select(*out.columns).collect()
+        assert len(rows) == 5 and all(r["_score"] == 1 and r["_n_words"] == 3 and r["_Kept"] == 2 for r in rows)
+
+
 # substrings
 
 
@@ -261,11 +342,11 @@ def brute_dedup(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,block,shard", [(20, 4 << 20, 1 << 20), (3, 2000, 300)])
-def test_substring_dedup_against_brute_force(odd_docs, docs, no_docs, width, block, shard):
+@pytest.mark.parametrize("width,block,shard,span", [(20, 4 << 20, 1 << 20, 4096), (3, 2000, 300, 4)])
+def test_substring_dedup_against_brute_force(odd_docs, docs, no_docs, width, block, shard, span):
     for frame in (docs, odd_docs):
         frame = frame.where("doc_id is not null")
-        done = substring_dedup.dedup(frame.select("doc_id", "text", "lang"), width, block, shard).collect()
+        done = substring_dedup.dedup(frame.select("doc_id", "text", "lang"), width, block, shard, span=span).collect()
         got = Counter((r["doc_id"], r["_n_words"], r["_n_removed"], hashlib.sha256(r["_kept"].encode()).hexdigest()) for r in done)
         assert got == brute_dedup([(r["doc_id"], r["text"]) for r in frame.collect()], width)
     assert substring_dedup.dedup(no_docs.select("doc_id", "text")).count() == 0
@@ -416,6 +497,48 @@ def test_sharding_law_and_slots(odd_docs, docs, no_docs):
     assert sharding.assign_shards(no_docs).count() == 0
 
 
+def plain_ring(rows, n_shards, vnodes, cells, position):
+    """Shard and slot of every row by the law of the ring, row by row; position: (cell, order) of each."""
+    owners = sharding.ring_owners(n_shards, vnodes, cells)
+    bound = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    placed, late = [[] for _ in range(n_shards)], []
+    for cell, key, row in sorted(position):
+        if len(placed[owners[cell]]) < bound[owners[cell]]:
+            placed[owners[cell]].append(row)
+        else:
+            late.append((cell, row))
+    for cell, row in late:
+        k = cell
+        while len(placed[owners[k]]) >= bound[owners[k]]:  # clockwise to the next shard with room
+            k = (k + 1) % cells
+        placed[owners[k]].append(row)
+    return placed
+
+
+def test_sharding_against_a_plain_ring(spark, docs):
+    """Checksums, and shards of all rows, against a model that puts rows on the ring one by one."""
+    out = {r["doc_id"]: r for r in sharding.assign_shards(docs, 5, 8, 64).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert all(r["text_crc32"] == zlib.crc32(texts[i]) and r["size"] == len(texts[i]) + 8 for i, r in out.items())
+    keys = spark.createDataFrame([(i, r["text_crc32"], r["size"]) for i, r in out.items()], "i long, c long, s long").selectExpr("i", "xxhash64(cast(i as string), c, s, 0L) AS p").collect()
+    position = [(((r["p"] & (2**64 - 1)) >> 20) % 64, (r["p"], r["i"]), r["i"]) for r in keys]
+    model = plain_ring(out, 5, 8, 64, position)
+    assert [len(x) for x in model] == [sum(r["shard"] == s for r in out.values()) for s in range(5)]
+    first = {row: s for s, rows in enumerate(model) for row in rows}
+    owners = sharding.ring_owners(5, 8, 64)
+    home = {row: owners[cell] for cell, _, row in position}
+    # Rows with room at home are there; the others are as far on the ring as the model says, shard by shard.
+    assert Counter((home[i], r["shard"]) for i, r in out.items() if home[i] == r["shard"]) == Counter((home[i], s) for i, s in first.items() if home[i] == s)
+
+
+def test_equal_rows_spread_over_the_ring(spark):
+    rows = [(7, "same text")] * 2000 + [(None, None)] * 1000 + [(7, f"other {i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sharding.assign_shards(f).drop("slot").collect() for f in (frame.repartition(3), frame.repartition(11)))
+    assert Counter(map(str, one)) == Counter(map(str, two))
+    assert max(Counter(r["shard"] for r in one).values()) == -(-3500 // 24)
+
+
 def test_overflow_goes_clockwise_to_the_next_shard_with_room():
     owners = [0] * 4 + [1] * 4 + [2] * 4
     plan = sharding.bounded_walk({0: 10, 5: 1, 9: 1}, owners, 3)
