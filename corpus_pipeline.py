@@ -3,15 +3,21 @@
 1.  toxicity: documents that the field scores 1/2 or more go.
 2.  n-gram Jaccard join: of each group of near-duplicates (five-word shingles, similarity 0.8 or
     more) the document with the smallest id stays, once.
-3.  substring dedup: words in windows of 20 that start earlier elsewhere go; documents stay, with
-    what is left of their text.
+3.  substring dedup: words in windows of 20 that start earlier elsewhere go, each with the white space
+    after it; documents stay, with what is left of their text, and texts that lose nothing stay as they are.
 4.  mixing: sources are mixed to their targets; a document comes as often as the mix takes it.
 5.  packing: the result's rows are pieces of documents with their bins.
 
 The model of the first stage is learned from ``labels``; no later stage reads other tables.
 Stages are joined by tables: each result is written as Parquet in the checkpoint folder and read
-again.  Null texts count as empty in every stage.  SQL expresses neither the first stage nor the
-last, so ORACLE_SQL is None and the tests compare with brute force.
+again.  SQL expresses neither the first stage nor the last, so ORACLE_SQL is None and the tests
+compare with brute force.
+
+Cases: null texts count as empty in every stage and pass the first three unchanged (their n_chars
+is 0 after the third); an id that repeats with different texts, or a null id, is a document for
+each different text in the second stage, and rows equal in id and text are one there (the first by
+their other columns); ties go to the smaller id; texts of any length are taken whole; an empty
+table passes all stages; other columns of the input are dropped by the first.
 """
 
 from __future__ import annotations
@@ -33,15 +39,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.join(docs, width=5, num=80, den=100)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    stay = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep").dropDuplicates(["doc_id"])
-    return stay.union(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    return jaccard_join.representatives(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = substring_dedup.dedup(docs.select(*COLUMNS))
-    return done.select("doc_id", F.col("_kept").alias("text"), "lang", "source", F.length("_kept").cast("long").alias("n_chars"))
+    done = substring_dedup.dedup(docs.select(*COLUMNS), joined=False)
+    size = F.coalesce(F.length("_kept"), F.lit(0)).cast("long")
+    return done.select("doc_id", F.col("_kept").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
