@@ -27,15 +27,15 @@ class Step(NamedTuple):
 
 
 def projection(cfg: StreamConfig) -> np.ndarray:
-    """The (original_dim, projection_dim) matrix of a configuration, from its projection seed."""
-    d, k = cfg.original_dim, cfg.projection_dim
-    if cfg.projection_mode == "identity":
-        return np.eye(d)
-    rng = np.random.default_rng(cfg.seed if cfg.projection_seed is None else cfg.projection_seed)
-    if cfg.projection_mode == "dense":
-        return rng.normal(0.0, 1.0 / np.sqrt(k), size=(d, k))
-    u, tail = rng.random((d, k)), 1.0 / (2.0 * cfg.projection_sparsity)
-    return np.sqrt(cfg.projection_sparsity / k) * ((u < tail).astype(float) - (u > 1.0 - tail))
+    """The (width, size) matrix of a configuration, from its projection seed."""
+    p = cfg.projection
+    if p.kind == "identity":
+        return np.eye(p.width)
+    rng = np.random.default_rng(cfg.seed if p.seed is None else p.seed)
+    if p.kind == "dense":
+        return rng.normal(0.0, 1.0 / np.sqrt(p.size), size=(p.width, p.size))
+    u, tail = rng.random((p.width, p.size)), 1.0 / (2.0 * p.sparsity)
+    return np.sqrt(p.sparsity / p.size) * ((u < tail).astype(float) - (u > 1.0 - tail))
 
 
 def energy_rank(spectrum: np.ndarray, share: float, least: int, most: int) -> int:
@@ -50,8 +50,8 @@ class Subspace:
     """Sketch window, rolling second moments, basis, spectrum and threshold of one stream."""
 
     def __init__(self, cfg: StreamConfig) -> None:
-        k = cfg.projection_dim
-        self.cfg, self.rank = cfg, cfg.initial_rank
+        k = cfg.projection.size
+        self.cfg, self.rank = cfg, cfg.rank.first
         self.rng = np.random.default_rng(cfg.seed)
         self.window: deque[tuple[np.ndarray, float]] = deque()
         self.moment, self.mass = np.zeros((k, k)), 0.0
@@ -59,37 +59,37 @@ class Subspace:
         self.scores: deque[float] = deque()
         self.score_sum = 0.0
         self.threshold: float | None = None
-        self.error, self.candidate, self.calm = 0.0, cfg.initial_rank, 0
+        self.error, self.candidate, self.calm = 0.0, cfg.rank.first, 0
         self.seen = self.accepted = self.refreshes = 0
 
     def _score(self, z: np.ndarray) -> tuple[float, float]:
         """Ridge leverage under the current basis, and n times its normalized probability."""
         h = self.basis.T @ z
-        lev = max(float((h * h / (np.maximum(self.spectrum, 0.0) + self.cfg.leverage_regularization)).sum()), 0.0)
-        n, floor = len(self.scores) + 1, self.cfg.uniform_floor
+        lev = max(float((h * h / (np.maximum(self.spectrum, 0.0) + self.cfg.admission.ridge)).sum()), 0.0)
+        n, floor = len(self.scores) + 1, self.cfg.admission.floor
         total = self.score_sum + lev + floor
         q = 1.0 / n if total <= 1e-15 else min(max((lev + floor / n) / total, 0.0), 1.0)
         self.scores.append(lev)
         self.score_sum += lev
-        if len(self.scores) > self.cfg.window_size:
+        if len(self.scores) > self.cfg.admission.window:
             self.score_sum -= self.scores.popleft()
         return lev, n * q
 
     def _admission(self, influence: float) -> tuple[float, bool, float, float]:
         """(probability, admitted, sketch weight, leverage weight)."""
-        c = self.cfg
-        tilt = 1.0 if self.threshold is None else min(max(0.5 + influence / (1.0 + influence), c.min_leverage_weight), c.max_leverage_weight)
-        if c.leverage_mode == "weight":
+        c = self.cfg.admission
+        tilt = 1.0 if self.threshold is None else min(max(0.5 + influence / (1.0 + influence), c.lightest), c.heaviest)
+        if c.mode == "weight":
             return 1.0, True, tilt, tilt
-        if c.leverage_mode == "off":
+        if c.mode == "off":
             return 1.0, True, 1.0, 1.0
-        rate = c.leverage_sampling_rate * (influence if c.leverage_mode == "sample" else 1.0)
-        p = min(max(rate, c.min_sampling_probability), c.max_sampling_probability)
+        rate = c.rate * (influence if c.mode == "sample" else 1.0)
+        p = min(max(rate, c.least), c.most)
         ok = bool(self.rng.random() <= p)
-        return p, ok, (1.0 / max(p, 1e-12) if ok else 0.0), (tilt if c.leverage_mode == "sample" else 1.0)
+        return p, ok, (1.0 / max(p, 1e-12) if ok else 0.0), (tilt if c.mode == "sample" else 1.0)
 
     def _admit(self, z: np.ndarray, w: float) -> None:
-        if len(self.window) == self.cfg.window_size:
+        if len(self.window) == self.cfg.admission.window:
             old, was = self.window.popleft()
             self.moment -= (was * old)[:, None] * old
             self.mass -= was
@@ -99,25 +99,25 @@ class Subspace:
         self.accepted += 1
 
     def _refresh(self) -> None:
-        c = self.cfg
+        c = self.cfg.rank
         cov = self.moment / max(self.mass, 1e-12)
         values, vectors = np.linalg.eigh((cov + cov.T) / 2.0)
         values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-        self.candidate = energy_rank(values, c.retained_energy, c.min_rank, c.max_rank)
+        self.candidate = energy_rank(values, c.energy, c.least, c.most)
         energy = max(float(np.trace(cov)), 0.0)
         kept = float(np.einsum("ij,ik,kj->", self.basis, cov, self.basis))
         self.error = 0.0 if energy <= 1e-24 else float(np.sqrt(max(energy - kept, 0.0) / energy))
         if self.threshold is None:  # the first refresh sets the threshold and keeps the rank
             self.threshold, self.calm = self.error, 0
         else:
-            if self.error > self.threshold * (1.0 + c.rank_tolerance):
+            if self.error > self.threshold * (1.0 + c.tolerance):
                 self.rank, self.calm = max(self.rank, self.candidate), 0
             else:
                 self.calm += 1
-                if self.calm >= c.stable_intervals_before_shrink:
+                if self.calm >= c.patience:
                     self.rank, self.calm = min(self.rank, self.candidate), 0
-            self.threshold = c.threshold_smoothing * self.threshold + (1.0 - c.threshold_smoothing) * self.error
-        self.rank = int(np.clip(self.rank, c.min_rank, c.max_rank))
+            self.threshold = c.smoothing * self.threshold + (1.0 - c.smoothing) * self.error
+        self.rank = int(np.clip(self.rank, c.least, c.most))
         self.basis, self.spectrum = vectors[:, : self.rank].copy(), values[: self.rank].copy()
         self.refreshes += 1
 
@@ -128,7 +128,7 @@ class Subspace:
         before, due = self.rank, False
         if ok:
             self._admit(z, w)
-            due = len(self.window) >= max(self.cfg.max_rank + 2, 64) and self.accepted % self.cfg.basis_update_interval == 0
+            due = len(self.window) >= max(self.cfg.rank.most + 2, 64) and self.accepted % self.cfg.rank.interval == 0
         if due:
             self._refresh()
         return Step(lev, p, ok, w, tilt, due, self.rank != before, self.rank, self.error, self.threshold or 0.0, self.candidate)

@@ -29,7 +29,7 @@ def learn_stream(rows: DataFrame, configs: dict[str, dict]) -> DataFrame:
         if state.exists:
             method, scaler, last, late = pickle.loads(state.get[0])
         else:
-            method, scaler, last, late = AdaptiveMethod(StreamConfig(**configs[name])), RunningScale(), -1, 0
+            method, scaler, last, late = AdaptiveMethod(StreamConfig.flat(**configs[name])), RunningScale(), -1, 0
         pdf = pd.concat(list(batches)).sort_values("t", kind="stable").drop_duplicates("t")
         fresh = pdf[pdf["t"] > last]
         late += len(pdf) - len(fresh)

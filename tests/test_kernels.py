@@ -36,6 +36,7 @@ def test_controlled_run_equals_the_published_one(controlled, method, rank, ari):
     assert np.mean([s.rank for _, s in steps]) == pytest.approx(rank, abs=1e-8)
     if method == "proposed":
         ranks = np.array([s.rank for _, s in steps])
+        assert counters["state_bytes"] == 398368 == 65536 + 275232 + 57600  # projection, subspace, clusters
         assert (np.diff(ranks) != 0).sum() == 5 and ranks[-1] == 12
     found = []
     for number, centers, weights, basis in shots[1:]:
@@ -65,29 +66,29 @@ def test_categories_equal_the_published_number(controlled):
 
 
 def test_configuration_rules():
-    assert StreamConfig(64).max_rank == 32 and len(SEEDS) == 10
+    assert StreamConfig.flat(original_dim=64).rank.most == 32 and len(SEEDS) == 10
     for bad in ({"original_dim": 0}, {"min_rank": 9}, {"max_rank": 40}, {"decay": 0.0}, {"projection_mode": "identity"}, {"leverage_mode": "x"}, {"window_size": 8}):
         with pytest.raises(ValueError):
-            StreamConfig(**({"original_dim": 64} | bad))
+            StreamConfig.flat(**({"original_dim": 64} | bad))
     with pytest.raises(ValueError):
-        StreamConfig.from_dict({"original_dim": 3, "other": 1})
+        StreamConfig.flat(**{"original_dim": 3, "other": 1})
     cells = sensitivity_cells({"original_dim": 256})
     assert len(cells) == 15
     for _, _, p in cells:
-        StreamConfig(**p)
+        StreamConfig.flat(**p)
 
 
 def test_projection_kinds():
-    sparse = projection(StreamConfig(200, seed=3))
+    sparse = projection(StreamConfig.flat(original_dim=200, seed=3))
     assert set(np.round(np.unique(sparse), 9)) == set(np.round([-np.sqrt(3 / 32), 0, np.sqrt(3 / 32)], 9))
     assert abs((sparse == 0).mean() - 2 / 3) < 0.05
-    assert projection(StreamConfig(200, projection_mode="dense")).std() == pytest.approx(1 / np.sqrt(32), rel=0.05)
-    assert (projection(StreamConfig(32, projection_mode="identity")) == np.eye(32)).all()
+    assert projection(StreamConfig.flat(original_dim=200, projection_mode="dense")).std() == pytest.approx(1 / np.sqrt(32), rel=0.05)
+    assert (projection(StreamConfig.flat(original_dim=32, projection_mode="identity")) == np.eye(32)).all()
 
 
 def test_admission_only_filters_the_sketch():
     x = np.random.default_rng(123).normal(size=(180, 16))
-    cfg = StreamConfig(16, projection_dim=8, window_size=128, max_rank=8, basis_update_interval=20, seed=1)
+    cfg = StreamConfig.flat(original_dim=16, projection_dim=8, window_size=128, max_rank=8, basis_update_interval=20, seed=1)
     space = Subspace(cfg)
     steps = [space.observe(z) for z in x @ projection(cfg)]
     assert space.seen == 180 and 0 < space.accepted < 180
