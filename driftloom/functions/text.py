@@ -2,24 +2,81 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WORD = r"[\p{L}\p{N}_]{2,}"  # letters and digits of any script
 
-def grams(text: Column) -> Column:
-    """Words of two or more word characters and their pairs, lower-cased."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
-def bucket(gram: Column, buckets: int) -> Column:
+
+def with_pairs(tokens: Column) -> Column:
+    """Tokens and their neighboring pairs."""
+    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(tokens, pairs)
+
+
+def md5_slot(gram: Column, buckets: int) -> Column:
     """Slot of a gram by the first eight hexadecimal digits of its md5."""
     return (F.conv(F.substring(F.md5(gram.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
-def hashed_features(docs: DataFrame, buckets: int = 2048) -> DataFrame:
-    """doc_id, slot, value: counts of hashed grams as unit vectors."""
-    hits = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("g")).groupBy("doc_id", bucket(F.col("g"), buckets).alias("slot")).agg(F.count("*").alias("n"))
-    norms = hits.groupBy(F.col("doc_id").alias("_d")).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-    return hits.join(norms, F.col("doc_id") == F.col("_d")).select("doc_id", "slot", (F.col("n") / F.col("_norm")).alias("value"))
+def murmur3(data: bytes, seed: int = 0) -> int:
+    """The 32-bit MurmurHash3 (x86) of some bytes, signed."""
+    mask = 0xFFFFFFFF
+
+    def scrambled(k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+
+    h, whole = seed, len(data) & ~3
+    for i in range(0, whole, 4):
+        h ^= scrambled(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    if whole < len(data):
+        h ^= scrambled(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & mask
+    return h - (1 << 32) if h >> 31 else h
+
+
+def murmur3_slots(buckets: int):
+    """A vectorized function: arrays of grams to arrays of |murmur3| modulo the buckets."""
+
+    @F.pandas_udf("array<int>")
+    def slots(grams: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def slot(g: str) -> int:
+            if g not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[g] = abs(murmur3(g.encode())) % buckets
+            return known[g]
+
+        return grams.map(lambda row: [slot(g) for g in row])
+
+    return slots
+
+
+def hashed_features(docs: DataFrame, buckets: int = 2048, mode: str = "md5") -> DataFrame:
+    """doc_id, slot, value: counts of hashed grams as unit vectors, for each row of docs (doc_id, text) by itself.
+
+    mode md5 stays in built-in functions; murmur3 is the hash that library vectorizers use.  A row is
+    counted where it lies: nothing is shuffled.
+    """
+    if mode not in ("md5", "murmur3"):
+        raise ValueError(f"unknown mode: {mode}")
+    split = docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", with_pairs(F.col("_w")).alias("_g"))
+    slots = F.transform("_g", lambda g: md5_slot(g, buckets)) if mode == "md5" else murmur3_slots(buckets)("_g")
+    placed = split.select("doc_id", F.array_sort(slots).alias("_s")).withColumn("_d", F.array_distinct("_s"))
+    # Equal slots lie together: a slot's count is the distance from its first place to the next one's.
+    first = placed.select("doc_id", "_d", F.concat(F.transform("_d", lambda d: F.array_position("_s", d)), F.array(F.size("_s") + F.lit(1).cast("long"))).alias("_p"))
+    counted = first.select("doc_id", "_d", F.transform("_d", lambda d, i: F.element_at("_p", i + 2) - F.element_at("_p", i + 1)).alias("_n"))
+    norm = F.sqrt(F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n * n))
+    hits = counted.select("doc_id", norm.alias("_norm"), F.explode(F.arrays_zip("_d", "_n")).alias("h"))
+    return hits.select("doc_id", F.col("h._d").alias("slot"), (F.col("h._n") / F.col("_norm")).alias("value"))

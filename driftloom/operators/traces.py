@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous
+
 
 def changes(trace: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose rank differs from the row before."""
-    w = Window.partitionBy(*by).orderBy("t")
-    return trace.withColumn("_before", F.lag("rank").over(w)).where(F.col("_before").isNotNull() & (F.col("_before") != F.col("rank"))).drop("_before")
+    return previous(trace, by, "rank", "_before").where(F.col("_before").isNotNull() & (F.col("_before") != F.col("rank"))).drop("_before")
 
 
 def telemetry(trace: DataFrame, by: list[str]) -> DataFrame:
     """Mean, spread (of the population), range, number of changes and last value of the rank."""
-    w = Window.partitionBy(*by).orderBy("t")
-    moved = F.coalesce((F.lag("rank").over(w) != F.col("rank")).cast("long"), F.lit(0))
-    return trace.withColumn("_moved", moved).groupBy(*by).agg(
+    moved = F.coalesce((F.col("_before") != F.col("rank")).cast("long"), F.lit(0))
+    return previous(trace, by, "rank", "_before").withColumn("_moved", moved).groupBy(*by).agg(
         F.count("*").alias("observations"),
         F.avg("rank").alias("rank_mean"),
         F.stddev_pop("rank").alias("rank_sd"),
@@ -73,9 +73,8 @@ def recovery(chunks: DataFrame, drifts: DataFrame, by: list[str], share: float =
 
 def decimate(trace: DataFrame, by: list[str], every: int, marks: list[int]) -> DataFrame:
     """Every n-th row from the first, marked rows, and rows with a change."""
-    w = Window.partitionBy(*by).orderBy("t")
-    moved = F.coalesce(F.lag("rank").over(w) != F.col("rank"), F.lit(False))
-    kept = trace.withColumn("rank_changed", moved)
+    moved = F.coalesce(F.col("_before") != F.col("rank"), F.lit(False))
+    kept = previous(trace, by, "rank", "_before").withColumn("rank_changed", moved).drop("_before")
     return kept.where((F.col("t") % every == 1) | F.col("t").isin(marks) | F.col("rank_changed"))
 
 

@@ -1,7 +1,7 @@
 """Vector operators: causal and range standardization, projection, nearest centers, neighbors, Lloyd steps.
 
-The relational forms work on (t, dim, value) rows, so any width distributes; dims are partitions of
-the windows, so no window spans a whole stream.
+The relational forms work on (t, dim, value) rows, so any width distributes; windows are by dim and
+bucket of arrival numbers, so none spans a whole stream.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import BUCKET, moments_before
+
 
 def melt(stream: DataFrame, features: str = "features") -> DataFrame:
     """t, dim (from 0), v."""
@@ -25,13 +27,15 @@ def finite(v: Column) -> Column:
     return F.when(F.isnan(v), 0.0).when(v == float("inf"), top).when(v == float("-inf"), -top).otherwise(v)
 
 
-def causal_standardize(cells: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """t, dim, z: each value by mean and spread of the rows before it; the first two rows are only centered."""
-    before = Window.partitionBy("dim").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.col("v") - F.coalesce(F.avg("v").over(before), F.lit(0.0))
-    spread = F.sqrt(F.var_samp("v").over(before) + eps)
-    z = F.when(F.count("v").over(before) < 2, off).otherwise(F.try_divide(off, spread))
-    return cells.select("t", "dim", finite(z).alias("z"))
+def causal_standardize(cells: DataFrame, eps: float = 1e-8, size: int = BUCKET) -> DataFrame:
+    """t, dim, z: each value by mean and spread of the rows before it; the first two rows are only centered.
+
+    Rows meet by dim and bucket of `size` arrival numbers, so tasks grow with the stream, not only with its width.
+    """
+    seen = moments_before(cells, size)
+    off = F.col("v") - F.coalesce("mean", F.lit(0.0))
+    z = F.when(F.col("n") < 2, off).otherwise(F.try_divide(off, F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1) + eps)))
+    return seen.select("t", "dim", finite(z).alias("z"))
 
 
 def range_scale(cells: DataFrame, prefix: int | None = None, eps: float = 1e-12) -> DataFrame:
@@ -45,6 +49,14 @@ def range_scale(cells: DataFrame, prefix: int | None = None, eps: float = 1e-12)
     return cells.join(bounds, "dim").select("t", "dim", scaled.alias("z"))
 
 
+def sparse_range_scale(cells: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """t, dim, z of sparse cells: values over the largest of their dim.  Absent cells stay 0, so a negative value raises: it would make them dense."""
+    low = F.raise_error(F.concat(F.lit("negative value in dim "), F.col("dim").cast("string"))).cast("double")
+    checked = cells.withColumn("v", F.when(F.col("v") < -eps, low).otherwise(F.col("v")))
+    top = checked.groupBy(F.col("dim").alias("_dim")).agg(F.max("v").alias("hi"))
+    return checked.join(top, F.col("dim") == F.col("_dim")).select("t", "dim", (F.col("v") / F.greatest("hi", F.lit(eps))).alias("z"))
+
+
 def project(cells: DataFrame, omega: DataFrame) -> DataFrame:
     """t, j, z: rows times a (dim, j, w) matrix, whose size the configuration bounds."""
     return cells.join(F.broadcast(omega), "dim").groupBy("t", "j").agg(F.sum(F.col("v") * F.col("w")).alias("z"))

@@ -228,7 +228,7 @@ def hashed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HASHED_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}') AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]) ELSE [] END)) AS g FROM w),
 h AS (SELECT doc_id, (('0x' || substr(md5(g), 1, 8))::BIGINT % 2048)::INT AS slot, count(*) AS n FROM g GROUP BY doc_id, slot),
 n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY doc_id)

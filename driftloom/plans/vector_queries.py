@@ -12,7 +12,7 @@ from ..operators import admission, quality, vectors
 from ..sources import tables
 
 SEED = 7
-CFG = StreamConfig(original_dim=64, projection_dim=16, max_rank=16, window_size=64, seed=SEED, projection_seed=SEED)
+CFG = StreamConfig.flat(original_dim=64, projection_dim=16, max_rank=16, window_size=64, seed=SEED, projection_seed=SEED)
 PREFIX = 120  # rows before the first basis refresh
 REPS = 20
 CALIBRATION = 1000  # rows that the reference calibrates the radius on
@@ -139,7 +139,7 @@ def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = spark.createDataFrame(uniform_rows(), "t long, u double")
-    return admission.admissions(admission.leverage(_prefix(spark, sf_dir), CFG.initial_rank), u, CFG.window_size)
+    return admission.admissions(admission.leverage(_prefix(spark, sf_dir), CFG.rank.first), u, CFG.admission.window)
 
 
 def admission_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ m AS (SELECT x.j AS i, y.j AS j, sum(weight * x.z * y.z) / (SELECT sum(weight) F
 
 
 def error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.coordinate_error(_moments(spark, sf_dir), CFG.initial_rank).select(r6("error").alias("error"))
+    return admission.coordinate_error(_moments(spark, sf_dir), CFG.rank.first).select(r6("error").alias("error"))
 
 
 def energy_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Streams (t, features, label) over the tables of a data folder, and a dense arrival number without a single sort."""
+"""Streams (t, features, label) over the tables of a data folder; arrival numbers are dense and taken in buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,22 +18,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
 
 
-def arrival(df: DataFrame, coarse: Column, keys: list[str]) -> DataFrame:
-    """Adds t, the rank from 0 by `keys`, which `coarse` never decreases along: ranks within buckets of
-    coarse, plus the rows of the buckets before.  Only the table of buckets is ordered as a whole."""
-    marked = df.withColumn("_bucket", coarse)
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("_bucket").alias("_b"), before.alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    return marked.withColumn("_inside", inside).join(offsets, F.col("_bucket") == F.col("_b")).withColumn("t", (F.col("_offset") + F.col("_inside")).cast("long")).drop("_bucket", "_b", "_inside", "_offset")
-
-
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numeric features of line items in key order, labelled by return flag."""
     li = table(spark, sf_dir, "lineitem")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    li = arrival(li, F.floor(F.col("l_orderkey") / 1024), keys)
+    li = ranked(li, [], F.floor(F.col("l_orderkey") / 1024), keys)
     values = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
     label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return li.select("t", values.alias("features"), label.alias("label"))
@@ -40,7 +31,7 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as traces of ten runs: seed, t from 1 in order of time, a rank from the value, and the event's type."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("seed").orderBy("ts", "event_id")
     e = e.select((F.col("user_id") % 10).cast("int").alias("seed"), "ts", "event_id", "event_type", "value")
     rank = (4 + F.floor(F.abs(F.col("value"))) % 5).cast("int")
-    return e.withColumn("t", F.row_number().over(w).cast("long")).select("seed", "t", rank.alias("rank"), "event_type", "value", "event_id")
+    e = ranked(e, ["seed"], 24 * F.datediff("ts", F.lit("1970-01-01")) + F.hour("ts"), ["ts", "event_id"])
+    return e.withColumn("t", F.col("t") + 1).select("seed", "t", rank.alias("rank"), "event_type", "value", "event_id")
