@@ -1,30 +1,31 @@
 """The run matrix: every (method, seed, variant) is one ordered state machine, so runs are the unit of parallelism.
 
-`run_matrix` replicates the stream to the runs and lets each grouped task learn its stream in
-order; it emits a trace row for each observation and, at chunk ends, snapshot rows.  Evaluation is
-apart from learning: `evaluate` clusters each snapshot, assigns the chunk's rows to the centers and
-scores the partition with DataFrame aggregates.  Labels never reach a kernel.
+The stream is dealt to the runs' partitions, sorted by t, and streams through a task in Arrow
+batches; a task holds a run's state, one batch and the rows of an unfinished chunk (at the start, of the
+calibration prefix), never the stream.  `run_matrix` emits a trace row for each observation and,
+at chunk ends, snapshot rows.  Evaluation is apart from learning: `evaluate` clusters each snapshot,
+assigns the chunk's rows to the centers and scores the partition with DataFrame aggregates.
+Labels never reach a kernel.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import StreamConfig
+from ..config import StreamConfig, study
 from ..kernels.kmeans import assign, weighted_kmeans
 from ..kernels.methods import AdaptiveMethod, build
 from ..operators.quality import partition_quality
 
-TRACE = (
-    "kind string, method string, seed int, variant string, t long, chunk long, mc_id long, rank int, leverage double, prob double, accepted boolean, "
-    "error double, threshold double, updated boolean, rank_changed boolean, candidate_rank int, center_ix int, center array<double>, weight double, counters string"
-)
-_COLUMNS = [x.split()[0] for x in TRACE.split(", ")]
+CALIBRATION = 1000
 
 
 def run_cells(spark: SparkSession, cells: list[tuple[str, int, str, dict]]) -> DataFrame:
@@ -33,96 +34,224 @@ def run_cells(spark: SparkSession, cells: list[tuple[str, int, str, dict]]) -> D
     return spark.createDataFrame(rows, "run int, method string, seed int, variant string, params string")
 
 
-def learn(x: np.ndarray, t: np.ndarray, method: str, seed: int, params: dict, chunk: int, calibration: int = 1000):
-    """(trace rows, snapshots (chunk, centers, weights, basis), counters, rows in the method's space)."""
-    params = dict(params)
-    width = int(params.pop("features", x.shape[1]))
-    x = x[:, :width]
-    cfg = None
-    if method in ("proposed", "fixed_rank"):
-        pinned = {"initial_rank": 8, "min_rank": 8, "max_rank": 8} if method == "fixed_rank" else {}
-        cfg = StreamConfig(**({"original_dim": width, "seed": seed, "projection_seed": seed, "leverage_radius_strength": 0.0} | params | pinned))
-    model, view = build(method, width, seed, cfg, float(params.get("radius", 1.5)), x[:calibration])
-    z = view(x)
-    steps, shots = [], []
-    for a in range(0, len(z), chunk):
-        part = z[a : a + chunk]
-        if isinstance(model, AdaptiveMethod):
-            steps += model.learn_all(part)
+class Chunk(NamedTuple):
+    """What a run has learned up to the end of a chunk: its rows in the method's space, their steps, and the summary."""
+
+    number: int
+    t: np.ndarray
+    z: np.ndarray
+    steps: list
+    centers: np.ndarray
+    weights: np.ndarray
+    basis: np.ndarray | None
+
+
+class Run:
+    """One run over rows that come in order, in pieces of any size."""
+
+    def __init__(self, method: str, seed: int, params: dict, chunk: int, calibration: int = CALIBRATION) -> None:
+        self.method, self.seed, self.params, self.chunk, self.calibration = method, seed, dict(params), chunk, calibration
+        self.width = self.params.pop("features", None)
+        self.t, self.x, self.number = np.empty(0, np.int64), np.empty((0, 0)), 0
+        self.model, self.view = None, None
+
+    def _begin(self) -> None:
+        width, cfg = self.x.shape[1], None
+        if self.method in ("proposed", "fixed_rank"):
+            cfg = StreamConfig.flat(**(study(width, self.seed) | self.params | (study(width, self.seed, True) if self.method == "fixed_rank" else {})))
+        self.model, self.view = build(self.method, width, self.seed, cfg, float(self.params.get("radius", 1.5)), self.x[: self.calibration])
+
+    def _learn(self, n: int) -> Chunk:
+        t, x = self.t[:n], self.x[:n]
+        self.t, self.x = self.t[n:], self.x[n:]
+        z = self.view(x)
+        steps, basis = self.model.learn_all(z), None
+        if isinstance(self.model, AdaptiveMethod):  # only the adaptive ones tell of their steps
+            basis = self.model.basis()
         else:
-            model.learn_all(part)
-        shots.append((a // chunk, *model.snapshot(), model.basis().copy() if isinstance(model, AdaptiveMethod) and model.basis() is not None else None))
-    return steps, shots, model.counters(), z
+            steps = []
+        self.number += 1
+        return Chunk(self.number - 1, t, z, steps, *self.model.snapshot(), None if basis is None else basis.copy())
+
+    def feed(self, t: np.ndarray, x: np.ndarray, last: bool = False) -> Iterator[Chunk]:
+        """The chunks that these rows complete; with `last`, all that is left."""
+        x = np.asarray(x, np.float64)[:, : self.width]
+        self.t, self.x = np.concatenate([self.t, t]), np.concatenate([self.x, x]) if len(self.x) else x
+        if self.model is None:
+            if not len(self.x) or (len(self.x) < self.calibration and not last):
+                return
+            self._begin()
+        while len(self.x) >= self.chunk or (last and len(self.x)):
+            yield self._learn(min(self.chunk, len(self.x)))
+
+
+def learn(x: np.ndarray, t: np.ndarray, method: str, seed: int, params: dict, chunk: int, calibration: int = CALIBRATION):
+    """A whole run in memory: (steps, snapshots (chunk, centers, weights, basis), counters, rows in the method's space)."""
+    run = Run(method, seed, params, chunk, calibration)
+    done = list(run.feed(t, x, last=True))
+    shots = [(c.number, c.centers, c.weights, c.basis) for c in done]
+    return [s for c in done for s in c.steps], shots, run.model.counters(), np.concatenate([c.z for c in done])
+
+
+def rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch as a matrix; rows of unequal or missing width raise."""
+    lists = batch.column(batch.schema.get_field_index("features"))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if lists.null_count or len(flat) % max(len(lists), 1) or len(set(lists.value_lengths().to_pylist())) > 1:
+        raise ValueError("rows of a stream have one width")
+    return flat.reshape(len(lists), -1)
+
+
+def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema, ddl: str, emit) -> DataFrame:
+    """The rows that emit(cell) makes of each run: an object with .chunk(run, chunk) and .end(run), which yield column dictionaries."""
+    plan = {r["run"]: r for r in cells.collect()}  # a grid written out in code
+    numbers = F.array(*[F.lit(i) for i in plan]) if plan else F.array().cast("array<int>")
+    runs = stream.select(F.col("t").cast("long").alias("t"), F.transform("features", lambda v: v.cast("double")).alias("features"), F.explode(numbers).alias("run"))
+    runs = runs.repartition(max(1, 4 * len(plan)), "run").sortWithinPartitions("run", "t")
+
+    def table(cell, columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        every = {"method": [cell["method"]] * n, "seed": [cell["seed"]] * n, "variant": [cell["variant"]] * n} | columns
+        return pa.RecordBatch.from_arrays([pa.array(every[f.name], f.type) if f.name in every else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, run, out = None, None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if run is not None:
+                for c in run.feed(np.empty(0, np.int64), np.empty((0, run.x.shape[1])), last=True):
+                    yield from (table(plan[at], d) for d in out.chunk(run, c))
+                yield from (table(plan[at], d) for d in out.end(run))
+
+        for batch in batches:
+            number, t = batch.column("run").to_numpy(), batch.column("t").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if number[a] != at:
+                    yield from close()
+                    at = int(number[a])
+                    cell = plan[at]
+                    run, out = Run(cell["method"], cell["seed"], json.loads(cell["params"]), chunk), emit(cell)
+                for c in run.feed(t[a:b], rows_of(batch.slice(a, b - a))):
+                    yield from (table(plan[at], d) for d in out.chunk(run, c))
+        yield from close()
+
+    return runs.mapInArrow(work, ddl)
+
+
+TRACE = (
+    "kind string, method string, seed int, variant string, t long, chunk long, mc_id long, rank int, leverage double, prob double, accepted boolean, "
+    "error double, threshold double, updated boolean, rank_changed boolean, candidate_rank int, center_ix int, center array<double>, weight double, counters string"
+)
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ddl.split(", ")])
+
+
+STEP = ("rank", "leverage", "prob", "accepted", "error", "threshold", "updated", "rank_changed", "candidate_rank")
+
+
+class Told:
+    """Trace rows of the adaptive methods, snapshot rows and a final row of counters."""
+
+    def __init__(self, cell) -> None:
+        pass
+
+    def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
+        if c.steps:
+            n = len(c.steps)
+            columns = {name: [getattr(s, name) for _, s in c.steps] for name in STEP}
+            yield {"kind": ["step"] * n, "t": c.t, "chunk": [c.number] * n, "mc_id": [mc for mc, _ in c.steps]} | columns
+        n = len(c.centers)
+        if n:
+            yield {"kind": ["center"] * n, "chunk": [c.number] * n, "center_ix": range(n), "center": c.centers.tolist(), "weight": c.weights.tolist()}
+        if c.basis is not None:
+            n = c.basis.shape[1]
+            yield {"kind": ["basis"] * n, "chunk": [c.number] * n, "center_ix": range(n), "center": c.basis.T.tolist()}
+
+    def end(self, run: Run) -> Iterator[dict]:
+        yield {"kind": ["final"], "counters": [json.dumps({k: int(v) for k, v in run.model.counters().items()}, sort_keys=True)]}
 
 
 def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000) -> DataFrame:
     """stream: (t, features).  Trace rows of the adaptive methods, snapshot rows and a final row of counters for all."""
-    runs = stream.select("t", "features").crossJoin(F.broadcast(cells))  # cells is a grid written out in code
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        first = pdf.iloc[0]
-        x, t = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["t"].to_numpy()
-        steps, shots, counters, _ = learn(x, t, first["method"], int(first["seed"]), json.loads(first["params"]), chunk)
-        out = []
-        for i, (mc, s) in enumerate(steps):
-            out.append(
-                {"kind": "step", "t": int(t[i]), "chunk": i // chunk, "mc_id": mc, "rank": s.rank, "leverage": s.leverage, "prob": s.prob, "accepted": s.accepted}
-                | {"error": s.error, "threshold": s.threshold, "updated": s.updated, "rank_changed": s.rank_changed, "candidate_rank": s.candidate_rank}
-            )
-        for number, centers, weights, basis in shots:
-            out += [{"kind": "center", "chunk": number, "center_ix": j, "center": c.tolist(), "weight": float(w)} for j, (c, w) in enumerate(zip(centers, weights))]
-            if basis is not None:
-                out += [{"kind": "basis", "chunk": number, "center_ix": j, "center": b.tolist()} for j, b in enumerate(basis.T)]
-        out.append({"kind": "final", "counters": json.dumps({k: int(v) for k, v in counters.items()}, sort_keys=True)})
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        frame["center"] = [r.get("center") for r in out]
-        frame["counters"] = [r.get("counters") for r in out]
-        for name in ("method", "seed", "variant"):
-            frame[name] = first[name]
-        for name in ("t", "chunk", "mc_id"):
-            frame[name] = frame[name].astype("Int64")
-        for name in ("rank", "candidate_rank", "center_ix"):
-            frame[name] = frame[name].astype("Int32")
-        for name in ("accepted", "updated", "rank_changed"):
-            frame[name] = frame[name].astype("boolean")
-        return frame
-
-    return runs.groupBy("run").applyInPandas(one, TRACE)
+    return over_runs(stream, cells, chunk, arrow_schema(TRACE), TRACE, Told)
 
 
 PREDICTED = "method string, seed int, variant string, chunk long, t long, pred int"
+FINAL = "method string, seed int, variant string, model binary"
+
+
+def labels_of(z: np.ndarray, basis: np.ndarray | None, centers: np.ndarray) -> np.ndarray:
+    """Nearest center of rows that went through single precision, as stored representations do."""
+    z = z.astype(np.float32).astype(np.float64)
+    return assign(z if basis is None else (z @ basis) @ basis.T, centers).astype(np.int32)
 
 
 def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, starts: int = 1, steps: int = 20, warmup: int = 1, final: bool = False) -> DataFrame:
     """Deferred evaluation: the labels that k-means of the snapshot at a chunk's end gives the chunk's rows.
 
-    The first `warmup` chunks of a longer stream aren't scored.  With `final`, the last snapshot labels all rows instead (chunk -1).
+    The first `warmup` chunks of a longer stream aren't scored.  With `final`, the last snapshot labels all rows
+    instead (chunk -1): the runs' last models, a few centers each, are collected, and every row is labelled where it lies.
     """
-    runs = stream.select("t", "features").crossJoin(F.broadcast(cells))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        first = pdf.iloc[0]
-        x, t = np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["t"].to_numpy()
-        _, shots, _, z = learn(x, t, first["method"], int(first["seed"]), json.loads(first["params"]), chunk)
-        out = []
-        for number, centers, weights, basis in shots[-1:] if final else shots[warmup:] or shots:
-            rows = slice(None) if final else slice(number * chunk, (number + 1) * chunk)
-            number = -1 if final else number
-            part = z[rows].astype(np.float32).astype(np.float64)
-            part = part if basis is None else (part @ basis) @ basis.T
-            label = assign(part, weighted_kmeans(centers, weights, classes, int(first["seed"]), starts, steps))
-            out.append(pd.DataFrame({"chunk": number, "t": t[rows], "pred": label.astype(np.int32)}))
-        frame = pd.concat(out)
-        for name in ("method", "seed", "variant"):
-            frame[name] = first[name]
-        return frame[[x.split()[0] for x in PREDICTED.split(", ")]]
-
-    return runs.groupBy("run").applyInPandas(one, PREDICTED)
+
+    def centers(run: Run, c: Chunk) -> np.ndarray:
+        return weighted_kmeans(c.centers, c.weights, classes, run.seed, starts, steps)
+
+    class Scored:
+        def __init__(self, cell) -> None:
+            self.held: list[dict] | None = []
+
+        def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
+            row = {"chunk": [c.number] * len(c.t), "t": c.t, "pred": labels_of(c.z, c.basis, centers(run, c))}
+            if c.number < warmup:
+                self.held.append(row)
+            else:
+                self.held = None
+                yield row
+
+        def end(self, run: Run) -> Iterator[dict]:
+            yield from self.held or []
+
+    class Last:
+        def __init__(self, cell) -> None:
+            self.last: Chunk | None = None
+
+        def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
+            self.last = c
+            return iter(())
+
+        def end(self, run: Run) -> Iterator[dict]:
+            yield {"model": [pickle.dumps((run.width, run.view, self.last.basis, centers(run, self.last)))]}
+
+    if not final:
+        return over_runs(stream, cells, chunk, arrow_schema(PREDICTED), PREDICTED, Scored)
+    models = [(r["method"], r["seed"], r["variant"], pickle.loads(r["model"])) for r in over_runs(stream, cells, chunk, arrow_schema(FINAL), FINAL, Last).collect()]
+    shared, schema = stream.sparkSession.sparkContext.broadcast(models), arrow_schema(PREDICTED)  # a basis and `classes` centers for each run
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, n = rows_of(batch), batch.num_rows
+                for method, seed, variant, (width, view, basis, c) in shared.value:
+                    columns = ([method] * n, [seed] * n, [variant] * n, [-1] * n, batch.column("t"), labels_of(view(x[:, :width]), basis, c))
+                    yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(columns, schema)], schema=schema)
+
+    return stream.select(F.col("t").cast("long").alias("t"), "features").mapInArrow(label, PREDICTED)
+
+
+def with_labels(predicted: DataFrame, labels: DataFrame) -> DataFrame:
+    """predicted (t, ...) with the label of each row; a row without a label raises, as rows and labels are a pair."""
+    known = labels.select(F.col("t").alias("_t"), F.col("label").cast("long").alias("_label"))
+    missing = F.raise_error(F.concat(F.lit("no label for the row with t = "), F.col("t").cast("string"))).cast("long")
+    return predicted.join(known, F.col("t") == F.col("_t"), "left").withColumn("label", F.coalesce("_label", missing)).drop("_t", "_label")
 
 
 def evaluate(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, **how) -> DataFrame:
     """method, seed, variant, chunk, n, ari, nmi: predictions joined with the labels, which no kernel has seen."""
-    scored = predictions(stream, cells, classes, chunk, **how).join(stream.select("t", "label"), "t")
+    scored = with_labels(predictions(stream, cells, classes, chunk, **how), stream.select("t", "label"))
     return partition_quality(scored, ["method", "seed", "variant", "chunk"], "label", "pred")

@@ -58,7 +58,7 @@ class _Slice(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.rows, self.width, self.seed = int(options.get("rows", 9000)), int(options.get("width", 256)), int(options.get("seed", 2026))
-        self.slices = int(options.get("slices", 4))
+        self.slices, self.standardized = int(options.get("slices", 4)), str(options.get("standardized", "false")).lower() == "true"
 
     def partitions(self) -> list[_Slice]:
         cuts = np.linspace(0, self.rows, self.slices + 1).astype(int)
@@ -66,12 +66,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Slice):
         x, y, _ = controlled_stream(self.rows, self.width, self.seed)
+        x = causal_standardize(x[: partition.end]) if self.standardized else x
         for t in range(partition.first, partition.end):
             yield t, x[t].tolist(), int(y[t])
 
 
 class DriftSource(DataSource):
-    """``spark.read.format("drift_gmm")`` with options rows, width, seed, slices."""
+    """``spark.read.format("drift_gmm")`` with options rows, width, seed, slices, standardized (causally)."""
 
     @classmethod
     def name(cls) -> str:
