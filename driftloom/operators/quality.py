@@ -56,4 +56,7 @@ def windows_summary(quality: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.stddev_samp("ari"), F.lit(0.0)).alias("ari_sd"),
         F.min("ari").alias("ari_min"),
         F.max("ari").alias("ari_max"),
+        F.coalesce(F.stddev_samp("nmi"), F.lit(0.0)).alias("nmi_sd"),
+        F.min("nmi").alias("nmi_min"),
+        F.max("nmi").alias("nmi_max"),
     )

@@ -40,14 +40,28 @@ def read_npz(spark: SparkSession, path: str, rows: int | None = None, sha256: st
     return spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], VECTOR)
 
 
+def read_npz_labels(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(t, label) of an archive with an array y."""
+    with np.load(io.BytesIO(verified_bytes(spark, path)), allow_pickle=False) as data:
+        y = data["y"].astype(np.int64)
+    if rows is not None and len(y) != rows:
+        raise ValueError(f"{path}: {len(y)} labels instead of {rows}")
+    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "t long, label int")
+
+
+def is_absent(e: Exception) -> bool:
+    """Whether an error says that a file isn't there; Spark reports absent paths as analysis errors."""
+    return isinstance(e, FileNotFoundError) or "PATH_NOT_FOUND" in str(e)
+
+
 def read_first(spark: SparkSession, readers: list) -> DataFrame:
     """The first of several readers whose file is there."""
     missing = []
     for reader in readers:
         try:
             return reader()
-        except Exception as e:  # Spark reports absent paths as analysis errors
-            if "PATH_NOT_FOUND" not in str(e) and not isinstance(e, FileNotFoundError):
+        except Exception as e:
+            if not is_absent(e):
                 raise
             missing.append(str(e).splitlines()[0])
     raise FileNotFoundError("; ".join(missing))
@@ -76,6 +90,10 @@ def read_arff(spark: SparkSession, path: str, columns: tuple[str, ...] = ELECTRI
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("t"), F.trim("value").alias("line"))
     lines = lines.where(~F.col("line").rlike("^[@%]") & (F.col("line") != "") & (F.lower("line") != ",".join(columns)))
     parts = F.split("line", ",")
+    named = spark.read.text(path).where(F.lower(F.trim("value")).rlike("^@attribute\\s"))
+    told = [r["c"] for r in named.select(F.lower(F.regexp_extract(F.trim("value"), "(?i)^@attribute\\s+'?([^'\\s]+)", 1)).alias("c")).collect()]
+    if told and tuple(told) != tuple(columns):
+        raise ValueError(f"{path}: columns {told} instead of {list(columns)}")
     ok = F.size(parts) == len(columns)
     cells = [F.element_at(parts, i + 1) for i in range(len(columns))]
     numbers = F.array(*[F.trim(c).cast("double") for c in cells[:-1]])

@@ -145,7 +145,7 @@ def test_controlled_source_equals_the_arrays(spark):
 def test_any_split_into_batches_gives_one_trace(spark, tmp_path):
     x = np.random.default_rng(2).normal(size=(150, 16))
     params = {"original_dim": 16, "projection_dim": 16, "projection_mode": "identity", "max_rank": 16, "window_size": 64, "seed": 7}
-    method, scale = AdaptiveMethod(StreamConfig(**params)), RunningScale()
+    method, scale = AdaptiveMethod(StreamConfig.flat(**params)), RunningScale()
     want = [(t, *[f(v) for f, v in ((int, mc), (int, s.rank))]) for t, (mc, s) in enumerate(method.learn(scale.scale(v)) for v in x)]
     schema = "run string, t long, features array<double>"
     for name, cuts in (("one", [0, 150]), ("many", [0, 20, 90, 150])):
