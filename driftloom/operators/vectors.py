@@ -10,11 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordered import BUCKET, moments_before
 
+SMALL_ROWS = 200_000  # rows of a table that is broadcast or collected, at most
+
 
 def melt(stream: DataFrame, features: str = "features") -> DataFrame:
     """t, dim (from 0), v."""
@@ -59,20 +63,106 @@ def sparse_range_scale(cells: DataFrame, eps: float = 1e-12) -> DataFrame:
 
 def project(cells: DataFrame, omega: DataFrame) -> DataFrame:
     """t, j, z: rows times a (dim, j, w) matrix, whose size the configuration bounds."""
-    return cells.join(F.broadcast(omega), "dim").groupBy("t", "j").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
+    return cells.join(small(omega), "dim").groupBy("t", "j").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
 
 
-def project_batches(stream: DataFrame, omega: np.ndarray) -> DataFrame:
-    """t and features times omega, by Arrow batches; the fast form of `project` for dense rows."""
+def project_batches(stream: DataFrame, omega: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """t, features times omega, and the columns of keep, by Arrow batches; the fast form of `project` for dense rows."""
     shared = stream.sparkSession.sparkContext.broadcast(omega)
+    schema = T.StructType([stream.schema["t"], T.StructField("features", T.ArrayType(T.DoubleType())), *[stream.schema[c] for c in keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                z = rows_of(b) @ shared.value
+                yield pa.RecordBatch.from_arrays([b.column("t"), as_lists(z), *[b.column(c) for c in keep]], schema.names)
+
+    return stream.select("t", "features", *keep).mapInArrow(run, schema)
+
+
+def rows_of(batch: pa.RecordBatch, column: str = "features") -> np.ndarray:
+    """A column of lists as a matrix; rows of unequal or missing width raise."""
+    lists = batch.column(column)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if lists.null_count or len(flat) % max(len(lists), 1) or len(set(lists.value_lengths().to_pylist())) > 1:
+        raise ValueError("rows of a stream have one width")
+    return flat.reshape(len(lists), -1)
+
+
+def as_lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df marked for broadcast if it has that many rows at most; else as it is, and joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def center_matrix(centers: DataFrame, rows: int = SMALL_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """(numbers, rows) of a table (center, dim, c) by rising number; None if it has more cells than that."""
+    found = centers.select(F.col("center").cast("long"), F.col("dim").cast("long"), F.col("c").cast("double")).limit(rows + 1).collect()
+    if len(found) > rows:
+        return None
+    numbers = sorted({r[0] for r in found})
+    place = {n: i for i, n in enumerate(numbers)}
+    m = np.zeros((len(numbers), max((r[1] for r in found), default=-1) + 1))
+    for n, dim, c in found:
+        m[place[n], dim] = c
+    return np.array(numbers, np.int64), m
+
+
+def squared_to(x: np.ndarray, c: np.ndarray, digits: int = 9) -> np.ndarray:
+    """Squared distances of rows to centers by differences, rounded."""
+    out = np.empty((len(x), len(c)))
+    for j, row in enumerate(c):
+        off = x - row
+        out[:, j] = np.einsum("ij,ij->i", off, off)
+    return np.round(out, digits)
+
+
+def nearest_rows(stream: DataFrame, centers: DataFrame, keep: tuple[str, ...] = (), rows: int = SMALL_ROWS) -> DataFrame:
+    """t, center, d2 and the columns of keep: `nearest` of dense rows (t, features) by Arrow batches.
+
+    The centers are collected behind a check of their number; more of them go the way of joins.
+    """
+    held = center_matrix(centers, rows)
+    if held is None:
+        near = nearest(melt(stream), centers)
+        return near if not keep else near.join(stream.select("t", *keep), "t")
+    numbers, matrix = held
+    schema = T.StructType([stream.schema["t"], T.StructField("center", T.LongType()), T.StructField("d2", T.DoubleType()), *[stream.schema[c] for c in keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                z = np.stack(b["features"].to_numpy()).astype(np.float64) @ shared.value
-                yield pd.DataFrame({"t": b["t"], "features": list(z)})
+            if b.num_rows and len(numbers):
+                d2 = squared_to(rows_of(b), matrix)
+                j = d2.argmin(1)  # the first, which is the smaller center, in ties
+                yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(numbers[j]), pa.array(d2[np.arange(len(j)), j]), *[b.column(c) for c in keep]], schema.names)
 
-    return stream.select("t", "features").mapInPandas(run, "t long, features array<double>")
+    found = stream.select("t", "features", *keep).mapInArrow(run, schema)
+    return found.withColumn("center", F.col("center").cast(centers.schema["center"].dataType))
+
+
+def lloyd_rows(stream: DataFrame, centers: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Centers after one weighted step over dense rows (t, features, w); each batch sends a sum and a mass for each center."""
+    held = center_matrix(centers, rows)
+    if held is None:
+        return lloyd_step(melt(stream), stream.select("t", "w"), centers)
+    numbers, matrix = held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and len(numbers):
+                x, w = rows_of(b), b.column("w").to_numpy(zero_copy_only=False).astype(np.float64)
+                owner = np.equal.outer(np.arange(len(numbers)), squared_to(x, matrix).argmin(1)) * w
+                on = owner.sum(1) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[on]), as_lists((owner @ x)[on]), pa.array(owner.sum(1)[on])], ["own", "sums", "mass"])
+
+    parts = stream.select("features", "w").mapInArrow(run, "own long, sums array<double>, mass double")
+    parts = parts.select("own", "mass", F.posexplode("sums").alias("dim2", "s"))
+    moved = parts.groupBy("own", "dim2").agg((F.sum("s") / F.sum("mass")).alias("m"))
+    joined = centers.join(moved, (centers["center"] == moved["own"]) & (centers["dim"] == moved["dim2"]), "left")
+    return joined.select(centers["center"], centers["dim"], F.coalesce("m", "c").alias("c"))
 
 
 def class_centers(stream: DataFrame, label: str = "label") -> DataFrame:
@@ -87,8 +177,8 @@ def weighted_centers(cells: DataFrame, by: str, weight: str) -> DataFrame:
 
 
 def distances(cells: DataFrame, centers: DataFrame) -> DataFrame:
-    """t, center, d2 for every row and center; centers are a summary of bounded size."""
-    return cells.join(F.broadcast(centers), "dim").groupBy("t", "center").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d2"))
+    """t, center, d2 for every row and center; centers are broadcast if they are few."""
+    return cells.join(small(centers), "dim").groupBy("t", "center").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d2"))
 
 
 def nearest(cells: DataFrame, centers: DataFrame, digits: int = 9) -> DataFrame:
@@ -101,7 +191,7 @@ def nearest(cells: DataFrame, centers: DataFrame, digits: int = 9) -> DataFrame:
 def neighbors(points: DataFrame, k: int, itself: bool, digits: int = 9) -> DataFrame:
     """i, j, d, place: the k nearest rows of each row of a bounded prefix, ties to the smaller row."""
     other = points.select(F.col("t").alias("j"), "dim", F.col("v").alias("u"))
-    pairs = points.withColumnRenamed("t", "i").join(F.broadcast(other), "dim").groupBy("i", "j").agg(F.sum((F.col("v") - F.col("u")) * (F.col("v") - F.col("u"))).alias("d2"))
+    pairs = points.withColumnRenamed("t", "i").join(small(other), "dim").groupBy("i", "j").agg(F.sum((F.col("v") - F.col("u")) * (F.col("v") - F.col("u"))).alias("d2"))
     pairs = pairs if itself else pairs.where(F.col("i") != F.col("j"))
     w = Window.partitionBy("i").orderBy("d", "j")
     return pairs.select("i", "j", F.round(F.sqrt("d2"), digits).alias("d")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
@@ -175,7 +265,7 @@ def radius_of(near: DataFrame, k: int = 6, share: float = 0.8) -> DataFrame:
 def closest_pair(centers: DataFrame, digits: int = 9) -> DataFrame:
     """a, b, d2: the two closest centers."""
     other = centers.select(F.col("center").alias("b"), "dim", F.col("c").alias("u"))
-    pairs = centers.withColumnRenamed("center", "a").join(F.broadcast(other), "dim").where(F.col("a") < F.col("b"))
+    pairs = centers.withColumnRenamed("center", "a").join(small(other), "dim").where(F.col("a") < F.col("b"))
     d = pairs.groupBy("a", "b").agg(F.round(F.sum((F.col("c") - F.col("u")) * (F.col("c") - F.col("u"))), digits).alias("d2"))
     return d.agg(F.min(F.struct("d2", "a", "b")).alias("m")).select("m.a", "m.b", "m.d2")
 
@@ -212,7 +302,9 @@ def total(array: Column) -> Column:
 
 def resonance_choice(coded: DataFrame, prototypes: DataFrame, vigilance: float = 0.8, choice: float = 0.001, digits: int = 9) -> DataFrame:
     """t, category: of the prototypes that match well enough the one with the largest choice value, the later in ties; null if none."""
-    both = coded.crossJoin(F.broadcast(prototypes))  # prototypes are a bounded summary
+    if prototypes.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} prototypes: code them in blocks")
+    both = coded.crossJoin(F.broadcast(prototypes))  # every row against a summary of checked size
     match = total(F.zip_with("code", "proto", lambda a, b: F.least(a, b)))
     both = both.withColumn("match", match).withColumn("value", F.round(F.col("match") / (choice + total(F.col("proto"))), digits))
     fits = F.round(F.try_divide(F.col("match"), F.greatest(total(F.col("code")), F.lit(1e-12))), digits) >= vigilance

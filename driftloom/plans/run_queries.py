@@ -168,7 +168,7 @@ def _kernel_run(spark: SparkSession, sf_dir: str, begin, told, scaled: bool = Fa
     def work(batches):
         method, view, held = None, None, []
         for batch in batches:
-            x = runner.rows_of(batch)
+            x = vectors.rows_of(batch)
             if method is None:
                 held.append(x)
                 if sum(map(len, held)) < runner.CALIBRATION:

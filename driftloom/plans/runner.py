@@ -24,6 +24,7 @@ from ..config import StreamConfig, study
 from ..kernels.kmeans import assign, weighted_kmeans
 from ..kernels.methods import AdaptiveMethod, build
 from ..operators.quality import partition_quality
+from ..operators.vectors import rows_of
 
 CALIBRATION = 1000
 
@@ -93,15 +94,6 @@ def learn(x: np.ndarray, t: np.ndarray, method: str, seed: int, params: dict, ch
     return [s for c in done for s in c.steps], shots, run.model.counters(), np.concatenate([c.z for c in done])
 
 
-def rows_of(batch: pa.RecordBatch) -> np.ndarray:
-    """The features of a batch as a matrix; rows of unequal or missing width raise."""
-    lists = batch.column(batch.schema.get_field_index("features"))
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if lists.null_count or len(flat) % max(len(lists), 1) or len(set(lists.value_lengths().to_pylist())) > 1:
-        raise ValueError("rows of a stream have one width")
-    return flat.reshape(len(lists), -1)
-
-
 def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema, ddl: str, emit) -> DataFrame:
     """The rows that emit(cell) makes of each run: an object with .chunk(run, chunk) and .end(run), which yield column dictionaries."""
     plan = {r["run"]: r for r in cells.collect()}  # a grid written out in code

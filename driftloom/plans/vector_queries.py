@@ -72,13 +72,10 @@ def projection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows projected and assigned to the nearest class mean: t, truth, pred."""
-    stream = tables.embeddings(spark, sf_dir)
-    z = projected(spark, sf_dir)
-    labels = stream.select("t", "label")
-    centers = z.join(labels, "t").groupBy(F.col("label").alias("center"), F.col("j").alias("dim")).agg(F.avg("z").alias("c"))
-    near = vectors.nearest(z.select("t", F.col("j").alias("dim"), F.col("z").alias("v")), centers)
-    return near.join(labels, "t").select("t", F.col("label").alias("truth"), F.col("center").alias("pred"))
+    """Rows projected and assigned to the nearest class mean: t, truth, pred.  Rows pass in batches; only class means are shuffled."""
+    z = vectors.project_batches(tables.embeddings(spark, sf_dir), projection(CFG), ("label",))
+    near = vectors.nearest_rows(z, vectors.class_centers(z), ("label",))
+    return near.select("t", F.col("label").alias("truth"), F.col("center").alias("pred"))
 
 
 def stream_projection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +186,7 @@ def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.nearest(cells(spark, sf_dir), _reps(spark, sf_dir)).select("t", "center", r6("d2").alias("d2"))
+    return vectors.nearest_rows(tables.embeddings(spark, sf_dir), _reps(spark, sf_dir)).select("t", "center", r6("d2").alias("d2"))
 
 
 NEAREST_SQL = f"""
@@ -213,10 +210,10 @@ def within_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lloyd_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weighted steps from the first five rows."""
-    c, w = cells(spark, sf_dir), _masses(spark, sf_dir)
+    stream = tables.embeddings(spark, sf_dir).withColumn("w", (F.col("label") + 1).cast("double"))
     centers = _reps(spark, sf_dir).where(F.col("center") < 5)
     for _ in range(2):
-        centers = vectors.lloyd_step(c, w, centers)
+        centers = vectors.lloyd_rows(stream, centers)
     return centers.select("center", "dim", r6("c").alias("c"))
 
 

@@ -67,3 +67,30 @@ def test_features_of_words_of_any_script(spark, mode):
     assert Counter((r["doc_id"], r["slot"], round(r["value"], 9)) for r in out) == want
     with pytest.raises(ValueError):
         text.hashed_features(spark.createDataFrame(rows, "doc_id long, text string"), 64, "other")
+
+
+def test_batch_forms_equal_the_joins_and_fall_back_to_them(spark):
+    rng = np.random.default_rng(9)
+    x, c = rng.normal(size=(60, 4)).round(1), rng.normal(size=(5, 4)).round(1)
+    c[3] = c[1]  # a tie goes to the smaller center
+    stream = spark.createDataFrame([(i, v.tolist(), float(i % 3 + 1)) for i, v in enumerate(x)], "t long, features array<double>, w double")
+    centers = spark.createDataFrame([(10 * j, d, float(v)) for j, row in enumerate(c) for d, v in enumerate(row)], "center int, dim int, c double")
+    d2 = np.round(((x[:, None] - c) ** 2).sum(2), 9)
+    want = {(i, 10 * int(d2[i].argmin()), d2[i].min()) for i in range(60)}
+    for rows in (1000, 3):
+        assert {(r["t"], r["center"], r["d2"]) for r in vectors.nearest_rows(stream, centers, rows=rows).collect()} == want
+        assert vectors.nearest_rows(stream, centers, ("w",), rows=rows).where("w = t % 3 + 1").count() == 60
+        got = {(r["center"], r["dim"]): r["c"] for r in vectors.lloyd_rows(stream, centers, rows=rows).collect()}
+        for j in range(5):
+            own = d2.argmin(1) == j
+            mean = np.average(x[own], axis=0, weights=(np.arange(60) % 3 + 1)[own]) if own.any() else c[j]
+            assert np.allclose([got[10 * j, d] for d in range(4)], mean)
+    assert vectors.nearest_rows(stream.limit(0), centers).count() == 0
+
+
+def test_student_points_beyond_the_table(spark):
+    # 97.5 % points for 31, 60 and 100 degrees of freedom.
+    from driftloom.operators.paired import t975
+
+    got = spark.createDataFrame([(31,), (60,), (100,)], "v int").select(t975(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in got] == pytest.approx([2.039513, 2.000298, 1.983972], abs=3e-6)
