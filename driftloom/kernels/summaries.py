@@ -282,17 +282,17 @@ class TwoPools:
             return
         d = _distances(self.active.center, self.active.center[i])
         d[i] = np.inf
-        k = min(self.k, m - 1)
-        best = np.argpartition(d, k - 1)[:k]
-        best = best[d[best].argsort()]
-        self.near[i, :k], self.dist[i, :k] = best, d[best]
-        holds = self.near[:m] == i
-        for j in np.flatnonzero(holds.any(1) | (d < self.dist[:m, -1])):
-            if j != i:
-                at = int(holds[j].argmax()) if holds[j].any() else -1
-                self.near[j, at], self.dist[j, at] = i, d[j]
-                order = self.dist[j].argsort()
-                self.near[j], self.dist[j] = self.near[j, order], self.dist[j, order]
+        own = np.argpartition(d, min(self.k, m - 1) - 1)[: min(self.k, m - 1)]
+        own = own[d[own].argsort()]
+        self.near[i, : len(own)], self.dist[i, : len(own)] = own, d[own]
+        # i takes its own old place in a row, else the farthest one's; then the touched rows are sorted as one block.
+        old = self.near[:m] == i
+        rows = np.flatnonzero((old.any(1) | (d < self.dist[:m, -1])) & (np.arange(m) != i))
+        place = np.where(old[rows].any(1), old[rows].argmax(1), self.k - 1)
+        near, dist = self.near[rows], self.dist[rows]
+        near[np.arange(len(rows)), place], dist[np.arange(len(rows)), place] = i, d[rows]
+        order = dist.argsort(1)
+        self.near[rows], self.dist[rows] = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
 
     def _store_outlier(self, z: np.ndarray, w: float, t: int) -> None:
         if len(self.out.weight) < self.outliers:
