@@ -15,16 +15,21 @@ def leverage(z: DataFrame, rank: int, ridge: float = 1e-3) -> DataFrame:
     return z.where(F.col("j") < rank).groupBy("t").agg((F.sum(F.col("z") * F.col("z")) / (1.0 + ridge)).alias("leverage"))
 
 
-def admissions(scores: DataFrame, uniforms: DataFrame, window: int, rate: float = 0.65, floor: float = 0.05, least: float = 0.15, most: float = 1.0, by: list[str] | None = None) -> DataFrame:
-    """Adds n, q, prob, accepted, weight, influence and the admitted ordinal; up to `window` earlier scores are the norm."""
+def admissions(scores: DataFrame, uniforms: DataFrame, window: int, rate: float = 0.65, floor: float = 0.05, least: float = 0.15, most: float = 1.0, by: list[str] | None = None, mode: str = "sample") -> DataFrame:
+    """Adds n, q, prob, accepted, weight, influence and the admitted ordinal; up to `window` earlier scores are the norm.
+
+    mode: sample (by influence), uniform (at the rate), weight or off (all rows; before the first refresh both weigh 1).
+    """
+    if mode not in ("sample", "uniform", "weight", "off"):
+        raise ValueError(f"unknown mode: {mode}")
     run = Window.partitionBy(*(by or [F.lit(1)])).orderBy("t")
     recent = run.rowsBetween(-window, 0)
     n, total = F.count("*").over(recent), F.sum("leverage").over(recent) + floor
     q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("leverage") + floor / n) / total))
     out = scores.join(uniforms, "t").withColumn("n", n).withColumn("q", F.when(total <= 1e-15, 1.0 / n).otherwise(q))
     out = out.withColumn("influence", F.col("n") * F.col("q"))
-    out = out.withColumn("prob", F.least(F.lit(most), F.greatest(F.lit(least), rate * F.col("influence"))))
-    out = out.withColumn("accepted", F.col("u") <= F.col("prob"))
+    out = out.withColumn("prob", F.least(F.lit(most), F.greatest(F.lit(least), rate * F.col("influence") if mode == "sample" else F.lit(rate) if mode == "uniform" else F.lit(1.0))))
+    out = out.withColumn("accepted", F.col("u") <= F.col("prob") if mode in ("sample", "uniform") else F.lit(True))
     out = out.withColumn("weight", F.when(F.col("accepted"), 1.0 / F.greatest(F.col("prob"), F.lit(1e-12))).otherwise(0.0))
     return out.withColumn("ordinal", F.sum(F.col("accepted").cast("long")).over(run))
 

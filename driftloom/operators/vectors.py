@@ -289,6 +289,20 @@ def first_within(cells: DataFrame, centers: DataFrame, radius: float) -> DataFra
     return d.select("t", F.when(F.sqrt("d2") <= radius, F.col("center")).alias("center"))
 
 
+def first_fitting(cells: DataFrame, clusters: DataFrame, radius: float, digits: int = 9) -> DataFrame:
+    """t, center: of the clusters whose spread stays within the radius with the row added, the one with the nearest mean; null if none.
+
+    clusters: (center, dim, ls, ss, w), linear and squared sums with a weight.  The nearest cluster may not fit where a farther one does.
+    """
+    mean, w = F.col("ls") / F.greatest("w", F.lit(1e-12)), F.col("w") + 1.0
+    grown = (F.col("ls") + F.col("v")) / w
+    spread = F.greatest((F.col("ss") + F.col("v") * F.col("v")) / w - grown * grown, F.lit(0.0))
+    both = cells.join(small(clusters), "dim").groupBy("t", "center")
+    told = both.agg(F.round(F.sum((F.col("v") - mean) * (F.col("v") - mean)), digits).alias("d2"), F.round(F.sqrt(F.sum(spread)), digits).alias("r"))
+    best = told.groupBy("t").agg(F.min(F.when(F.col("r") <= radius, F.struct("d2", "center"))).alias("b"))
+    return best.select("t", F.col("b.center").alias("center"))
+
+
 def resonance_code(features: Column, power: float = 0.5) -> Column:
     """Complement code of clipped values and their powers, 4 times as wide."""
     x = F.transform(features, lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v.cast("double"))))

@@ -42,6 +42,11 @@ def histogram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.histogram(trace(spark, sf_dir), ["seed"]).select("seed", "rank", "n", r6("percent").alias("percent"))
 
 
+def pooled_histogram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank histogram of all runs together."""
+    return traces.histogram(trace(spark, sf_dir), []).select("rank", "n", r6("percent").alias("percent"))
+
+
 def chunk_ranks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = traces.chunk_ranks(trace(spark, sf_dir), ["seed"], CHUNK)
     return c.select("seed", "chunk", r6("rank_mean").alias("rank_mean"), "rank_min", "rank_max", "rank_changes")
@@ -257,6 +262,7 @@ def inventory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "rank_telemetry": telemetry_query,
     "rank_histogram": histogram_query,
+    "rank_histogram_pooled": pooled_histogram_query,
     "rank_chunks": chunk_ranks_query,
     "rank_changes": changes_query,
     "adaptation_delay": delay_query,
@@ -290,6 +296,7 @@ ORACLE_SQL = {
 WITH {TRACE}, m AS (SELECT *, coalesce((lag(rank) OVER (PARTITION BY seed ORDER BY t) <> rank)::INT, 0) AS moved FROM tr)
 SELECT seed, count(*) AS observations, round(avg(rank), 6) + 0.0 AS rank_mean, round(stddev_pop(rank), 6) + 0.0 AS rank_sd, min(rank) AS rank_min, max(rank) AS rank_max,
        sum(moved)::BIGINT AS rank_changes, arg_max(rank, t) AS rank_final FROM m GROUP BY seed""",
+    "rank_histogram_pooled": f"WITH {TRACE} SELECT rank, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM tr), 6) + 0.0 AS percent FROM tr GROUP BY rank",
     "rank_histogram": f"WITH {TRACE}, c AS (SELECT seed, rank, count(*) AS n FROM tr GROUP BY seed, rank) SELECT seed, rank, n, round(100.0 * n / sum(n) OVER (PARTITION BY seed), 6) + 0.0 AS percent FROM c",
     "rank_chunks": f"""
 WITH {TRACE}, m AS (SELECT *, t // 100 AS chunk, coalesce((lag(rank) OVER (PARTITION BY seed, t // 100 ORDER BY t) <> rank)::INT, 0) AS moved FROM tr)

@@ -154,6 +154,24 @@ a AS (SELECT p.*, u <= prob AS accepted, CASE WHEN u <= prob THEN 1.0 / prob ELS
 o AS (SELECT *, sum(accepted::INT) OVER (ORDER BY t) AS ordinal FROM a)"""
 
 
+def admission_modes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each mode admits, and with what weight in all."""
+    u = spark.createDataFrame(uniform_rows(), "t long, u double")
+    scores, out = admission.leverage(_prefix(spark, sf_dir), CFG.rank.first), None
+    for mode in ("sample", "uniform", "weight", "off"):
+        a = admission.admissions(scores, u, CFG.admission.window, mode=mode)
+        row = a.agg(F.lit(mode).alias("mode"), F.sum(F.col("accepted").cast("long")).alias("admitted"), r6(F.sum("weight")).alias("weight"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+ADMISSION_MODES_SQL = ADMITTED_SQL + """,
+v AS (SELECT u <= 0.65 AS ok FROM l JOIN u USING (t))
+SELECT 'sample' AS mode, sum(accepted::INT)::BIGINT AS admitted, round(sum(weight), 6) + 0.0 AS weight FROM o
+UNION ALL SELECT 'uniform', sum(ok::INT)::BIGINT, round(sum(CASE WHEN ok THEN 1 / 0.65::DOUBLE ELSE 0 END), 6) + 0.0 FROM v
+UNION ALL SELECT m, (SELECT count(*) FROM l), (SELECT count(*) FROM l)::DOUBLE FROM (VALUES ('weight'), ('off')) x(m)"""
+
+
 def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.weighted_moments(_prefix(spark, sf_dir), _admitted(spark, sf_dir), 40)
 
@@ -208,6 +226,25 @@ def within_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.first_within(cells(spark, sf_dir), _reps(spark, sf_dir), 1.2)
 
 
+def fitting_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes as clusters of sums: the first that a row fits into, in order of distance; the radius is their mean spread."""
+    stream = tables.embeddings(spark, sf_dir)
+    sums = stream.select("label", F.posexplode("features").alias("dim", "v")).groupBy(F.col("label").alias("center"), "dim")
+    clusters = sums.agg(F.sum("v").alias("ls"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("*").cast("double").alias("w"))
+    spread = clusters.groupBy("center").agg(F.sqrt(F.sum(F.col("ss") / F.col("w") - F.pow(F.col("ls") / F.col("w"), F.lit(2)))).alias("s"))
+    radius = spread.agg(F.round(F.avg("s"), 6)).first()[0] or 0.0
+    return vectors.first_fitting(cells(spark, sf_dir), clusters, radius)
+
+
+FITTING_SQL = f"""
+WITH {CELLS}, k AS (SELECT label AS center, dim, sum(v) AS ls, sum(v * v) AS ss, count(*)::DOUBLE AS w FROM cells GROUP BY label, dim),
+q AS (SELECT round(avg(s), 6) AS radius FROM (SELECT sqrt(sum(ss / w - (ls / w) ** 2)) AS s FROM k GROUP BY center)),
+d AS (SELECT cells.t, center, round(sum((v - ls / w) * (v - ls / w)), 9) AS d2,
+             round(sqrt(sum(greatest((ss + v * v) / (w + 1) - ((ls + v) / (w + 1)) * ((ls + v) / (w + 1)), 0.0))), 9) AS r
+      FROM cells JOIN k USING (dim) GROUP BY cells.t, center)
+SELECT t, arg_min(center, (d2, center)) FILTER (WHERE r <= radius) AS center FROM d, q GROUP BY t"""
+
+
 def lloyd_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weighted steps from the first five rows."""
     stream = tables.embeddings(spark, sf_dir).withColumn("w", (F.col("label") + 1).cast("double"))
@@ -350,6 +387,8 @@ QUERIES = {
     "nearest_center": nearest_query,
     "coreset_mass": coreset_mass_query,
     "nearest_within_radius": within_query,
+    "first_fitting_cluster": fitting_query,
+    "admission_modes": admission_modes_query,
     "weighted_lloyd_steps": lloyd_query,
     "knn_graph": neighbors_query,
     "calibration_radius": radius_query,
@@ -401,6 +440,8 @@ r AS (SELECT sum(c) OVER (ORDER BY place) / sum(c) OVER () AS cum FROM s WHERE p
 SELECT least(12, greatest(2, count(*) FILTER (round(cum, 12) < 0.7) + 1))::INT AS rank FROM r""",
     "nearest_center": NEAREST_SQL + " SELECT t, center, round(d2, 6) + 0.0 AS d2 FROM n",
     "coreset_mass": NEAREST_SQL + " SELECT center, round(sum(label + 1)::DOUBLE, 6) + 0.0 AS mass FROM n JOIN e USING (t) GROUP BY center",
+    "first_fitting_cluster": FITTING_SQL,
+    "admission_modes": ADMISSION_MODES_SQL,
     "nearest_within_radius": NEAREST_SQL + " SELECT t, CASE WHEN sqrt(d2) <= 1.2 THEN center END AS center FROM n",
     "weighted_lloyd_steps": _lloyd_sql(),
     "knn_graph": PAIRS_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j)::INT AS place FROM d WHERE i <> j) SELECT i, j, round(d, 6) + 0.0 AS d, place FROM r WHERE place <= 8",

@@ -94,3 +94,25 @@ def test_student_points_beyond_the_table(spark):
 
     got = spark.createDataFrame([(31,), (60,), (100,)], "v int").select(t975(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in got] == pytest.approx([2.039513, 2.000298, 1.983972], abs=3e-6)
+
+
+def test_sql_functions(spark):
+    from driftloom.functions import sql
+    from driftloom.operators.quality import partition_quality
+
+    sql.register(spark)
+    r = spark.sql("SELECT faded(4, 1, 2) AS f, admission_probability(9, 0.65, 0.15, 1) AS p, nearest_center(array(1D, 0D), array(array(5D, 5D), array(1D, 1D), array(1D, 1D))) AS i, squared_distance(array(0D, 3D), array(4D, 0D)) AS d").first()
+    assert (r["f"], r["p"], r["i"], r["d"]) == (1.0, 1.0, 1, 25.0)
+    rng = np.random.default_rng(4)
+    rows = [(g, int(a), int(b)) for g in range(4) for a, b in rng.integers(0, 1 + g, (30, 2))]
+    df = spark.createDataFrame(rows, "g int, y int, p int")
+    want = {x["g"]: (x["ari"], x["nmi"]) for x in partition_quality(df, ["g"], "y", "p").collect()}
+    got = {x["g"]: (x["a"], x["n"]) for x in df.groupBy("g").agg(F.expr("ari(y, p)").alias("a"), F.expr("nmi(y, p)").alias("n")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-12) for g in want)
+
+
+def test_the_first_that_fits_may_not_be_the_nearest(spark):
+    # The nearer cluster is already wide; the farther one stays within the radius.
+    clusters = spark.createDataFrame([(0, 0, 0.0, 40.0, 10.0), (1, 0, 30.0, 90.5, 10.0)], "center int, dim int, ls double, ss double, w double")
+    cells = spark.createDataFrame([(1, 0, 1.0), (2, 0, 90.0)], "t long, dim int, v double")
+    assert {r["t"]: r["center"] for r in vectors.first_fitting(cells, clusters, 1.0).collect()} == {1: 1, 2: None}
