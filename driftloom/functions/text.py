@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]{2,}"  # letters and digits of any script
 
@@ -13,15 +18,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def with_pairs(tokens: Column) -> Column:
-    """Tokens and their neighboring pairs."""
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(tokens, pairs)
-
-
-def md5_slot(gram: Column, buckets: int) -> Column:
+def md5_slot(gram: bytes, buckets: int) -> int:
     """Slot of a gram by the first eight hexadecimal digits of its md5."""
-    return (F.conv(F.substring(F.md5(gram.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    return int(hashlib.md5(gram).hexdigest()[:8], 16) % buckets
 
 
 def murmur3(data: bytes, seed: int = 0) -> int:
@@ -44,39 +43,47 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def murmur3_slots(buckets: int):
-    """A vectorized function: arrays of grams to arrays of |murmur3| modulo the buckets."""
+def murmur3_slot(gram: bytes, buckets: int) -> int:
+    """Slot of a gram as library vectorizers place it."""
+    return abs(murmur3(gram)) % buckets
 
-    @F.pandas_udf("array<int>")
-    def slots(grams: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-
-        def slot(g: str) -> int:
-            if g not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[g] = abs(murmur3(g.encode())) % buckets
-            return known[g]
 
-        return grams.map(lambda row: [slot(g) for g in row])
-
-    return slots
+SLOTS = {"md5": md5_slot, "murmur3": murmur3_slot}
+MEMO = 200_000
 
 
 def hashed_features(docs: DataFrame, buckets: int = 2048, mode: str = "md5") -> DataFrame:
-    """doc_id, slot, value: counts of hashed grams as unit vectors, for each row of docs (doc_id, text) by itself.
+    """doc_id, slot, value: counts of hashed words and neighboring pairs as unit vectors, for each row of docs (doc_id, text) by itself.
 
-    mode md5 stays in built-in functions; murmur3 is the hash that library vectorizers use.  A row is
-    counted where it lies: nothing is shuffled.
+    Words are found by built-in functions; a row's grams are counted where it lies, in Arrow batches, so nothing
+    is shuffled.  Rows without a word give no rows; rows that repeat an id are counted each for itself.
     """
-    if mode not in ("md5", "murmur3"):
+    if mode not in SLOTS:
         raise ValueError(f"unknown mode: {mode}")
-    split = docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", with_pairs(F.col("_w")).alias("_g"))
-    slots = F.transform("_g", lambda g: md5_slot(g, buckets)) if mode == "md5" else murmur3_slots(buckets)("_g")
-    placed = split.select("doc_id", F.array_sort(slots).alias("_s")).withColumn("_d", F.array_distinct("_s"))
-    # Equal slots lie together: a slot's count is the distance from its first place to the next one's.
-    first = placed.select("doc_id", "_d", F.concat(F.transform("_d", lambda d: F.array_position("_s", d)), F.array(F.size("_s") + F.lit(1).cast("long"))).alias("_p"))
-    counted = first.select("doc_id", "_d", F.transform("_d", lambda d, i: F.element_at("_p", i + 2) - F.element_at("_p", i + 1)).alias("_n"))
-    norm = F.sqrt(F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n * n))
-    hits = counted.select("doc_id", norm.alias("_norm"), F.explode(F.arrays_zip("_d", "_n")).alias("h"))
-    return hits.select("doc_id", F.col("h._d").alias("slot"), (F.col("h._n") / F.col("_norm")).alias("value"))
+    place = SLOTS[mode]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("slot", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def slot(gram: str) -> int:
+            at = known.get(gram)
+            if at is None:
+                if len(known) > MEMO:
+                    known.clear()
+                at = known[gram] = place(gram.encode(), buckets)
+            return at
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                row, slots, values = [], [], []
+                for i, found in enumerate(batch.column("_w").to_pylist()):
+                    at, n = np.unique([slot(g) for g in found + [f"{x} {y}" for x, y in zip(found, found[1:])]], return_counts=True)
+                    row.append(np.full(len(at), i))
+                    slots.append(at)
+                    values.append(n / np.sqrt(float(n @ n)) if len(n) else n)
+                ids = batch.column("doc_id").take(pa.array(np.concatenate(row).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(slots).astype(np.int32)), pa.array(np.concatenate(values).astype(np.float64))], schema.names)
+
+    return docs.select("doc_id", words(F.col("text")).alias("_w")).mapInArrow(run, schema)
