@@ -44,6 +44,7 @@ from .words import HashMemo, chunks, crc32_mod, documents, give_back, scramble,
 
 BITS = 18
 PIECE = 64
+BLOCK_WORDS = 1 << 17  # words that training steps through at once
 MAX_ROWS, MAX_BYTES = 3000, 12 << 20
 HELD_OUT = (5, 0)
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -93,7 +94,7 @@ class Messages:
         size = np.bincount(chain, minlength=len(start))
         many = -(-size // piece)  # pieces of each chain
         base = np.cumsum(many) - many
-        self.row, self.col = base[chain] + at // piece, at % piece
+        self.row, self.col = (base[chain] + at // piece).astype(np.int32), (at % piece).astype(np.int32)
         rows = int(many.sum())
         table = np.ones((piece, rows))
         table[self.col, self.row] = self.x
@@ -150,8 +151,18 @@ class Messages:
         """Expected transitions between neighbors of a chain, by (state, state): sums of exact pair marginals."""
         inner = np.flatnonzero(~self.first) - 1
         f, xb = self.f[inner], self.x[inner + 1] * self.b[inner + 1]
-        w = np.stack([np.full(len(f), self.m[0, 0]), self.m[0, 1] * xb, f * self.m[1, 0], f * self.m[1, 1] * xb], 1)
-        return (w / w.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+        total = self.m[0, 0] + self.m[0, 1] * xb + f * (self.m[1, 0] + self.m[1, 1] * xb)
+        return self.m * np.array([[(1 / total).sum(), (xb / total).sum()], [(f / total).sum(), (f * xb / total).sum()]])
+
+
+def emissions(scores: np.ndarray, bias: float, word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Log odds of each word.  scores: of each different word its own and what it adds to the word after and the word before."""
+    s = scores[word]
+    e = s[:, 0] + np.float32(bias)
+    same = doc[1:] == doc[:-1]
+    e[1:] += np.where(same, s[:-1, 1], 0)
+    e[:-1] += np.where(same, s[1:, 2], 0)
+    return e
 
 
 class Emissions(HashMemo):
@@ -179,11 +190,7 @@ class Emissions(HashMemo):
         if not len(doc):
             return np.zeros(0, np.float32), doc
         at = np.fromiter((i for ws in split for i in map(self.__getitem__, ws)), np.int64, len(doc))
-        s = np.frombuffer(self.scores, np.float32).reshape(-1, 3)[at]
-        e = s[:, 0] + np.float32(self.field.bias)
-        same = doc[1:] == doc[:-1]
-        e[1:] += np.where(same, s[:-1, 1], 0)
-        e[:-1] += np.where(same, s[1:, 2], 0)
+        e = emissions(np.frombuffer(self.scores, np.float32).reshape(-1, 3), self.field.bias, at, doc)
         if len(self.scores) > 450_000:
             self.reset()
         return e, doc
@@ -209,16 +216,16 @@ class Sample:
         self.sizes = np.array(sizes, np.int64)
         self.word = np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
-        self.slots = np.array([slots(w, bits) for w in number], np.int32).reshape(-1, 5)
+        self.slots = np.empty((len(number), 5), np.int32)
         unit: dict[bytes, int] = {}
         self.units = np.full((len(number), 4), -1, np.int32)  # a word and its beginnings
         for w, i in number.items():
+            self.slots[i] = slots(w, bits)
             for k, z in enumerate(stems(normal(w))):
                 if z:
                     self.units[i, k] = unit.setdefault(z, len(unit))
-        self.unit_names = list(unit)
-        memo = HashMemo()
-        self.hashes = memo.hashes(list(number))
+        self.n_units = len(unit)
+        self.hashes = HashMemo().hashes(list(number))
         self.start = np.cumsum(self.sizes) - self.sizes
 
     def words_of(self, i: int) -> np.ndarray:
@@ -236,7 +243,7 @@ def toxic_units(sample: Sample, y: np.ndarray, ratio: float = 10.0, evidence: fl
     clusters: dict[tuple[int, int], list[int]] = {}
     for i, label in enumerate(y):
         clusters.setdefault((int(label), sample.cluster_key(i)), []).append(i)
-    counts = np.zeros((2, len(sample.unit_names)), np.int64)
+    counts = np.zeros((2, sample.n_units), np.int64)
     for (label, _), members in clusters.items():
         found = np.unique(sample.units[np.unique(np.concatenate([sample.words_of(i) for i in members]))])
         counts[label, found[found >= 0]] += 1
@@ -251,27 +258,40 @@ def toxic_units(sample: Sample, y: np.ndarray, ratio: float = 10.0, evidence: fl
     return (share >= ratio) & (g >= evidence) & (p > q)
 
 
-def emissions(field: Field, word: np.ndarray, doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Log odds of each word; slot: the slots of each different word."""
-    e = field.own[slot].sum(1)[word] + np.float32(field.bias)
-    same = doc[1:] == doc[:-1]
-    e[1:] += np.where(same, field.before[slot[:, 0]][word[:-1]], 0)
-    e[:-1] += np.where(same, field.after[slot[:, 0]][word[1:]], 0)
-    return e
+def scores_of(field: Field, slot: np.ndarray) -> np.ndarray:
+    """What `emissions` needs of each different word, given its slots."""
+    return np.stack([field.own[slot].sum(1), field.before[slot[:, 0]], field.after[slot[:, 0]]], 1)
+
+
+def blocks(doc: np.ndarray, size: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """(from, to) of whole chains, about `size` words each: what is held at once doesn't grow with the sample."""
+    ends = [*(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
+    out, a, last = [], 0, 0
+    for e in ends:
+        if e - a > size and last > a:
+            out.append((a, last))
+            a = last
+        last = e
+    return [*out, (a, last)] if last > a else out
 
 
 def gradient(field: Field, word: np.ndarray, doc: np.ndarray, slot: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
     """The gradient of the log likelihood of the states gold, by the name of each weight."""
     size, n = 1 << field.bits, len(slot)
-    messages = Messages(emissions(field, word, doc, slot), doc, field.move)
-    d = gold - messages.marginals()
-    by_word = np.bincount(word, weights=d, minlength=n)
-    own = np.bincount(slot.ravel(), weights=np.repeat(by_word, slot.shape[1]), minlength=size)
-    inner = np.flatnonzero(doc[1:] == doc[:-1])
-    before = np.bincount(slot[:, 0], weights=np.bincount(word[inner], weights=d[inner + 1], minlength=n), minlength=size)
-    after = np.bincount(slot[:, 0], weights=np.bincount(word[inner + 1], weights=d[inner], minlength=n), minlength=size)
-    seen = np.bincount((2 * gold[inner] + gold[inner + 1]).astype(np.int64), minlength=4).reshape(2, 2)
-    return {"own": own, "before": before, "after": after, "bias": d.sum(), "move": seen - messages.pairs()}
+    scores, sums, bias, move = scores_of(field, slot), np.zeros((3, n)), 0.0, np.zeros((2, 2))
+    for a, b in blocks(doc):
+        w, c, y = word[a:b], doc[a:b], gold[a:b]
+        messages = Messages(emissions(scores, field.bias, w, c), c, field.move)
+        d = y - messages.marginals()
+        inner = np.flatnonzero(c[1:] == c[:-1])
+        sums[0] += np.bincount(w, weights=d, minlength=n)
+        sums[1] += np.bincount(w[inner], weights=d[inner + 1], minlength=n)
+        sums[2] += np.bincount(w[inner + 1], weights=d[inner], minlength=n)
+        bias += d.sum()
+        move += np.bincount((2 * y[inner] + y[inner + 1]).astype(np.int64), minlength=4).reshape(2, 2) - messages.pairs()
+    own = sum(np.bincount(slot[:, k], weights=sums[0], minlength=size) for k in range(slot.shape[1]))
+    before, after = (np.bincount(slot[:, 0], weights=s, minlength=size) for s in sums[1:])
+    return {"own": own, "before": before, "after": after, "bias": bias, "move": move}
 
 
 def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Field | None:
@@ -284,7 +304,7 @@ def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, ra
     if not telling.any():
         return None
     hot = (telling[np.maximum(sample.units, 0)] & (sample.units >= 0)).any(1)
-    gold = (hot[sample.word] & (y[sample.doc] == 1)).astype(np.float64)
+    gold = (hot[sample.word] & (y[sample.doc] == 1)).astype(np.float32)
     field = Field(bits)
     field.bias = -3.0
     squares: dict[str, np.ndarray] = {}
@@ -297,8 +317,13 @@ def fit(rows: list[tuple[bytes, object]], bits: int = BITS, rounds: int = 40, ra
             setattr(field, name, step.astype(np.float32) if name in ("own", "before", "after") else step)
         field.bias, field.move = float(field.bias), np.clip(field.move, -4, 4)
         field.move -= field.move[0, 0]
-    p = Messages(emissions(field, sample.word, sample.doc, sample.slots), sample.doc, field.move).marginals()
-    x1 = np.column_stack([np.ones(len(y)), evidence(p, sample.doc, len(y))])
+    x1, scores = np.zeros((len(y), 3)), scores_of(field, sample.slots)
+    x1[:, 0] = 1.0
+    for a, b in blocks(sample.doc):
+        c = sample.doc[a:b]
+        low, high = int(c[0]), int(c[-1]) + 1
+        p = Messages(emissions(scores, field.bias, sample.word[a:b], c), c, field.move).marginals()
+        x1[low:high, 1:] = evidence(p, c - low, high - low)
     w = np.zeros(3)
     for _ in range(25):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))

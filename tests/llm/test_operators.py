@@ -199,13 +199,14 @@ def test_gradient_of_the_field_against_finite_differences():
     word, gold = rng.integers(0, 6, len(doc)), rng.integers(0, 2, len(doc)).astype(float)
 
     def likelihood():
-        e, out = toxicity.emissions(field, word, doc, slot), 0.0
+        e, out = toxicity.emissions(toxicity.scores_of(field, slot), field.bias, word, doc), 0.0
         for d in range(3):
             at = np.flatnonzero(doc == d)
             y = gold[at].astype(int)
             out += e[at] @ y + sum(field.move[a, b] for a, b in zip(y, y[1:])) - enumerated(e[at], field.move)[0]
         return out
 
+    assert toxicity.blocks(doc, 8) == [(0, 8), (8, 13)] and toxicity.blocks(doc, 3) == [(0, 7), (7, 8), (8, 13)] and toxicity.blocks(doc[:0]) == []
     got = toxicity.gradient(field, word, doc, slot, gold)
     for name in ("own", "before", "after", "move"):
         values = getattr(field, name)
