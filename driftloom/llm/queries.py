@@ -15,6 +15,7 @@ from . import (
     quality_rules,
     sharding,
     substring_dedup,
+    token_files,
     topk,
     toxicity,
 )
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_topk": topk.query,
     "op9_token_group_join": jaccard_join.query,
     "op10_ring_sharding": sharding.query,
+    "op13_token_files": token_files.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

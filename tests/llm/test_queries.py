@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_ball_tree_topk": ["query_id", "rank", "vec_id", "score"],
     "op9_token_group_join": ["doc_id", "n_shingles", "component_id"],
     "op10_ring_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
