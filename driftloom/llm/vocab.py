@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-MEMO = 150_000
+MEMO = 250_000
 LONG = 64
 
 _ASCII = np.zeros(256, bool)
@@ -89,7 +89,9 @@ class Encoder:
         if not len(pieces):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         coded = pieces.dictionary_encode()
-        found = self.looked_up(coded.dictionary.to_pylist())
+        bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist()
+        data = coded.dictionary.buffers()[2].to_pybytes()
+        found = self.looked_up([data[a:b] for a, b in zip(bounds, bounds[1:])])
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size = np.array([len(x) >> 2 for x in found], np.int64)
         flat, begin = np.frombuffer(b"".join(found), "<u4").astype(np.int32), np.cumsum(size) - size
@@ -99,15 +101,39 @@ class Encoder:
         return flat[at], before[first]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 ones for themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+
 @lru_cache(maxsize=4)
 def byte_level(path: str, special: bool) -> Encoder:
-    """Ids of the ``tokenizers`` library without added tokens; special: their strings inside a text count as such."""
+    """Ids of the ``tokenizers`` library without added tokens; special: their strings inside a text count as such.
+
+    A piece that is a space and letters (of Latin scripts) at most is one word to the library, so its model alone is asked, which
+    spares the search for added tokens and words.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t, letters = Tokenizer.from_file(path), _byte_letters()
     t.encode_special_tokens = not special
-    return Encoder(lambda xs: [x.ids for x in t.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)], marks=True)
+    model = t.model
+
+    def encode(pieces: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        for piece in pieces:
+            word = piece.decode()
+            body = word[1:] if word.startswith(" ") else word
+            plain = len(piece) <= LONG and body.isalpha() and (body.isascii() or max(body) < "\u0250")
+            out.append([x.id for x in model.tokenize(piece.decode("latin-1").translate(letters))] if plain else None)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, t.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = x.ids
+        return out
+
+    return Encoder(encode, marks=True)
 
 
 @lru_cache(maxsize=4)

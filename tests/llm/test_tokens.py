@@ -14,7 +14,7 @@ from driftloom.llm.vocab import byte_level, pieces_of_words, vocabulary
 TEXTS = [
     "", " ", "  two  spaces ", "plain words here.", "don't we'll I'm 'sup x's.", "a\n\nb \n c\t d", "tail space ", " 　 wide   y", "x  y  z",
     "ünïcode — wörds 漢字かな \U0001f600 mixed", "日本語" * 300, "a" * 5000, "A" * 3000 + "b", "<|endoftext|> in <|endoftext|>text", "▁ marks ▁▁x y▁ z", "1234 5,678.90 (ok) [x];y:z!", "\x00 nul \x1c sep \x85 next",
-    " ".join(f"w{i % 97}," for i in range(4000)), "end.", "é combining ́x", " lead", "x  y   z    w", "<s> </s> <unk> <0x41>",
+    " ".join(f"w{i % 97}," for i in range(4000)), "end.", "é combining ́x", " lead", "x  y   z    w", "<s> </s> <unk> <0x41>", "größe Àpropos œuvre ǅ ªº µm Ünï naïve", "l'été d'ici we're",
 ]
 
 
