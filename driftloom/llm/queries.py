@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    alignment,
     jaccard_join,
     langid,
     mixing,
     packing,
+    periodic,
     quality_classifier,
     quality_rules,
     sharding,
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_topk": topk.query,
     "op9_token_group_join": jaccard_join.query,
     "op10_ring_sharding": sharding.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_tokenizer_alignment": alignment.query,
     "op13_token_files": token_files.query,
 }
 

@@ -143,3 +143,23 @@ def pieces_of_words(path: str) -> Encoder:
 
     s = sentencepiece.SentencePieceProcessor(model_file=path)
     return Encoder(lambda xs: s.encode([x[1:].decode() for x in xs], num_threads=1), marks=False)
+
+
+@lru_cache(maxsize=4)
+def byte_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    from tokenizers import Tokenizer
+
+    t, values = Tokenizer.from_file(path), {c: b for b, c in _byte_letters().items()}
+    names = [t.id_to_token(i) for i in range(t.get_vocab_size())]
+    return [bytes(values[c] for c in x) if all(c in values for c in x) else x.encode() for x in names]
+
+
+@lru_cache(maxsize=4)
+def piece_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a sentencepiece vocabulary, U+2581 as a space, byte pieces as their byte."""
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [s.id_to_piece(i) for i in range(s.get_piece_size())]
+    return [bytes([int(x[3:5], 16)]) if s.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]

@@ -15,6 +15,8 @@ COLUMNS = {
     "op8_ball_tree_topk": ["query_id", "rank", "vec_id", "score"],
     "op9_token_group_join": ["doc_id", "n_shingles", "component_id"],
     "op10_ring_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_tokenizer_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
