@@ -76,18 +76,18 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _before(array: Column, k: Column) -> Column:
-    """The entry before the k-th (from 0), 0 before the first."""
-    return F.when(k == 0, F.lit(0)).otherwise(F.get(array, k - 1))
-
-
 def _places(ends: Column, common: Column) -> Column:
-    """For each of the common ends, how many of the ends are no greater."""
+    """For each of the common ends, how many of the array's ends are no greater."""
     both = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(common, lambda c: c * 2 + 1)))
     marks = F.filter(F.transform(both, lambda x, i: F.when(x.bitwiseAND(1) == 1, i).otherwise(-1)), lambda i: i >= 0)
     return F.transform(marks, lambda p, k: p - k)
 
 
+def _starts(places: Column) -> Column:
+    """The place before each, 0 before the first."""
+    return F.when(F.size(places) == 0, places).otherwise(F.concat(F.array(F.lit(0)), F.slice(places, 1, F.size(places) - 1)))
+
+
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is made once for the row, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -110,46 +110,54 @@ def grouped(rows: DataFrame) -> DataFrame:
     _links has a number for each pair of ids that the text links: the pair, shifted by SHIFT, plus how often it's
     linked; ascending.  A pair that also occurs in a group of more than WIDE links may be there more than once.
     """
-    # Each select uses what the one before it made at least twice; Catalyst would else put it into a lambda and make it anew for each entry.
+    # Catalyst writes a column that a later select uses once into that use, even into a lambda, which would make it anew for
+    # each entry; _with binds what lambdas read.
     common = rows.select("doc_id", "a_ids", "b_ids", "a_ends", "b_ends", F.array_intersect("a_ends", "b_ends").alias("_c"))
     cut = common.select("doc_id", "a_ids", "b_ids", _places(F.col("a_ends"), F.col("_c")).alias("_a"), _places(F.col("b_ends"), F.col("_c")).alias("_b"))
-
-    def a_side(p: Column, k: Column) -> Column:
-        return F.slice("a_ids", _before(F.col("_a"), k) + 1, p - _before(F.col("_a"), k))
-
-    def b_side(k: Column) -> Column:
-        return F.slice("b_ids", _before(F.col("_b"), k) + 1, F.get("_b", k) - _before(F.col("_b"), k))
-
-    def width(p: Column, k: Column) -> Column:
-        return (p - _before(F.col("_a"), k)).cast("long") * (F.get("_b", k) - _before(F.col("_b"), k))
-
-    def text(p: Column, k: Column) -> Column:
-        return F.concat(F.array_join(a_side(p, k).cast("array<string>"), ","), F.lit("|"), F.array_join(b_side(k).cast("array<string>"), ","))
-
-    def pairs(p: Column, k: Column) -> Column:
-        made = F.flatten(F.transform(a_side(p, k), lambda u: F.transform(b_side(k), lambda v: u.cast("long") * 65536 + v)))
-        return F.when(width(p, k) <= WIDE, made).otherwise(F.array().cast("array<bigint>"))
-
-    def reduced(k: Column) -> Column:
+    cut = cut.select("*", _starts(F.col("_a")).alias("_i"), _starts(F.col("_b")).alias("_j"))
+    sizes = _with(F.struct("_a", "_b", "_i", "_j"), lambda g: F.transform(g["_i"], lambda i, k: (F.get(g["_a"], k) - i).cast("long") * (F.get(g["_b"], k) - F.get(g["_j"], k))))
+    cut = cut.select("*", sizes.alias("_w"))
+    held = F.struct("a_ids", "b_ids", "_a", "_b", "_i", "_j", "_w")
+
+    # Of group k, i is the place of its first A token, _w its number of links; most groups are one token on either side.
+    def a_side(g: Column, i: Column, k: Column) -> Column:
+        return F.slice(g["a_ids"], i + 1, F.get(g["_a"], k) - i)
+
+    def b_side(g: Column, k: Column) -> Column:
+        return F.slice(g["b_ids"], F.get(g["_j"], k) + 1, F.get(g["_b"], k) - F.get(g["_j"], k))
+
+    def text(g: Column, i: Column, k: Column) -> Column:
+        one = F.concat(F.get(g["a_ids"], i).cast("string"), F.lit("|"), F.get(g["b_ids"], F.get(g["_j"], k)).cast("string"))
+        more = F.concat(F.array_join(a_side(g, i, k).cast("array<string>"), ","), F.lit("|"), F.array_join(b_side(g, k).cast("array<string>"), ","))
+        return F.when(F.get(g["_w"], k) == 1, one).otherwise(more)
+
+    def pairs(g: Column, i: Column, k: Column) -> Column:
+        pair = lambda u, v: u.cast("long") * 65536 + v
+        more = F.flatten(F.transform(a_side(g, i, k), lambda u: F.transform(b_side(g, k), lambda v: pair(u, v))))
+        one = F.array(pair(F.get(g["a_ids"], i), F.get(g["b_ids"], F.get(g["_j"], k))))
+        return F.when(F.get(g["_w"], k) == 1, one).when(F.get(g["_w"], k) <= WIDE, more).otherwise(F.array().cast("array<bigint>"))
+
+    def reduced(g: Column, k: Column) -> Column:
         one = lambda u, bs: F.transform(bs, lambda v: F.shiftleft(u["id"] * 65536 + v["id"], SHIFT) + u["n"] * v["n"])
-        return _with(_different(b_side(k)), lambda bs: F.flatten(F.transform(_different(a_side(F.get("_a", k), k)), lambda u: one(u, bs))))
+        return _with(_different(b_side(g, k)), lambda bs: F.flatten(F.transform(_different(a_side(g, F.get(g["_i"], k), k)), lambda u: one(u, bs))))
 
-    wide = F.filter(F.transform("_a", lambda p, k: F.when(width(p, k) > WIDE, k).otherwise(-1)), lambda k: k >= 0)
+    wide = F.filter(F.transform("_w", lambda w, k: F.when(w > WIDE, k).otherwise(-1)), lambda k: k >= 0)
     linked = cut.select(
         "doc_id",
         F.size("a_ids").cast("long").alias("n_a"),
         F.size("b_ids").cast("long").alias("n_b"),
-        F.size("_a").cast("long").alias("n_groups"),
-        F.aggregate(F.transform("_a", width), F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
-        F.array_join(F.transform("_a", text), ";").alias("groups"),
-        F.sort_array(F.flatten(F.transform("_a", pairs))).alias("_s"),
-        F.flatten(F.transform(wide, reduced)).alias("_wide"),
+        F.size("_w").cast("long").alias("n_groups"),
+        F.aggregate("_w", F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
+        F.array_join(_with(held, lambda g: F.transform(g["_i"], lambda i, k: text(g, i, k))), ";").alias("groups"),
+        F.sort_array(F.flatten(_with(held, lambda g: F.transform(g["_i"], lambda i, k: pairs(g, i, k))))).alias("_s"),
+        F.when(F.array_max("_w") > WIDE, _with(F.struct(held.alias("g"), wide.alias("at")), lambda x: F.flatten(F.transform(x["at"], lambda k: reduced(x["g"], k))))).alias("_wide"),
     )
-    last = F.transform("_s", lambda x, i: F.when(x == F.get("_s", i + 1), F.lit(-1).cast("long")).otherwise(F.shiftleft(x, SHIFT) + i))
-    last = linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "_wide", F.filter(last, lambda x: x >= 0).alias("_e"))
     low = F.lit((1 << SHIFT) - 1).cast("long")
-    counted = F.transform("_e", lambda x, k: x - F.when(k == 0, F.lit(-1).cast("long")).otherwise(F.get("_e", k - 1).bitwiseAND(low)))
-    return last.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", F.when(F.size("_wide") == 0, counted).otherwise(F.sort_array(F.concat(counted, "_wide"))).alias("_links"))
+    last = lambda s: F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), F.lit(-1).cast("long")).otherwise(F.shiftleft(x, SHIFT) + i))
+    times = lambda e: F.transform(e, lambda x, k: x - F.when(k == 0, F.lit(-1).cast("long")).otherwise(F.get(e, k - 1).bitwiseAND(low)))
+    counted = _with(F.filter(_with(F.col("_s"), last), lambda x: x >= 0), times)
+    both = F.when(F.col("_wide").isNull(), counted).otherwise(F.sort_array(F.concat(counted, "_wide")))
+    return linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", both.alias("_links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

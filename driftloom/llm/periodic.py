@@ -274,12 +274,17 @@ def planted(doc_id: Column, text: Column) -> Column:
     """The contract's input: in one text of ten, by the id's checksum, the words from some place on repeat with a period.  Texts of null ids stay."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
-    words = word_array(text)
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    spun = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.array_join(spun, " ")).otherwise(text)
+
+    def spun(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.transform(places, lambda i: F.get(words, i))
+
+    # The words are bound to a variable: written into the lambda, they would be split anew for each word.
+    changed = F.get(F.transform(F.array(word_array(text)), lambda words: F.array_join(spun(words), " ")), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), changed).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def positions(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens of every document, from the files' metadata columns alone."""
-    return _placed(read(spark, folder).select("doc_id", "part", "offset", "n_tokens"))
+    rows = read(spark, folder).select("doc_id", "part", "offset", "n_tokens")
+    return _placed(rows, rows)
 
 
 def documents_between(spark: SparkSession, folder: str, low: int, high: int) -> DataFrame:
@@ -105,9 +106,9 @@ def documents_between(spark: SparkSession, folder: str, low: int, high: int) ->
     return read(spark, folder).where(F.col("doc_id").between(low, high)).select("doc_id", "ids")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """rows (part, offset, n_tokens, others) with start in place of part and offset."""
-    files = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("n"))
+def _placed(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """rows (part, offset, n_tokens, others) with start in place of part and offset; all_rows: those of all files."""
+    files = all_rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("n"))
     starts = before_buckets(files, [], "part", ["n"]).select(F.col("part").alias("_part"), "n_before")
     placed = rows.join(starts, F.col("part") == F.col("_part"))
     rest = [c for c in rows.columns if c not in ("doc_id", "part", "offset", "n_tokens")]
@@ -134,4 +135,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
     write(documents(spark, sf_dir), folder)
-    return _placed(checksums(read(spark, folder))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _placed(checksums(read(spark, folder)), read(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")

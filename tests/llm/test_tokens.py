@@ -74,7 +74,7 @@ def test_query_against_the_library(spark, sf_dir, docs, library):
 def test_odd_rows(spark, odd_docs, library, tmp_path):
     folder = f"{tmp_path}/odd"
     token_files.write(odd_docs, folder)
-    got = [tuple(r) for r in token_files._placed(token_files.checksums(token_files.read(spark, folder))).collect()]
+    got = [tuple(r) for r in token_files._placed(token_files.checksums(token_files.read(spark, folder)), token_files.read(spark, folder)).collect()]
     rows = odd_docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
     assert sorted(got, key=lambda x: x[1]) == brute([(r.doc_id, r.text) for r in rows], library)
