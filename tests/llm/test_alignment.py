@@ -76,7 +76,7 @@ def test_special_texts_and_rare_pairs_by_shuffle(spark, sides, frequent):
     assert rows_of(alignment.align(df, frequent=frequent)) == sorted(plain(rows, sides), key=str)
 
 
-@pytest.mark.parametrize("wide", [0, 3, 10])
+@pytest.mark.parametrize("wide", [1, 3, 10])
 def test_wide_groups(spark, docs, sides, monkeypatch, wide):
     monkeypatch.setattr(alignment, "WIDE", wide)
     rows = [(r.doc_id, r.text[:3000] if r.text else None) for r in docs.select("doc_id", "text").limit(40).collect()]
