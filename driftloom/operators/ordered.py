@@ -43,6 +43,30 @@ def ranked(df: DataFrame, by: list[str], coarse: Column, keys: list[str], name:
     return out.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).select(*df.columns, name)
 
 
+def running_sum(df: DataFrame, by: list[str], value: Column, name: str, size: int = BUCKET) -> DataFrame:
+    """Adds the sum of a whole number over the rows up to this one, by t within by.  t: distinct within by."""
+    marked = df.withColumn("_bucket", F.floor(F.col("t") / size)).withColumn("_v", value.cast("long"))
+    sums = before_buckets(marked.groupBy(*by, "_bucket").agg(F.sum("_v").alias("_n")), by, "_bucket", ["_n"])
+    offsets = sums.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("_bucket").alias("__bucket"), F.col("_n_before").alias("_offset"))
+    inside = F.sum("_v").over(Window.partitionBy(*by, "_bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("_inside", inside).join(offsets, _on([*by, "_bucket"], [*[f"__{k}" for k in by], "__bucket"]))
+    return out.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).select(*df.columns, name)
+
+
+def trailing(df: DataFrame, by: list[str], width: int, aggregates: dict[str, Column], size: int = BUCKET) -> DataFrame:
+    """Adds aggregates over each row and up to ``width`` rows before it.  t: without gaps within by.
+
+    Each bucket of t takes a rim of the ``width`` rows before it along, so no task sees more than both, and one shuffle does.
+    """
+    size = max(size, width, 1)
+    bucket = F.floor(F.col("t") / size)
+    rim = F.when(F.col("t") >= (bucket + 1) * size - width, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    rows = df.withColumn("_own", bucket).withColumn("_bucket", F.explode(rim))
+    w = Window.partitionBy(*by, "_bucket").orderBy("t").rowsBetween(-width, 0)
+    told = rows.select("*", *[a.over(w).alias(k) for k, a in aggregates.items()])
+    return told.where(F.col("_own") == F.col("_bucket")).select(*df.columns, *aggregates)
+
+
 def previous(df: DataFrame, by: list[str], column: str, name: str, size: int = BUCKET) -> DataFrame:
     """Adds the column's value in the row before (by t within by); null in the first row.  t: distinct within by."""
     marked = df.withColumn("_bucket", F.floor(F.col("t") / size))
