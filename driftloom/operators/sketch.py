@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Admission, Rank
+from ..session import checkpointed
 from .ordered import BUCKET, running_sum, trailing
 from .vectors import as_lists, rows_of
 
@@ -256,7 +257,7 @@ def first_refresh(c: Rank, window: int) -> int:
 def bases(rows: DataFrame, admission: Admission, rank: Rank) -> DataFrame:
     """epoch (number of the refresh), rank, values, vectors, error, threshold, candidate of a run over rows (ordinal, weight, features), the admitted ones."""
     first = first_refresh(rank, admission.window)
-    found = spectra(window_moments(rows, admission, rank.interval).where((F.col("refresh") >= first) & F.lit(first > 0)), rank).checkpoint()
+    found = checkpointed(spectra(window_moments(rows, admission, rank.interval).where((F.col("refresh") >= first) & F.lit(first > 0)), rank))
     told = follow(errors(found, first), rank).withColumnRenamed("refresh", "epoch").drop("candidate")
     return found.join(told, F.col("refresh") == F.col("epoch")).select("epoch", "rank", "values", "vectors", "error", "threshold", "candidate")
 

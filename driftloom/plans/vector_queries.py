@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from ..config import StreamConfig
 from ..kernels.subspace import projection
-from ..operators import admission, quality, vectors
+from ..operators import quality, vectors
 from ..sources import tables
 
 SEED = 7
 CFG = StreamConfig.flat(original_dim=64, projection_dim=16, max_rank=16, window_size=64, seed=SEED, projection_seed=SEED)
-PREFIX = 120  # rows before the first basis refresh
 REPS = 20
 CALIBRATION = 1000  # rows that the reference calibrates the radius on
 
@@ -28,10 +27,6 @@ def omega_rows() -> list[tuple[int, int, float]]:
     return [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]
 
 
-def uniform_rows() -> list[tuple[int, float]]:
-    return [(i, float(u)) for i, u in enumerate(np.random.default_rng(SEED).random(PREFIX))]
-
-
 def omega(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(omega_rows(), "dim int, j int, w double")
 
@@ -129,75 +124,6 @@ def lineitem_standardize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("dim", F.floor(F.col("t") / 1000).cast("long").alias("chunk")).agg(F.round(F.avg("z"), 5).alias("z_mean"), F.round(F.max("z"), 5).alias("z_max"))
 
 
-def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = tables.embeddings(spark, sf_dir).where(F.col("t") < PREFIX)
-    return vectors.project(vectors.melt(stream), omega(spark))
-
-
-def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = spark.createDataFrame(uniform_rows(), "t long, u double")
-    return admission.admissions(admission.leverage(_prefix(spark, sf_dir), CFG.rank.first), u, CFG.admission.window)
-
-
-def admission_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _admitted(spark, sf_dir).withColumn("tilt", admission.leverage_weight(F.col("influence")))
-    return a.select("t", r6("leverage").alias("leverage"), "n", r6("q").alias("q"), r6("prob").alias("prob"), "accepted", r6("weight").alias("weight"), r6("tilt").alias("tilt"), "ordinal")
-
-
-ADMITTED_SQL = f"""
-WITH {PROJECTED}, u(t, u) AS ({values(uniform_rows())}),
-l AS (SELECT t, sum(z * z) / 1.001 AS leverage FROM z WHERE j < 8 AND t < {PREFIX} GROUP BY t),
-n AS (SELECT t, leverage, count(*) OVER w AS n, sum(leverage) OVER w + 0.05 AS total FROM l WINDOW w AS (ORDER BY t ROWS BETWEEN 64 PRECEDING AND CURRENT ROW)),
-q AS (SELECT *, least(1.0, greatest(0.0, (leverage + 0.05 / n) / total)) AS q FROM n),
-p AS (SELECT *, least(1.0, greatest(0.15, 0.65 * (n * q))) AS prob FROM q),
-a AS (SELECT p.*, u <= prob AS accepted, CASE WHEN u <= prob THEN 1.0 / prob ELSE 0.0 END AS weight FROM p JOIN u USING (t)),
-o AS (SELECT *, sum(accepted::INT) OVER (ORDER BY t) AS ordinal FROM a)"""
-
-
-def admission_modes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each mode admits, and with what weight in all."""
-    u = spark.createDataFrame(uniform_rows(), "t long, u double")
-    scores, out = admission.leverage(_prefix(spark, sf_dir), CFG.rank.first), None
-    for mode in ("sample", "uniform", "weight", "off"):
-        a = admission.admissions(scores, u, CFG.admission.window, mode=mode)
-        row = a.agg(F.lit(mode).alias("mode"), F.sum(F.col("accepted").cast("long")).alias("admitted"), r6(F.sum("weight")).alias("weight"))
-        out = row if out is None else out.union(row)
-    return out
-
-
-ADMISSION_MODES_SQL = ADMITTED_SQL + """,
-v AS (SELECT u <= 0.65 AS ok FROM l JOIN u USING (t))
-SELECT 'sample' AS mode, sum(accepted::INT)::BIGINT AS admitted, round(sum(weight), 6) + 0.0 AS weight FROM o
-UNION ALL SELECT 'uniform', sum(ok::INT)::BIGINT, round(sum(CASE WHEN ok THEN 1 / 0.65::DOUBLE ELSE 0 END), 6) + 0.0 FROM v
-UNION ALL SELECT m, (SELECT count(*) FROM l), (SELECT count(*) FROM l)::DOUBLE FROM (VALUES ('weight'), ('off')) x(m)"""
-
-
-def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.weighted_moments(_prefix(spark, sf_dir), _admitted(spark, sf_dir), 40)
-
-
-def moments_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moments(spark, sf_dir).select("i", "j", r6("c").alias("c"))
-
-
-MOMENTS_SQL = ADMITTED_SQL + """,
-k AS (SELECT t, weight FROM o WHERE accepted AND ordinal > (SELECT max(ordinal) FROM o) - 40),
-m AS (SELECT x.j AS i, y.j AS j, sum(weight * x.z * y.z) / (SELECT sum(weight) FROM k) AS c FROM z x JOIN k USING (t) JOIN z y ON x.t = y.t GROUP BY x.j, y.j)"""
-
-
-def error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.coordinate_error(_moments(spark, sf_dir), CFG.rank.first).select(r6("error").alias("error"))
-
-
-def energy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank of the coordinates' own energies, as of a spectrum."""
-    from pyspark.sql import Window
-
-    on = _moments(spark, sf_dir).where(F.col("i") == F.col("j"))
-    spectrum = on.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("c").desc(), "i")).alias("place"), F.col("c").alias("value"))
-    return admission.energy_rank(spectrum, 0.7, 2, 12)
-
-
 def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tables.embeddings(spark, sf_dir).where(F.col("t") < REPS)
     return vectors.melt(part).select(F.col("t").alias("center"), "dim", F.col("v").alias("c"))
@@ -380,15 +306,10 @@ QUERIES = {
     "full_range_scale": full_range_query,
     "feature_subset_prefix": feature_subset_query,
     "lineitem_stream_chunks": lineitem_stream_query,
-    "sketch_admission": admission_query,
-    "rolling_weighted_moments": moments_query,
-    "reconstruction_error": error_query,
-    "energy_rank": energy_query,
     "nearest_center": nearest_query,
     "coreset_mass": coreset_mass_query,
     "nearest_within_radius": within_query,
     "first_fitting_cluster": fitting_query,
-    "admission_modes": admission_modes_query,
     "weighted_lloyd_steps": lloyd_query,
     "knn_graph": neighbors_query,
     "calibration_radius": radius_query,
@@ -429,19 +350,9 @@ SELECT t, dim, round((v - lo) / greatest(hi - lo, 1e-12), 6) + 0.0 AS z FROM cel
     "lineitem_stream_chunks": f"""
 WITH {LINEITEMS_SQL} SELECT label, t // 1000 AS chunk, count(*) AS n, round(avg(l_quantity), 6) + 0.0 AS quantity, round(avg(l_extendedprice), 6) + 0.0 AS price
 FROM li GROUP BY label, chunk""",
-    "sketch_admission": ADMITTED_SQL + """
-SELECT t, round(leverage, 6) + 0.0 AS leverage, n, round(q, 6) + 0.0 AS q, round(prob, 6) + 0.0 AS prob, accepted, round(weight, 6) + 0.0 AS weight,
-       round(least(3.0, greatest(0.35, 0.5 + (n * q) / (1.0 + n * q))), 6) + 0.0 AS tilt, ordinal::BIGINT AS ordinal FROM o""",
-    "rolling_weighted_moments": MOMENTS_SQL + " SELECT i, j, round(c, 6) + 0.0 AS c FROM m",
-    "reconstruction_error": MOMENTS_SQL + " SELECT round(sqrt(greatest(sum(c) - sum(c) FILTER (i < 8), 0.0) / sum(c)), 6) + 0.0 AS error FROM m WHERE i = j",
-    "energy_rank": MOMENTS_SQL + """,
-s AS (SELECT row_number() OVER (ORDER BY c DESC, i) AS place, c FROM m WHERE i = j),
-r AS (SELECT sum(c) OVER (ORDER BY place) / sum(c) OVER () AS cum FROM s WHERE place <= 12)
-SELECT least(12, greatest(2, count(*) FILTER (round(cum, 12) < 0.7) + 1))::INT AS rank FROM r""",
     "nearest_center": NEAREST_SQL + " SELECT t, center, round(d2, 6) + 0.0 AS d2 FROM n",
     "coreset_mass": NEAREST_SQL + " SELECT center, round(sum(label + 1)::DOUBLE, 6) + 0.0 AS mass FROM n JOIN e USING (t) GROUP BY center",
     "first_fitting_cluster": FITTING_SQL,
-    "admission_modes": ADMISSION_MODES_SQL,
     "nearest_within_radius": NEAREST_SQL + " SELECT t, CASE WHEN sqrt(d2) <= 1.2 THEN center END AS center FROM n",
     "weighted_lloyd_steps": _lloyd_sql(),
     "knn_graph": PAIRS_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j)::INT AS place FROM d WHERE i <> j) SELECT i, j, round(d, 6) + 0.0 AS d, place FROM r WHERE place <= 8",

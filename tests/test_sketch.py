@@ -124,3 +124,22 @@ def test_empty_stream_and_short_windows(spark, stream):
     assert sketch.bases(none, config("off").admission, c.rank).count() == 0
     with pytest.raises(ValueError):
         sketch.admitted(stream, type(c.admission)(mode="other"), F.lit(0.0))
+
+
+def test_registered_run_equals_the_state_machine(spark, sf_dir):
+    from driftloom.kernels.subspace import projection
+    from driftloom.plans import sketch_queries as q
+    from driftloom.sources import tables
+
+    cfg = q.MOMENTS
+    rows = tables.embeddings(spark, sf_dir).orderBy("t").toPandas()
+    z = np.array(rows["features"].tolist()) @ projection(q.CFG)
+    machine = Subspace(cfg)
+    steps = [machine.observe(x) for x in z]
+    updates = [s for s in steps if s.updated]
+    told = q.basis_query(spark, sf_dir).orderBy("epoch").collect()
+    assert len(told) == len(updates) > 5
+    assert [(r.rank, r.candidate) for r in told] == [(s.rank, s.candidate_rank) for s in updates]
+    assert np.allclose([r.error for r in told], [s.error for s in updates], atol=1e-9)
+    scores = q.score_query(spark, sf_dir).orderBy("t").collect()
+    assert np.allclose([r.leverage for r in scores], [s.leverage for s in steps], atol=1e-8)
