@@ -1,18 +1,22 @@
 """Alignment of two tokenizations of each text.
 
-Python only tokenizes: for every text, the ids of both vocabularies and the byte offset at which each token ends.
+Python only tokenizes.  A text is cut at single spaces, where both vocabularies end a token whatever stands around; a
+slice of texts gives one row with its different pieces laid out one after the other (for both vocabularies the ids and the
+byte offset at which each token ends, and where each piece ends) and, for each text, which pieces it is made of.
+
 The rest is Spark's higher-order functions.  ``array_intersect`` of the two arrays of ends gives the offsets where
-both end a token, and so the groups.  Where a group ends within either array follows from sorting the array's ends
-together with the common ones (two ascending runs).  ``transform`` over these places slices the groups, ``aggregate``
-counts links, and nested ``transform`` makes the linked pairs of ids.  A pair is one number; a text's pairs are sorted and
-equal neighbours counted, so each text keeps a pair once, with how often it's linked.
+both end a token, and so the groups.  Where a group ends within either array, and a piece within the groups, follows from
+sorting an array's ends together with the others (two ascending runs).  ``transform`` over these places slices groups and
+makes the linked pairs of ids, ``sequence``-like places and ``aggregate`` count groups and links of pieces and texts.  As
+groups never cross pieces, each text is put together from what its pieces gave: pieces that a slice repeats are
+aligned once.  A pair is one number with how often it's linked; a text counts its equal pieces first.
 
 What the whole corpus says of a pair (in how many texts it's linked, and whether that's the most for its A id) is
 grouped once, after partial sums within tasks.  Texts get it back by a broadcast of the pairs, if there are
 ``FREQUENT`` at most; beyond that the most frequent ones are broadcast and the rest, which few texts hold, are
 joined by shuffle, so no frequent pair is ever a join key in one task.
 
-A group with more than ``WIDE`` links (texts that hardly share a token's end) is first reduced to the
+A group with more than ``WIDE`` links (pieces that hardly share a token's end) is first reduced to the
 different ids of either side, so that links are counted, not made.
 
 Cases: null and empty texts, and texts that either vocabulary doesn't give back byte for byte, have no tokens (zeros and an
@@ -31,9 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vocab import byte_level, byte_tokens, piece_tokens, pieces_of_words, vocabulary
+from .vocab import byte_level, byte_tokens, different, piece_tokens, pieces_of_words, vocabulary
 from .words import chunks, documents, ensure_checkpoint_dir, texts_of
 
+SLICE = 8 << 20
 WIDE = 4096
 FREQUENT = 1 << 20
 SHIFT = 31  # a pair takes 32 bits, the number of its links the rest
@@ -45,33 +50,49 @@ LAYOUT = {
 }
 
 
-def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends (in bytes of a space and the text) of every row of docs (doc_id, text)."""
-    kind = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([docs.select("doc_id").schema[0], *[T.StructField(x, kind, False) for x in ("a_ids", "a_ends", "b_ids", "b_ends")]])
+def tokens(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = SLICE) -> DataFrame:
+    """A row for each slice of docs (doc_id, text): a_ids, a_ends, b_ids, b_ends of its different pieces one after the other, in bytes,
+    p_ends (where each piece ends), and texts: doc_id, n_a, n_b and the numbers of the pieces of each."""
+    ints = T.ArrayType(T.IntegerType(), False)
+    count = [T.StructField(x, T.LongType(), False) for x in ("n_a", "n_b")]
+    text = T.StructType([docs.select("doc_id").schema[0], *count, T.StructField("pieces", ints, False)])
+    names = ["a_ids", "a_ends", "b_ids", "b_ends", "p_ends"]
+    schema = T.StructType([*[T.StructField(x, ints, False) for x in names], T.StructField("texts", T.ArrayType(text, False), False)])
+    fields = [f.name for f in text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = (byte_level(a_path, special=False), byte_tokens(a_path)), (pieces_of_words(b_path), piece_tokens(b_path))
-        sides = [(encode, parts, np.array([len(x) for x in parts], np.int64)) for encode, parts in sides]
-        for rows in chunks(batches, "text"):
-            texts = [b" " + x if x else b"" for x in texts_of(rows.column("text"))]
-            ends = np.cumsum([len(x) for x in texts])
-            found, good = [], np.ones(len(texts), bool)
-            for encode, parts, size in sides:
-                ids, before = encode(texts)
-                at = np.concatenate(([0], np.cumsum(size[ids])))
-                joined = b"".join(map(parts.__getitem__, ids.tolist()))
-                if not (np.array_equal(at[before[1:]], ends) and joined == b"".join(texts)):
-                    good &= [joined[at[a] : at[b]] == x for a, b, x in zip(before, before[1:], texts)]
-                found.append((ids, before, at))
-            columns = []
-            for ids, before, at in found:
-                n = np.where(good, np.diff(before), 0)
-                keep = np.repeat(good, np.diff(before))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                own = (at[1:] - np.repeat(at[before[:-1]], np.diff(before)))[keep].astype(np.int32)
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[keep], own)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], schema.names)
+        a_side, b_side = byte_level(a_path, special=False), pieces_of_words(b_path)
+        parts = byte_tokens(a_path), piece_tokens(b_path)
+        for rows in chunks(batches, "text", slice_bytes):
+            found, first = b_side.pieces([b" " + x if x else b"" for x in texts_of(rows.column("text"))])
+            which, pieces = different(found)
+            size = np.array([len(x) for x in pieces], np.int64)
+            good, sides = np.ones(len(pieces), bool), []
+            for encode, part in zip((a_side, b_side.known), parts):
+                ids, before = encode(pieces)
+                joined = list(map(part.__getitem__, ids.tolist()))
+                at = np.concatenate(([0], np.cumsum([len(x) for x in joined], dtype=np.int64)))
+                if b"".join(joined) != b"".join(pieces) or not np.array_equal(np.diff(at[before]), size):
+                    good &= [b"".join(joined[a:b]) == x for a, b, x in zip(before, before[1:], pieces)]
+                sides.append((ids, before, at))
+            base = np.cumsum(np.where(good, size, 0)) - np.where(good, size, 0)  # where each good piece begins
+            arrays, counts = [], []
+            for ids, before, at in sides:
+                n = np.diff(before)
+                keep = np.repeat(good, n)
+                ends = at[1:] + np.repeat(base - at[before[:-1]], n)
+                arrays += [ids[keep], ends[keep]]
+                counts.append(np.concatenate(([0], np.cumsum(n[which])))[first])
+            whole = np.concatenate(([0], np.cumsum(~good[which])))[first]
+            whole = np.diff(whole) == 0  # texts without a piece that isn't given back
+            arrays.append((base + size)[good])
+            own = np.repeat(whole, np.diff(first))
+            number = (np.cumsum(good) - 1)[which][own]
+            bounds = np.concatenate(([0], np.cumsum(np.where(whole, np.diff(first), 0))))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(number.astype(np.int32)))
+            told = pa.StructArray.from_arrays([rows.column("doc_id"), *[pa.array(np.where(whole, np.diff(n), 0)) for n in counts], lists], fields)
+            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32))) for x in arrays]
+            yield pa.RecordBatch.from_arrays([*one, pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), told)], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -104,60 +125,76 @@ def _different(ids: Column) -> Column:
     return _with(F.sort_array(ids), from_sorted)
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, a_ids, a_ends, b_ids, b_ends) as doc_id, n_a, n_b, n_groups, n_links, groups (text) and _links.
+def _part(array: Column, begin: Column, end: Column) -> Column:
+    return F.slice(array, begin + 1, end - begin)
+
 
-    _links has a number for each pair of ids that the text links: the pair, shifted by SHIFT, plus how often it's
-    linked; ascending.  A pair that also occurs in a group of more than WIDE links may be there more than once.
+def grouped(slices: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups (text) and _links of every text of ``tokens``.
+
+    _links has numbers for the pairs of ids that the text links: the pair, shifted by SHIFT, plus how often it's
+    linked; ascending.  A pair that different pieces link may be there more than once.
     """
     # Catalyst writes a column that a later select uses once into that use, even into a lambda, which would make it anew for
     # each entry; _with binds what lambdas read.
-    common = rows.select("doc_id", "a_ids", "b_ids", "a_ends", "b_ends", F.array_intersect("a_ends", "b_ends").alias("_c"))
-    cut = common.select("doc_id", "a_ids", "b_ids", _places(F.col("a_ends"), F.col("_c")).alias("_a"), _places(F.col("b_ends"), F.col("_c")).alias("_b"))
-    cut = cut.select("*", _starts(F.col("_a")).alias("_i"), _starts(F.col("_b")).alias("_j"))
+    common = slices.select("a_ids", "b_ids", "a_ends", "b_ends", "p_ends", "texts", F.array_intersect("a_ends", "b_ends").alias("_c"))
+    cut = common.select("a_ids", "b_ids", "texts", _places(F.col("a_ends"), F.col("_c")).alias("_a"), _places(F.col("b_ends"), F.col("_c")).alias("_b"), _places(F.col("_c"), F.col("p_ends")).alias("_p"))
+    cut = cut.select("*", _starts(F.col("_a")).alias("_i"), _starts(F.col("_b")).alias("_j"), _starts(F.col("_p")).alias("_h"))
     sizes = _with(F.struct("_a", "_b", "_i", "_j"), lambda g: F.transform(g["_i"], lambda i, k: (F.get(g["_a"], k) - i).cast("long") * (F.get(g["_b"], k) - F.get(g["_j"], k))))
     cut = cut.select("*", sizes.alias("_w"))
     held = F.struct("a_ids", "b_ids", "_a", "_b", "_i", "_j", "_w")
+    one, low = F.lit(1).cast("long"), F.lit((1 << SHIFT) - 1).cast("long")
 
     # Of group k, i is the place of its first A token, _w its number of links; most groups are one token on either side.
     def a_side(g: Column, i: Column, k: Column) -> Column:
-        return F.slice(g["a_ids"], i + 1, F.get(g["_a"], k) - i)
+        return _part(g["a_ids"], i, F.get(g["_a"], k))
 
     def b_side(g: Column, k: Column) -> Column:
-        return F.slice(g["b_ids"], F.get(g["_j"], k) + 1, F.get(g["_b"], k) - F.get(g["_j"], k))
+        return _part(g["b_ids"], F.get(g["_j"], k), F.get(g["_b"], k))
 
     def text(g: Column, i: Column, k: Column) -> Column:
-        one = F.concat(F.get(g["a_ids"], i).cast("string"), F.lit("|"), F.get(g["b_ids"], F.get(g["_j"], k)).cast("string"))
+        single = F.concat(F.get(g["a_ids"], i).cast("string"), F.lit("|"), F.get(g["b_ids"], F.get(g["_j"], k)).cast("string"))
         more = F.concat(F.array_join(a_side(g, i, k).cast("array<string>"), ","), F.lit("|"), F.array_join(b_side(g, k).cast("array<string>"), ","))
-        return F.when(F.get(g["_w"], k) == 1, one).otherwise(more)
-
-    def pairs(g: Column, i: Column, k: Column) -> Column:
-        pair = lambda u, v: u.cast("long") * 65536 + v
-        more = F.flatten(F.transform(a_side(g, i, k), lambda u: F.transform(b_side(g, k), lambda v: pair(u, v))))
-        one = F.array(pair(F.get(g["a_ids"], i), F.get(g["b_ids"], F.get(g["_j"], k))))
-        return F.when(F.get(g["_w"], k) == 1, one).when(F.get(g["_w"], k) <= WIDE, more).otherwise(F.array().cast("array<bigint>"))
-
-    def reduced(g: Column, k: Column) -> Column:
-        one = lambda u, bs: F.transform(bs, lambda v: F.shiftleft(u["id"] * 65536 + v["id"], SHIFT) + u["n"] * v["n"])
-        return _with(_different(b_side(g, k)), lambda bs: F.flatten(F.transform(_different(a_side(g, F.get(g["_i"], k), k)), lambda u: one(u, bs))))
-
-    wide = F.filter(F.transform("_w", lambda w, k: F.when(w > WIDE, k).otherwise(-1)), lambda k: k >= 0)
-    linked = cut.select(
-        "doc_id",
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        F.size("_w").cast("long").alias("n_groups"),
-        F.aggregate("_w", F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
-        F.array_join(_with(held, lambda g: F.transform(g["_i"], lambda i, k: text(g, i, k))), ";").alias("groups"),
-        F.sort_array(F.flatten(_with(held, lambda g: F.transform(g["_i"], lambda i, k: pairs(g, i, k))))).alias("_s"),
-        F.when(F.array_max("_w") > WIDE, _with(F.struct(held.alias("g"), wide.alias("at")), lambda x: F.flatten(F.transform(x["at"], lambda k: reduced(x["g"], k))))).alias("_wide"),
-    )
-    low = F.lit((1 << SHIFT) - 1).cast("long")
-    last = lambda s: F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), F.lit(-1).cast("long")).otherwise(F.shiftleft(x, SHIFT) + i))
-    times = lambda e: F.transform(e, lambda x, k: x - F.when(k == 0, F.lit(-1).cast("long")).otherwise(F.get(e, k - 1).bitwiseAND(low)))
-    counted = _with(F.filter(_with(F.col("_s"), last), lambda x: x >= 0), times)
-    both = F.when(F.col("_wide").isNull(), counted).otherwise(F.sort_array(F.concat(counted, "_wide")))
-    return linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", both.alias("_links"))
+        return F.when(F.get(g["_w"], k) == 1, single).otherwise(more)
+
+    def links(g: Column, i: Column, k: Column) -> Column:
+        link = lambda u, v, n: F.shiftleft(u.cast("long") * 65536 + v, SHIFT) + n
+        more = F.flatten(F.transform(a_side(g, i, k), lambda u: F.transform(b_side(g, k), lambda v: link(u, v, one))))
+        single = F.array(link(F.get(g["a_ids"], i), F.get(g["b_ids"], F.get(g["_j"], k)), one))
+        each = lambda u, bs: F.transform(bs, lambda v: link(u["id"], v["id"], u["n"] * v["n"]))
+        wide = _with(_different(b_side(g, k)), lambda bs: F.flatten(F.transform(_different(a_side(g, i, k)), lambda u: each(u, bs))))
+        return F.when(F.get(g["_w"], k) == 1, single).when(F.get(g["_w"], k) <= WIDE, more).otherwise(wide)
+
+    groups = cut.select(
+        "texts", "_p", "_h", "_w",
+        _with(held, lambda g: F.transform(g["_i"], lambda i, k: text(g, i, k))).alias("_t"),
+        _with(held, lambda g: F.transform(g["_i"], lambda i, k: links(g, i, k))).alias("_l"),
+    )
+
+    def by_piece(column: str, several: Callable[[Column], Column]) -> Column:
+        """What the groups of each piece give together."""
+        piece = lambda g, h, k: _with(F.get(g["_p"], k), lambda e: F.when(e - h == 1, F.get(g[column], h)).otherwise(several(_part(g[column], h, e))))
+        return _with(F.struct("_p", "_h", column), lambda g: F.transform(g["_h"], lambda h, k: piece(g, h, k)))
+
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, y: n + y)
+    pieces = groups.select("texts", "_p", "_h", by_piece("_t", lambda x: F.array_join(x, ";")).alias("_t"), by_piece("_l", F.flatten).alias("_l"), by_piece("_w", total).alias("_w"))
+
+    def repeated(links: Column, n: Column) -> Column:
+        return F.when(n == 1, links).otherwise(F.transform(links, lambda x: x + x.bitwiseAND(low) * (n - 1)))
+
+    def told(g: Column, d: Column) -> Column:
+        place = lambda x: x["id"].cast("int")
+        counted = lambda own: F.struct(
+            total(F.transform(own, lambda x: x["n"] * (F.get(g["_p"], place(x)) - F.get(g["_h"], place(x))))).alias("n_groups"),
+            total(F.transform(own, lambda x: x["n"] * F.get(g["_w"], place(x)))).alias("n_links"),
+            F.flatten(F.transform(own, lambda x: repeated(F.get(g["_l"], place(x)), x["n"]))).alias("_links"),
+        )
+        joined = F.array_join(F.transform(d["pieces"], lambda i: F.get(g["_t"], i)), ";")
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), joined.alias("groups"), _with(_different(d["pieces"]), counted).alias("of"))
+
+    texts = _with(F.struct("texts", "_p", "_h", "_t", "_l", "_w"), lambda g: F.transform(g["texts"], lambda d: told(g, d)))
+    each = pieces.select(F.explode_outer(texts).alias("x"))  # explode would make the array again to ask whether it's empty; a slice has a text
+    return each.select("x.doc_id", "x.n_a", "x.n_b", "x.of.n_groups", "x.of.n_links", "x.groups", F.sort_array("x.of._links").alias("_links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from .words import chunks, documents, ensure_checkpoint_dir, texts_of
 
 END = 2
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 
 LAYOUT = {
     "parquet.writer.version": "v2",

@@ -68,12 +68,10 @@ class Encoder:
 
     def looked_up(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian 32-bit numbers."""
-        out: list[bytes | None] = []
-        for piece in pieces:
-            got = self.young.get(piece)
-            if got is None and (got := self.old.get(piece)) is not None:
-                self.young[piece] = got
-            out.append(got)
+        out: list[bytes | None] = list(map(self.young.get, pieces))
+        for i, got in enumerate(out):
+            if got is None and (got := self.old.get(pieces[i])) is not None:
+                self.young[pieces[i]] = out[i] = got
         missed = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(missed, self.encode([pieces[i] for i in missed]) if missed else ()):
             out[i] = np.array(ids, "<u4").tobytes()
@@ -83,24 +81,32 @@ class Encoder:
             self.old, self.young = self.young, {}
         return out
 
+    def known(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces (int32), and how many come before each (one entry more than pieces)."""
+        found = self.looked_up(pieces)
+        return np.frombuffer(b"".join(found), "<u4").astype(np.int32), np.cumsum([0, *[len(x) >> 2 for x in found]], dtype=np.int64)
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) one after the other, and how many come before each text (one entry more than texts)."""
         pieces, first = self.pieces(texts)
-        if not len(pieces):
-            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        coded = pieces.dictionary_encode()
-        bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist()
-        data = coded.dictionary.buffers()[2].to_pybytes()
-        found = self.looked_up([data[a:b] for a, b in zip(bounds, bounds[1:])])
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = np.array([len(x) >> 2 for x in found], np.int64)
-        flat, begin = np.frombuffer(b"".join(found), "<u4").astype(np.int32), np.cumsum(size) - size
-        n = size[which]
+        which, names = different(pieces)
+        flat, begin = self.known(names)
+        n = np.diff(begin)[which]
         before = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(begin[which] - before[:-1], n) + np.arange(before[-1])
         return flat[at], before[first]
 
 
+def different(pieces: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each piece among the different ones, and these."""
+    if not len(pieces):
+        return np.empty(0, np.int64), []
+    coded = pieces.dictionary_encode()
+    bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist()
+    data = coded.dictionary.buffers()[2].to_pybytes()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: visible Latin-1 ones for themselves, others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
