@@ -42,33 +42,57 @@ def chunk_ranks(trace: DataFrame, by: list[str], size: int) -> DataFrame:
     return grouped.agg(F.avg("rank").alias("rank_mean"), F.min("rank").alias("rank_min"), F.max("rank").alias("rank_max"), F.sum("_moved").alias("rank_changes"))
 
 
-def adaptation_delay(changed: DataFrame, drifts: DataFrame, by: list[str], within: int) -> DataFrame:
-    """by, drift, delay: from a drift to the first change at most `within` later; null if there is none.  drifts: (by, drift)."""
-    c, d = changed.select(*[F.col(x).alias(f"_{x}") for x in by], F.col("t").alias("_t")), drifts
-    near = F.col("_t").between(F.col("drift"), F.col("drift") + within)
+def _same(by: list[str]) -> Column:
+    same = F.lit(True)
     for x in by:
-        near = near & (F.col(x) == F.col(f"_{x}"))
-    return d.join(c, near, "left").groupBy(*by, "drift").agg((F.min("_t") - F.col("drift")).alias("delay"))
+        same = same & (F.col(x) == F.col(f"_{x}"))
+    return same
+
+
+def _binned_windows(drifts: DataFrame, by: list[str], within: int) -> DataFrame:
+    """_by, _drift and _bin: each drift's window from it to `within` later lies in two bins of that width at most."""
+    width = max(within, 1)
+    bins = F.sequence(F.floor(F.col("drift") / width), F.floor((F.col("drift") + within) / width))
+    return drifts.select(*[F.col(x).alias(f"_{x}") for x in by], F.col("drift").alias("_drift"), F.explode(bins).alias("_bin"))
+
+
+def adaptation_delay(changed: DataFrame, drifts: DataFrame, by: list[str], within: int) -> DataFrame:
+    """by, drift, delay: from a drift to the first change at most `within` later; null if there is none.  drifts: (by, drift).
+
+    Changes and windows meet by run and bin, so a long run is many keys.
+    """
+    c = changed.select(*by, "t", F.floor(F.col("t") / max(within, 1)).alias("_at"))
+    near = _same(by) & (F.col("_at") == F.col("_bin")) & F.col("t").between(F.col("_drift"), F.col("_drift") + within)
+    first = _binned_windows(drifts.distinct(), by, within).join(c, near).groupBy(*[f"_{x}" for x in by], "_drift").agg(F.min("t").alias("_t"))
+    on = _same(by) & (F.col("drift") == F.col("_drift"))
+    return drifts.join(first, on, "left").groupBy(*by, "drift").agg((F.min("_t") - F.col("drift")).alias("delay"))
 
 
 def false_changes(changed: DataFrame, drifts: DataFrame, by: list[str], within: int) -> DataFrame:
-    """Changes outside every drift's window."""
-    d = drifts.select(*[F.col(x).alias(f"_{x}") for x in by], F.col("drift").alias("_drift"))
-    near = F.col("t").between(F.col("_drift"), F.col("_drift") + within)
-    for x in by:
-        near = near & (F.col(x) == F.col(f"_{x}"))
-    return changed.join(d, near, "left_anti")
+    """Changes outside every drift's window; both meet by run and bin."""
+    marked = changed.withColumn("_at", F.floor(F.col("t") / max(within, 1)))
+    near = _same(by) & (F.col("_at") == F.col("_bin")) & F.col("t").between(F.col("_drift"), F.col("_drift") + within)
+    return marked.join(_binned_windows(drifts, by, within), near, "left_anti").drop("_at")
 
 
-def recovery(chunks: DataFrame, drifts: DataFrame, by: list[str], share: float = 0.95) -> DataFrame:
-    """by, drift, target, recovery: end of the first later chunk that reaches a share of the score before the drift, less the drift."""
+def recovery(chunks: DataFrame, drifts: DataFrame, by: list[str], share: float = 0.95, span: int = 1 << 20) -> DataFrame:
+    """by, drift, target, recovery: end of the first later chunk that reaches a share of the score before the drift, less the drift.
+
+    Chunks lie in blocks of `span` arrival numbers.  A run's largest scores by block are one array (an entry for some thousand
+    chunks), in which each drift finds the first later block that reaches its target; only that block and its own are
+    joined with the drift, by key.
+    """
     before = chunks.select(*by, F.col("end").alias("drift"), (F.col("score") * share).alias("target"))
-    d = drifts.join(before, [*by, "drift"], "left")
-    later = chunks.select(*[F.col(x).alias(f"_{x}") for x in by], F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("score").alias("_score"))
-    on = (F.col("_start") >= F.col("drift")) & (F.col("_score") >= F.col("target"))
-    for x in by:
-        on = on & (F.col(x) == F.col(f"_{x}"))
-    return d.join(later, on, "left").groupBy(*by, "drift", "target").agg((F.min("_end") - F.col("drift")).alias("recovery"))
+    d = drifts.join(before, [*by, "drift"], "left").withColumn("_own", F.floor(F.col("drift") / span))
+    later = chunks.select(*[F.col(x).alias(f"_{x}") for x in by], F.floor(F.col("start") / span).alias("_block"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("score").alias("_score"))
+    tops = later.groupBy(*[f"_{x}" for x in by], "_block").agg(F.max("_score").alias("_top"))
+    tops = tops.groupBy(*[f"_{x}" for x in by]).agg(F.sort_array(F.collect_list(F.struct("_block", "_top"))).alias("_tops"))
+    found = F.filter("_tops", lambda x: (x["_block"] > F.col("_own")) & (x["_top"] >= F.col("target")))
+    asked = d.join(tops, _same(by)).select(*by, "drift", "target", F.explode(F.array_compact(F.array("_own", F.get(found, F.lit(0))["_block"]))).alias("_at"))
+    on = _same(by) & (F.col("_block") == F.col("_at")) & (F.col("_start") >= F.col("drift")) & (F.col("_score") >= F.col("target"))
+    first = asked.join(later, on).groupBy(*[F.col(x).alias(f"_{x}") for x in by], F.col("drift").alias("_drift"), F.col("target").alias("_target")).agg(F.min("_end").alias("_end"))
+    same = _same(by) & (F.col("drift") == F.col("_drift")) & (F.col("target") == F.col("_target"))
+    return d.join(first, same, "left").groupBy(*by, "drift", "target").agg((F.min("_end") - F.col("drift")).alias("recovery"))
 
 
 def decimate(trace: DataFrame, by: list[str], every: int, marks: list[int]) -> DataFrame:

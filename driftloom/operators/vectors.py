@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,30 +227,6 @@ def nearest_in_block(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarra
     return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def block_neighbors(stream: DataFrame, k: int, itself: bool, block: int = 8000, least: int = 4, digits: int = 9) -> DataFrame:
-    """i, j, d, place: the k nearest of all rows for each row of a stream (t, features), ties to the smaller row.
-
-    Rows are dealt to blocks by a hash; each pair of blocks is a task that holds two blocks and sends k rows for each of its queries.
-    """
-    rows = stream.where(F.col("features").isNotNull()).select(F.col("t").cast("long").alias("t"), "features")
-    blocks = max(least, -(-rows.count() // block))
-    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = dealt.select(F.col("t").alias("i"), F.col("features").alias("q"), F.col("_own").alias("a"), other.alias("b"))
-    points = dealt.select(F.col("t").alias("j"), F.col("features").alias("x"), F.col("_own").alias("bx"), other.alias("ax"))
-
-    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0)})
-        rows, others = (np.stack(c.to_numpy()).astype(np.float64) for c in (q["q"], x["x"]))
-        i, j, d = nearest_in_block(rows, others, q["i"].to_numpy(), x["j"].to_numpy(), k, itself)
-        return pd.DataFrame({"i": i, "j": j, "d": d})
-
-    pairs = queries.groupBy("a", "b").cogroup(points.groupBy("ax", "bx")).applyInPandas(run, "i long, j long, d double")
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return pairs.select("i", "j", F.round("d", digits).alias("d")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-
-
 def calibration_radius(points: DataFrame, k: int = 6, share: float = 0.8) -> DataFrame:
     """radius: a quantile of the distances to the k-th nearest row, itself included."""
     return radius_of(neighbors(points, k, itself=True), k, share)

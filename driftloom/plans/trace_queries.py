@@ -98,13 +98,7 @@ def fading_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlier_limit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ages = tables.table(spark, sf_dir, "events").select("event_id").where(F.col("event_id") < 500)
-    p = traces.prune_period(0.01, 1.2)
-    return ages.select(F.col("event_id").alias("age"), p.alias("period"), r6(traces.outlier_limit(0.01, p, F.col("event_id"))).alias("limit"))
-
-
-def outlier_limit_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """outlier_limit of every event."""
+    """Of every event."""
     ages, p = tables.table(spark, sf_dir, "events").select("event_id"), traces.prune_period(0.01, 1.2)
     return ages.select(F.col("event_id").alias("age"), p.alias("period"), r6(traces.outlier_limit(0.01, p, F.col("event_id"))).alias("limit"))
 
@@ -272,7 +266,7 @@ QUERIES = {
     "decimated_trace": decimate_query,
     "faded_weights": fading_query,
     "outlier_limit": outlier_limit_query,
-    "outlier_limit_whole": outlier_limit_whole_query,
+    "outlier_limit_whole": outlier_limit_query,
     "utility_eviction": eviction_query,
     "promotion_weight": promotion_query,
     "seed_summary": seed_summary_query,
@@ -321,7 +315,7 @@ SELECT seed, t, rank, rank_changed FROM m WHERE t % 25 = 1 OR t IN (200, 400, 60
 WITH {TRACE}, m AS (SELECT *, max(t) OVER (PARTITION BY seed) AS now FROM tr) SELECT seed, event_type, round(sum(pow(2.0, -0.01 * (now - t))), 6) + 0.0 AS weight FROM m GROUP BY seed, event_type""",
     "outlier_limit": """
 WITH p AS (SELECT greatest(1, ceil(log2(1.2::DOUBLE / (1.2::DOUBLE - 1.0)) / 0.01::DOUBLE))::INT AS period)
-SELECT event_id AS age, period, round((pow(2.0, -0.01 * (event_id + period)) - 1.0) / (pow(2.0, -0.01 * period) - 1.0), 6) + 0.0 AS limit FROM events, p WHERE event_id < 500""",
+SELECT event_id AS age, period, round((pow(2.0, -0.01 * (event_id + period)) - 1.0) / (pow(2.0, -0.01 * period) - 1.0), 6) + 0.0 AS limit FROM events, p""",
     "utility_eviction": """
 WITH s AS (SELECT (user_id % 10)::INT AS seed, user_id AS id, count(*) AS weight, max(event_id) AS last FROM events GROUP BY user_id),
 u AS (SELECT seed, id, round(weight / (1.0::DOUBLE + greatest(1000000 - last, 0)), 9) AS utility FROM s)
@@ -364,4 +358,4 @@ SELECT 'missing' AS kind, k FROM l UNION ALL SELECT 'unlisted', k FROM p UNION A
 }
 
 # The same without the limit of rows.
-ORACLE_SQL["outlier_limit_whole"] = ORACLE_SQL["outlier_limit"].replace(" WHERE event_id < 500", "")
+ORACLE_SQL["outlier_limit_whole"] = ORACLE_SQL["outlier_limit"]

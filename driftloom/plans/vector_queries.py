@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import StreamConfig
 from ..kernels.subspace import projection
-from ..operators import quality, vectors
+from ..operators import neighbors, quality, vectors
 from ..sources import tables
 
 SEED = 7
@@ -102,12 +102,7 @@ def full_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_subset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.embeddings(spark, sf_dir).where(F.col("t") < 200).select("t", F.slice("features", 1, 8).alias("features"))
-    return vectors.melt(part).select("t", "dim", r6("v").alias("v"))
-
-
-def feature_subset_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feature_subset_prefix of every row; the slice of dimensions is the operator."""
+    """The slice of dimensions is the operator; every row has it."""
     part = tables.embeddings(spark, sf_dir).select("t", F.slice("features", 1, 8).alias("features"))
     return vectors.melt(part).select("t", "dim", r6("v").alias("v"))
 
@@ -192,27 +187,17 @@ k{i + 1} AS (SELECT k{i}.center, k{i}.dim, coalesce(m, c) AS c FROM k{i} LEFT JO
 
 
 def neighbors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = cells(spark, sf_dir).where(F.col("t") < 150)
-    return vectors.neighbors(part, 8, itself=False).select("i", "j", r6("d").alias("d"), "place")
+    return neighbors.pivot_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False).select("i", "j", r6("d").alias("d"), "place")
 
 
 def radius_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.calibration_radius(cells(spark, sf_dir).where(F.col("t") < 150)).select(r6("radius").alias("radius"))
-
-
-def all_neighbors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """knn_graph of the whole table."""
-    return vectors.block_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False).select("i", "j", r6("d").alias("d"), "place")
-
-
-def reference_radius_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """calibration_radius over the reference's rows: the first CALIBRATION of the stream, or all if there are fewer."""
+    """The radius from the rows that calibrate it: the first CALIBRATION of the stream, or all if there are fewer."""
     first = tables.embeddings(spark, sf_dir).orderBy("t").limit(CALIBRATION)
-    return vectors.radius_of(vectors.block_neighbors(first, 6, itself=True)).select(r6("radius").alias("radius"))
+    return vectors.radius_of(neighbors.pivot_neighbors(first, 6, itself=True)).select(r6("radius").alias("radius"))
 
 
 PAIRS_SQL = f"""
-WITH {CELLS}, x AS (SELECT * FROM cells WHERE t < 150),
+WITH {CELLS}, x AS (SELECT * FROM cells),
 d AS (SELECT a.t AS i, b.t AS j, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS d FROM x a JOIN x b USING (dim) GROUP BY a.t, b.t)"""
 
 
@@ -227,45 +212,27 @@ def weighted_center_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.embeddings(spark, sf_dir).where(F.col("t") < 100)
-    coded = part.select("t", F.posexplode(vectors.resonance_code(F.slice("features", 1, 8))).alias("place", "x"))
-    return coded.select("t", "place", r6("x").alias("x"))
-
-
-def choice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = tables.embeddings(spark, sf_dir).select("t", vectors.resonance_code(F.slice("features", 1, 8)).alias("code"))
-    protos = coded.where(F.col("t") < 12).select(F.col("t").alias("category"), F.col("code").alias("proto"))
-    return vectors.resonance_choice(coded, protos, 0.8)
-
-
-def code_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """resonance_code of every row and dimension."""
+    """Every row and dimension."""
     coded = tables.embeddings(spark, sf_dir).select("t", F.posexplode(vectors.resonance_code(F.col("features"))).alias("place", "x"))
     return coded.select("t", "place", r6("x").alias("x"))
 
 
-def choice_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """resonance_choice by all dimensions."""
+def choice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By all dimensions; the first rows are the prototypes."""
     coded = tables.embeddings(spark, sf_dir).select("t", vectors.resonance_code(F.col("features")).alias("code"))
     protos = coded.where(F.col("t") < 12).select(F.col("t").alias("category"), F.col("code").alias("proto"))
     return vectors.resonance_choice(coded, protos, 0.8)
 
 
 CODE_SQL = """
-WITH x AS (SELECT vec_id AS t, list_transform(embedding[1:8], lambda v: least(1.0, greatest(0.0, v::DOUBLE))) AS x FROM embeddings),
+WITH x AS (SELECT vec_id AS t, list_transform(embedding, lambda v: least(1.0, greatest(0.0, v::DOUBLE))) AS x FROM embeddings),
 s AS (SELECT t, list_concat(x, list_transform(x, lambda v: pow(v, 0.5))) AS s FROM x),
 k AS (SELECT t, list_concat(s, list_transform(s, lambda v: 1.0 - v)) AS code FROM s)"""
 
 
 def confidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary confidence of the first rows as clusters: one-sidedness, sparseness and change of weight of their neighborhoods."""
-    part = cells(spark, sf_dir).where(F.col("t") < 60)
-    return _confidence(part, vectors.neighbors(part, 8, itself=False))
-
-
-def all_confidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """boundary_confidence with every row of the table as a cluster."""
-    return _confidence(cells(spark, sf_dir), vectors.block_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False))
+    """Boundary confidence of every row as a cluster: one-sidedness, sparseness and change of weight of its neighborhood."""
+    return _confidence(cells(spark, sf_dir), neighbors.pivot_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False))
 
 
 def _confidence(part: DataFrame, near: DataFrame) -> DataFrame:
@@ -282,7 +249,7 @@ def _confidence(part: DataFrame, near: DataFrame) -> DataFrame:
 
 
 CONFIDENCE_SQL = f"""
-WITH {CELLS}, x AS (SELECT * FROM cells WHERE t < 60),
+WITH {CELLS}, x AS (SELECT * FROM cells),
 d AS (SELECT a.t AS i, b.t AS j, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS d FROM x a JOIN x b USING (dim) WHERE a.t <> b.t GROUP BY a.t, b.t),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM d) WHERE place <= 8),
 s AS (SELECT n.i, a.dim, avg((b.v > a.v)::INT::DOUBLE) AS pos FROM n JOIN x a ON a.t = n.i JOIN x b ON b.t = n.j AND a.dim = b.dim GROUP BY n.i, a.dim),
@@ -318,12 +285,12 @@ QUERIES = {
     "resonance_code": code_query,
     "resonance_choice": choice_query,
     "boundary_confidence": confidence_query,
-    "feature_subset_whole": feature_subset_whole_query,
-    "resonance_code_whole": code_whole_query,
-    "resonance_choice_whole": choice_whole_query,
-    "knn_graph_whole": all_neighbors_query,
-    "calibration_radius_reference": reference_radius_query,
-    "boundary_confidence_whole": all_confidence_query,
+    "feature_subset_whole": feature_subset_query,
+    "resonance_code_whole": code_query,
+    "resonance_choice_whole": choice_query,
+    "knn_graph_whole": neighbors_query,
+    "calibration_radius_reference": radius_query,
+    "boundary_confidence_whole": confidence_query,
 }
 
 ORACLE_SQL = {
@@ -346,7 +313,7 @@ SELECT t, dim, round(least(1.0, greatest(0.0, (v - lo) / (hi - lo + 1e-12))), 6)
     "full_range_scale": f"""
 WITH {CELLS}, b AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM cells GROUP BY dim)
 SELECT t, dim, round((v - lo) / greatest(hi - lo, 1e-12), 6) + 0.0 AS z FROM cells JOIN b USING (dim)""",
-    "feature_subset_prefix": f"WITH {CELLS} SELECT t, dim, round(v, 6) + 0.0 AS v FROM cells WHERE t < 200 AND dim < 8",
+    "feature_subset_prefix": f"WITH {CELLS} SELECT t, dim, round(v, 6) + 0.0 AS v FROM cells WHERE dim < 8",
     "lineitem_stream_chunks": f"""
 WITH {LINEITEMS_SQL} SELECT label, t // 1000 AS chunk, count(*) AS n, round(avg(l_quantity), 6) + 0.0 AS quantity, round(avg(l_extendedprice), 6) + 0.0 AS price
 FROM li GROUP BY label, chunk""",
@@ -356,14 +323,14 @@ FROM li GROUP BY label, chunk""",
     "nearest_within_radius": NEAREST_SQL + " SELECT t, CASE WHEN sqrt(d2) <= 1.2 THEN center END AS center FROM n",
     "weighted_lloyd_steps": _lloyd_sql(),
     "knn_graph": PAIRS_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j)::INT AS place FROM d WHERE i <> j) SELECT i, j, round(d, 6) + 0.0 AS d, place FROM r WHERE place <= 8",
-    "calibration_radius": PAIRS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM d)
+    "calibration_radius": PAIRS_SQL.replace("SELECT * FROM cells", f"SELECT * FROM cells WHERE t IN (SELECT t FROM e ORDER BY t LIMIT {CALIBRATION})") + """, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM d)
 SELECT round(greatest(quantile_cont(d, 0.8), 1e-6), 6) + 0.0 AS radius FROM r WHERE place = 6""",
     "closest_pair": f"""
 WITH {CELLS}, k AS (SELECT label AS center, dim, avg(v) AS c FROM cells GROUP BY label, dim),
 d AS (SELECT a.center AS a, b.center AS b, round(sum((a.c - b.c) * (a.c - b.c)), 9) AS d2 FROM k a JOIN k b USING (dim) WHERE a.center < b.center GROUP BY a.center, b.center)
 SELECT a, b, round(d2, 6) + 0.0 AS d2 FROM d ORDER BY d2, a, b LIMIT 1""",
     "weighted_centers": f"WITH {CELLS} SELECT label, dim, round(sum(v * (t % 7 + 1)) / sum(t % 7 + 1), 6) + 0.0 AS c FROM cells GROUP BY label, dim",
-    "resonance_code": CODE_SQL + " SELECT t, unnest(range(0, len(code)))::INT AS place, round(unnest(code), 6) + 0.0 AS x FROM k WHERE t < 100",
+    "resonance_code": CODE_SQL + " SELECT t, unnest(range(0, len(code)))::INT AS place, round(unnest(code), 6) + 0.0 AS x FROM k",
     "resonance_choice": CODE_SQL + """,
 m AS (SELECT a.t, b.t AS category, list_sum(list_transform(list_zip(a.code, b.code), lambda p: least(p[1], p[2]))) AS match, list_sum(a.code) AS norm, list_sum(b.code) AS size
       FROM k a, (SELECT * FROM k WHERE t < 12) b),
@@ -373,9 +340,6 @@ SELECT t, arg_max(category, (value, category)) FILTER (fits) AS category FROM c
 }
 
 # The same without the limits of rows and width.
-CODE_WHOLE_SQL = CODE_SQL.replace("embedding[1:8]", "embedding")
-ORACLE_SQL |= {
-    "feature_subset_whole": f"WITH {CELLS} SELECT t, dim, round(v, 6) + 0.0 AS v FROM cells WHERE dim < 8",
-    "resonance_code_whole": CODE_WHOLE_SQL + " SELECT t, unnest(range(0, len(code)))::INT AS place, round(unnest(code), 6) + 0.0 AS x FROM k",
-    "resonance_choice_whole": ORACLE_SQL["resonance_choice"].replace(CODE_SQL, CODE_WHOLE_SQL),
-}
+# The same queries under the names that whole-table forms had beside prefix forms.
+for _whole, _plain in (("feature_subset_whole", "feature_subset_prefix"), ("resonance_code_whole", "resonance_code"), ("resonance_choice_whole", "resonance_choice"), ("knn_graph_whole", "knn_graph"), ("calibration_radius_reference", "calibration_radius"), ("boundary_confidence_whole", "boundary_confidence")):
+    ORACLE_SQL[_whole] = ORACLE_SQL[_plain]

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from driftloom.operators import vectors
+from driftloom.operators import neighbors
 from driftloom.plans import registry
 
 
@@ -37,7 +37,7 @@ def test_neighbors_with_copies_and_few_rows(spark):
     s = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "t long, features array<double>")
     for n, itself in ((40, True), (40, False), (3, False), (0, True)):
         part = s.where(f"t < {10 * n}")
-        got = sorted((r["i"], r["place"], r["j"]) for r in vectors.block_neighbors(part, 6, itself, block=7).collect())
+        got = sorted((r["i"], r["place"], r["j"]) for r in neighbors.pivot_neighbors(part, 6, itself, unit=7).collect())
         assert got == sorted((i, p, j) for i, j, _, p in brute([10 * i for i in range(n)], x[:n], 6, itself))
 
 
