@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .vocab import byte_level, byte_tokens, different, piece_tokens, pieces_of_words, vocabulary
 from .words import chunks, documents, ensure_checkpoint_dir, texts_of
 
-SLICE = 8 << 20
+SLICE = 2 << 20
 WIDE = 4096
 FREQUENT = 1 << 20
 SHIFT = 31  # a pair takes 32 bits, the number of its links the rest
