@@ -39,6 +39,7 @@ from .words import chunks, documents, ensure_checkpoint_dir, texts_of
 END = 2
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 CHUNK = 4 << 20
+MEMO = 400_000
 
 LAYOUT = {
     "parquet.writer.version": "v2",
@@ -62,7 +63,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, special: bool = True) ->
     schema = T.StructType([kind, T.StructField("part", T.IntegerType(), False), T.StructField("offset", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, done = byte_level(path, special), TaskContext.get().partitionId(), 0
+        encode, part, done = byte_level(path, special, MEMO), TaskContext.get().partitionId(), 0
         for rows in chunks(batches, "text", CHUNK):
             flat, before = encode(texts_of(rows.column("text")))
             n = len(before) - 1

@@ -114,7 +114,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def byte_level(path: str, special: bool) -> Encoder:
+def byte_level(path: str, special: bool, memo: int = MEMO) -> Encoder:
     """Ids of the ``tokenizers`` library without added tokens; special: their strings inside a text count as such.
 
     A piece that is a space and letters (of Latin scripts) at most is one word to the library, so its model alone is asked, which
@@ -133,13 +133,17 @@ def byte_level(path: str, special: bool) -> Encoder:
             word = piece.decode()
             body = word[1:] if word.startswith(" ") else word
             plain = len(piece) <= LONG and body.isalpha() and (body.isascii() or max(body) < "\u0250")
-            out.append([x.id for x in model.tokenize(piece.decode("latin-1").translate(letters))] if plain else None)
+            if not plain:
+                out.append(None)
+                continue
+            shown = ("\u0120" + body if body is not word else body) if word.isascii() else piece.decode("latin-1").translate(letters)
+            out.append([x.id for x in model.tokenize(shown)])
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, t.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False) if rest else ()):
             out[i] = x.ids
         return out
 
-    return Encoder(encode, marks=True)
+    return Encoder(encode, marks=True, memo=memo)
 
 
 @lru_cache(maxsize=4)
