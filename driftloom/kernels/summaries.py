@@ -203,6 +203,19 @@ def spread_seeds(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator)
     return np.array(chosen)
 
 
+def represent(x: np.ndarray, w: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` of the points at most, drawn by weight and distance to a few seeds; each takes the weight of the points nearest to it."""
+    k = min(size, len(x))
+    pilot = x[spread_seeds(x, np.maximum(w, 1e-12), min(8, k), np.random.default_rng(seed))]
+    near = np.min(((x[:, None] - pilot[None]) ** 2).sum(2), axis=1)
+    score = np.maximum(w, 1e-12) * (near + 0.05 * max(float(near.mean()), 1e-12))
+    if not np.isfinite(score).all() or score.sum() <= 0:
+        score = np.maximum(w, 1e-12)
+    reps = x[np.random.default_rng(seed).choice(len(x), size=k, replace=False, p=score / score.sum())]
+    owner = ((x * x).sum(1)[:, None] - 2 * x @ reps.T + (reps * reps).sum(1)[None]).argmin(1)
+    return reps, np.bincount(owner, weights=w, minlength=k)
+
+
 class Coreset:
     """A buffer that is reduced to weighted representatives whenever it is full; the total weight stays."""
 
@@ -214,15 +227,8 @@ class Coreset:
     def _reduce(self) -> None:
         x = np.vstack([self.points, *self.waiting]) if self.waiting else self.points
         w = np.concatenate([self.weight, np.ones(len(self.waiting))])
-        k, seed = min(self.size, len(x)), self.seed + self.reductions
-        pilot = x[spread_seeds(x, np.maximum(w, 1e-12), min(8, k), np.random.default_rng(seed))]
-        near = np.min(((x[:, None] - pilot[None]) ** 2).sum(2), axis=1)
-        score = np.maximum(w, 1e-12) * (near + 0.05 * max(float(near.mean()), 1e-12))
-        if not np.isfinite(score).all() or score.sum() <= 0:
-            score = np.maximum(w, 1e-12)
-        reps = x[np.random.default_rng(seed).choice(len(x), size=k, replace=False, p=score / score.sum())]
-        owner = ((x * x).sum(1)[:, None] - 2 * x @ reps.T + (reps * reps).sum(1)[None]).argmin(1)
-        self.points, self.weight, self.waiting = reps.copy(), np.bincount(owner, weights=w, minlength=k), []
+        reps, self.weight = represent(x, w, self.size, self.seed + self.reductions)
+        self.points, self.waiting = reps.copy(), []
         self.reductions += 1
 
     def learn(self, z: np.ndarray) -> None:

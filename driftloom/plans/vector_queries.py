@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import StreamConfig
 from ..kernels.subspace import projection
-from ..operators import neighbors, quality, vectors
+from ..operators import coreset, kmeans, neighbors, quality, vectors
 from ..sources import tables
 
 SEED = 7
@@ -201,6 +201,21 @@ WITH {CELLS}, x AS (SELECT * FROM cells),
 d AS (SELECT a.t AS i, b.t AS j, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 9) AS d FROM x a JOIN x b USING (dim) GROUP BY a.t, b.t)"""
 
 
+def table_kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers of the best of ten starts over the whole table, as many as there are classes, and the cost."""
+    e = tables.embeddings(spark, sf_dir).where(F.col("t").isNotNull() & F.col("features").isNotNull())
+    rows = e.select("t", "features", (F.col("label") + 1).cast("double").alias("w"))
+    k = e.select("label").distinct().count()
+    found = kmeans.table_kmeans(rows, max(k, 1), SEED, steps=100)
+    told = [] if found is None else [(j, c.tolist(), found[1]) for j, c in enumerate(found[0])]
+    return spark.createDataFrame(told, "center int, features array<double>, cost double")
+
+
+def coreset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.embeddings(spark, sf_dir).where(F.col("t").isNotNull())
+    return coreset.coreset_tree(e.select("t", "features", (F.col("label") + 1).cast("double").alias("w")), seed=SEED)
+
+
 def closest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = vectors.closest_pair(vectors.class_centers(tables.embeddings(spark, sf_dir)))
     return pair.select("a", "b", r6("d2").alias("d2"))
@@ -281,6 +296,8 @@ QUERIES = {
     "knn_graph": neighbors_query,
     "calibration_radius": radius_query,
     "closest_pair": closest_query,
+    "table_kmeans": table_kmeans_query,
+    "coreset_tree": coreset_query,
     "weighted_centers": weighted_center_query,
     "resonance_code": code_query,
     "resonance_choice": choice_query,
