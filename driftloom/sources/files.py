@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,20 +76,39 @@ def check_shape(df: DataFrame, rows: int, width: int) -> DataFrame:
     return df
 
 
-def read_headerless_csv(spark: SparkSession, path: str, features: int, first_label: int = 1) -> DataFrame:
-    """Comma-separated numbers, gzip or not, without a header: features, then a label that starts at first_label.
+def numbered_lines(spark: SparkSession, path: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """t (from 0, without gaps, in the order of file names and lines) and line, of the lines that ``keep`` keeps; line ends are cut.
 
-    Row order is the file's: a gzip file is one split, and a plain file's splits are numbered in order.
+    A line's number is its place in its block plus the lines of all blocks before it.  The table of blocks has one row for some 128 MB,
+    and lines aren't shuffled: a block lies in one partition, where its lines follow each other.
     """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines if keep is None else lines.where(keep(F.col("line")))
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    files = blocks.groupBy(F.col("_file").alias("_f")).agg(F.sum("_n").alias("_all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", F.coalesce(F.sum("_all").over(before(Window.partitionBy(F.lit(0)).orderBy("_f"))), F.lit(0)).alias("_far"))
+    inner = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_file").orderBy("_block"))), F.lit(0))
+    starts = blocks.withColumn("_near", inner).join(files, F.col("_file") == F.col("_f"))
+    starts = starts.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", (F.col("_near") + F.col("_far")).alias("_start"))
+    joined = placed.join(starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return joined.select((F.col("_at") - F.col("_first") + F.col("_start")).cast("long").alias("t"), "line")
+
+
+def read_headerless_csv(spark: SparkSession, path: str, features: int, first_label: int = 1) -> DataFrame:
+    """Comma-separated numbers, gzip or not, without a header: features, then a label that starts at first_label.  Blank lines don't count."""
     names = [f"c{i}" for i in range(features + 1)]
-    df = spark.read.csv(path, header=False, schema=", ".join(f"{n} double" for n in names), mode="FAILFAST")
-    return df.select(F.monotonically_increasing_id().alias("t"), F.array(*names[:-1]).alias("features"), (F.col(names[-1]) - first_label).cast("int").alias("label"))
+    parsed = F.from_csv("line", ", ".join(f"{n} double" for n in names), {"mode": "FAILFAST"})
+    df = numbered_lines(spark, path, lambda x: F.trim(x) != "").select("t", parsed.alias("c")).select("t", "c.*")
+    return df.select("t", F.array(*names[:-1]).alias("features"), (F.col(names[-1]) - first_label).cast("int").alias("label"))
 
 
 def read_arff(spark: SparkSession, path: str, columns: tuple[str, ...] = ELECTRICITY, classes: tuple[str, ...] = ("DOWN", "UP")) -> DataFrame:
     """Rows of an ARFF file or of a CSV file with a header; numbers that don't parse and unknown classes raise."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("t"), F.trim("value").alias("line"))
-    lines = lines.where(~F.col("line").rlike("^[@%]") & (F.col("line") != "") & (F.lower("line") != ",".join(columns)))
+    row = lambda x: ~F.trim(x).rlike("^[@%]") & (F.trim(x) != "") & (F.lower(F.trim(x)) != ",".join(columns))
+    lines = numbered_lines(spark, path, row).select("t", F.trim("line").alias("line"))
     parts = F.split("line", ",")
     named = spark.read.text(path).where(F.lower(F.trim("value")).rlike("^@attribute\\s"))
     told = [r["c"] for r in named.select(F.lower(F.regexp_extract(F.trim("value"), "(?i)^@attribute\\s+'?([^'\\s]+)", 1)).alias("c")).collect()]
@@ -110,9 +130,7 @@ def read_text_splits(spark: SparkSession, pairs: list[tuple[str, str]], rows: li
     """(split, line, text, label) of pairs of text and label files, united in the given order; lines are joined by number."""
     parts = []
     for k, (text, label) in enumerate(pairs):
-        numbered = [
-            spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", name)) for p, name in ((text, "text"), (label, "label"))
-        ]
+        numbered = [numbered_lines(spark, p).select(F.col("t").alias("line"), F.col("line").alias(name)) for p, name in ((text, "text"), (label, "label"))]
         part = numbered[0].join(numbered[1], "line", "full").select(F.lit(k).alias("split"), "line", "text", F.col("label").cast("int").alias("label"))
         bad = part.where(F.col("text").isNull() | F.col("label").isNull()).count()
         if bad or (rows and part.count() != rows[k]):
