@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed_features
-from ..operators import paired, traces
+from ..operators import paired, quantiles, traces
 from ..sources import sinks, tables
 
 WITHIN, DRIFTS = 20, (200, 400, 600)
@@ -253,7 +253,15 @@ def inventory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.lit("missing").alias("kind"), "k").union(present.select(F.lit("unlisted"), "k")).union(marks.select(F.lit("mark"), "k"))
 
 
+def quantiles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of prices by return flag."""
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    found = quantiles.exact_quantiles(rows, ["l_returnflag"], F.col("price"), [0.5, 0.8, 0.99])
+    return found.select("l_returnflag", "share", F.round("quantile", 5).alias("price"))
+
+
 QUERIES = {
+    "exact_quantiles": quantiles_query,
     "rank_telemetry": telemetry_query,
     "rank_histogram": histogram_query,
     "rank_histogram_pooled": pooled_histogram_query,
@@ -286,6 +294,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "exact_quantiles": """
+SELECT l_returnflag, share, round(price, 5) AS price FROM (
+  SELECT l_returnflag, 0.5::DOUBLE AS share, quantile_cont(l_extendedprice::DOUBLE, 0.5) AS price FROM lineitem GROUP BY l_returnflag
+  UNION ALL SELECT l_returnflag, 0.8::DOUBLE, quantile_cont(l_extendedprice::DOUBLE, 0.8) FROM lineitem GROUP BY l_returnflag
+  UNION ALL SELECT l_returnflag, 0.99::DOUBLE, quantile_cont(l_extendedprice::DOUBLE, 0.99) FROM lineitem GROUP BY l_returnflag)""",
     "rank_telemetry": f"""
 WITH {TRACE}, m AS (SELECT *, coalesce((lag(rank) OVER (PARTITION BY seed ORDER BY t) <> rank)::INT, 0) AS moved FROM tr)
 SELECT seed, count(*) AS observations, round(avg(rank), 6) + 0.0 AS rank_mean, round(stddev_pop(rank), 6) + 0.0 AS rank_sd, min(rank) AS rank_min, max(rank) AS rank_max,
