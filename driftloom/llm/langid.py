@@ -7,10 +7,12 @@ hashed byte trigrams of the text with A-Z lower-cased (``2**bits`` slots), as co
 
 Families: a written table groups well-known languages.  Any other language joins the family with
 the centroid most like its own in the training texts, if their cosine is ``ALIKE`` or more; else it
-begins a family, which later ones may join.
+begins a family, which later ones may join.  A family of more than ``MOST`` languages is divided, again and again, between its two
+least alike centroids, so the number of machines grows with the languages, not with their square.
 
 The machines are fitted by dual coordinate descent on a bounded sample (``MAX_ROWS`` rows,
-``MAX_BYTES`` bytes); scoring adds up table rows over all trigrams of every whole text.
+``MAX_BYTES`` bytes).  Their weights are kept by trigram, without zeros; scoring adds up those of all different trigrams
+of every whole text.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without learned
 languages every text is ``und``; a single family or language needs no machine and scores
@@ -37,6 +39,7 @@ MAX_ROWS, MAX_BYTES = 3000, 16 << 20
 HELD_OUT = (3, 1)
 
 ALIKE = 0.6
+MOST = 12
 
 # Families of some languages.
 FAMILIES = {
@@ -46,16 +49,38 @@ FAMILIES = {
 }
 
 
-def families_of(centroids: dict[str, np.ndarray]) -> dict[str, str]:
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a @ b) / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12)
+
+
+def divided(langs: list[str], centroids: dict[str, np.ndarray], most: int = MOST) -> list[list[str]]:
+    """langs in groups of ``most`` at most: halves around the two least alike centroids, and halves of these."""
+    langs = sorted(langs)
+    if len(langs) <= most:
+        return [langs]
+    unit = np.stack([centroids[x] / max(float(np.linalg.norm(centroids[x])), 1e-12) for x in langs])
+    like = unit @ unit.T
+    a, b = np.unravel_index(int(like.argmin()), like.shape)
+    order = np.argsort(like[a] - like[b], kind="stable")  # those nearer to b first
+    half = int(np.clip((like[a] < like[b]).sum(), len(langs) // 4, len(langs) - len(langs) // 4))
+    return [g for part in (order[:half], order[half:]) for g in divided([langs[i] for i in part], centroids, most)]
+
+
+def families_of(centroids: dict[str, np.ndarray], most: int = MOST) -> dict[str, str]:
     """language -> family, given the mean vector of each language."""
     out = {x: f for f, langs in FAMILIES.items() for x in langs if x in centroids}
+    sums: dict[str, np.ndarray] = {}
+    for x, f in out.items():
+        sums[f] = sums.get(f, 0) + centroids[x]
     for x in sorted(set(centroids) - set(out)):
-        like = {}
-        for f in set(out.values()):
-            c = sum(centroids[y] for y, g in out.items() if g == f)
-            like[f] = float(c @ centroids[x]) / max(float(np.linalg.norm(c) * np.linalg.norm(centroids[x])), 1e-12)
+        like = {f: _cosine(c, centroids[x]) for f, c in sums.items()}
         best = max(like, key=lambda f: (like[f], f), default=None)
         out[x] = best if best is not None and like[best] >= ALIKE else x
+        sums[out[x]] = sums.get(out[x], 0) + centroids[x]
+    for f in sorted(set(out.values())):
+        groups = divided([x for x, g in out.items() if g == f], centroids, most)
+        for k, group in enumerate(groups if len(groups) > 1 else []):
+            out |= {x: f"{f}/{k}" for x in group}
     return out
 
 
@@ -86,7 +111,7 @@ def fit_svm(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: i
 
 
 class Model:
-    """families, languages of each, and a table with a column for each machine."""
+    """families, languages of each, and the machines: biases, and for each slot the machines with a weight there."""
 
     def __init__(self, rows: list[tuple[bytes, object]], bits: int = BITS) -> None:
         self.bits = bits
@@ -103,25 +128,45 @@ class Model:
         self.families = sorted(set(family.values()))
         self.members = {f: [x for x in self.langs if family[x] == f] for f in self.families}
         of = np.array([family[x] for x in langs])
-        columns, self.rest, self.pairs = [], {}, {}
+        self.rest, self.pairs = {}, {}
+        bias, slots, numbers, weights = [], [], [], []
+
+        def add(w: np.ndarray) -> int:
+            at = np.flatnonzero(w[:-1])
+            slots.append(at.astype(np.int32))
+            numbers.append(np.full(len(at), len(bias), np.int32))
+            weights.append(w[at].astype(np.float32))
+            bias.append(w[-1])
+            return len(bias) - 1
+
         if len(self.families) > 1:
             for f in self.families:
-                self.rest[f] = len(columns)
-                columns.append(fit_svm(vectors, np.where(of == f, 1.0, -1.0), bits))
+                self.rest[f] = add(fit_svm(vectors, np.where(of == f, 1.0, -1.0), bits))
         for f in self.families:
             for a, b in combinations(self.members[f], 2):
                 pick = np.flatnonzero((langs == a) | (langs == b))
-                self.pairs[a, b] = len(columns)
-                columns.append(fit_svm([vectors[i] for i in pick], np.where(langs[pick] == a, 1.0, -1.0), bits))
-        self.table = np.stack(columns, 1).astype(np.float32) if columns else np.zeros(((1 << bits) + 1, 0), np.float32)
+                self.pairs[a, b] = add(fit_svm([vectors[i] for i in pick], np.where(langs[pick] == a, 1.0, -1.0), bits))
+        slot = np.concatenate([*slots, np.empty(0, np.int32)])
+        order = np.argsort(slot, kind="stable")
+        self.bias = np.array(bias)
+        self.number = np.concatenate([*numbers, np.empty(0, np.int32)])[order]
+        self.weights = np.concatenate([*weights, np.empty(0, np.float32)])[order]
+        self.begin = np.searchsorted(slot[order], np.arange((1 << bits) + 1))
+
+    def weight(self, slot: int, machine: int) -> float:
+        at = slice(self.begin[slot], self.begin[slot + 1])
+        return float(self.weights[at][self.number[at] == machine].sum())
+
+    def margins(self, text: bytes) -> np.ndarray:
+        """Every machine's margin: the weights of the text's different trigrams times their share of its length."""
+        slot, n = np.unique(trigram_slots(text, self.bits), return_counts=True)
+        first, size = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        sums = np.bincount(self.number[at], self.weights[at] * np.repeat(n, size), len(self.bias))
+        return sums / max(np.sqrt(float(n @ n)), 1e-9) + self.bias
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        m = np.zeros((len(texts), self.table.shape[1]))
-        for i, text in enumerate(texts):
-            slot = trigram_slots(text, self.bits)
-            n = np.bincount(slot, minlength=1 << self.bits)
-            norm = np.sqrt(float(n @ n))
-            m[i] = (n.astype(np.float32) @ self.table[:-1]) / max(norm, 1e-9) + self.table[-1]
+        m = np.stack([self.margins(x) for x in texts]) if texts else np.zeros((0, len(self.bias)))
         sure = lambda x: 1 / (1 + np.exp(-2 * np.clip(x, -15, 15)))
         if self.rest:
             margins = np.stack([m[:, self.rest[f]] for f in self.families], 1)

@@ -290,7 +290,7 @@ def test_language_votes_against_a_plain_model(docs):
         b = bytes(32 if c < 33 else c for c in b" " + text.lower() + b" ")
         counts = Counter(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - model.bits) for i in range(len(b) - 2))
         norm = sum(v * v for v in counts.values()) ** 0.5
-        margin = lambda k: sum(v * float(model.table[s, k]) for s, v in counts.items()) / norm + float(model.table[-1, k])
+        margin = lambda k: sum(v * model.weight(s, k) for s, v in counts.items()) / norm + float(model.bias[k])
         family = max(model.families, key=lambda f: margin(model.rest[f])) if model.rest else model.families[0]
         votes = Counter({x: 0 for x in model.members[family]})
         for (x, y), k in model.pairs.items():
@@ -309,6 +309,43 @@ def test_unknown_languages_join_the_family_they_resemble():
     assert got["qb"] == got["qc"] == "qb"
 
 
+def test_many_alike_languages_need_few_small_machines():
+    """120 languages that share most words: families are divided, weights take little room, and texts are told apart."""
+    import pickle
+
+    rng = np.random.default_rng(2)
+    shared = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    rows, held = [], []
+    for k in range(120):
+        own = ["".join(rng.choice(list("mnopqrst"), 4)) for _ in range(25)]
+        texts = [" ".join([*rng.choice(shared, 30), *rng.choice(own, 15)]).encode() for _ in range(12)]
+        rows += [(t, f"q{k:03d}") for t in texts[:10]]
+        held += [(t, f"q{k:03d}") for t in texts[10:]]
+    model = langid.Model(rows)
+    assert max(map(len, model.members.values())) <= langid.MOST and len(model.bias) < 120 * langid.MOST
+    assert len(pickle.dumps(model)) < 64 << 20
+    said, _ = model.predict([t for t, _ in held])
+    assert sum(a == b for a, (_, b) in zip(said, held)) > 0.9 * len(held)
+
+
+def test_training_reaches_the_best_objective_of_a_plain_one():
+    """Dual coordinate descent against subgradient steps on the same small problem."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(x @ rng.normal(size=12) + 0.05 * rng.normal(size=40) > 0, 1.0, -1.0)
+    c = 20.0
+    objective = lambda w: 0.5 * w @ w + c * np.maximum(0, 1 - y * (np.c_[x, np.full(40, 0.1)] @ w)).sum()
+    w = langid.fit_svm([(np.arange(12), v) for v in x], y, bits=4, c=c, epochs=400)
+    got = objective(np.append(w[:12], w[-1] / 0.1))
+    wide, plain, best = np.c_[x, np.full(40, 0.1)], np.zeros(13), np.inf
+    for t in range(1, 40_000):
+        miss = y * (wide @ plain) < 1
+        plain -= (plain - c * (y[miss, None] * wide[miss]).sum(0)) / t
+        best = min(best, objective(plain))
+    assert got <= 1.01 * best
+
+
 def test_langid_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
