@@ -65,7 +65,7 @@ def run(args: argparse.Namespace) -> int:
     stream = stream.where(F.col("t") < args.rows) if args.rows else stream
     scored = runner.evaluate(stream, cells, args.classes, args.chunk)
     runs = windows_summary(scored, ["method", "seed"]).withColumn("dataset", F.lit(args.dataset)).withColumn("full_stream", F.lit(not args.rows))
-    runs.write.mode("overwrite" if args.force else "append").partitionBy("dataset", "method", "seed").json(out)
+    sinks.resume_runs(runs, out, force=args.force)
     return 0
 
 

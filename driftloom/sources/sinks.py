@@ -24,6 +24,18 @@ def write_runs(runs: DataFrame, path: str, force: bool = False) -> None:
     runs.write.mode("overwrite" if force else "errorifexists").partitionBy("dataset", "method", "seed").json(guarded(path))
 
 
+def resume_runs(runs: DataFrame, path: str, force: bool = False) -> None:
+    """Adds JSON records to those that are there, each in the folder of its data set, method and seed.
+
+    A record takes the place of an earlier one of its run, and appears when the whole job is done: files are staged first and folders
+    moved at the end.  So a job that died, even while it moved them, can be run again, and two at once leave one record for each run.
+    With force, all earlier records go.
+    """
+    keys = ("dataset", "method", "seed")
+    how = "static" if force else "dynamic"
+    runs.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy(*keys).json(guarded(path))
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", force: bool = False) -> None:
     """Parquet, or CSV with a header."""
     writer = df.write.mode("overwrite" if force else "errorifexists")

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.sources import files
+from driftloom.sources import files, sinks
 
 
 @pytest.fixture
@@ -53,3 +53,23 @@ def test_csv_and_text_splits_of_many_blocks(spark, tmp_path, small_blocks):
     (tmp_path / "l.txt").write_text("\n".join(str(i % 3) for i in range(900)) + "\n")
     part = files.read_text_splits(spark, [(str(tmp_path / "t.txt"), str(tmp_path / "l.txt"))], [900]).orderBy("line").collect()
     assert [(r.line, r.text, r.label) for r in part] == [(i, x, i % 3) for i, x in enumerate(texts)]
+
+
+def test_a_resumed_job_leaves_one_record_for_each_run(spark, tmp_path):
+    path = str(tmp_path / "results/execution_runs/all")
+    runs = lambda seeds, ari: spark.createDataFrame([("d", "m", s, ari) for s in seeds], "dataset string, method string, seed int, ari double")
+    read = lambda: sorted((r.seed, r.ari) for r in spark.read.json(path).collect())
+    sinks.resume_runs(runs([7, 13], 0.1), path)
+    sinks.resume_runs(runs([13, 19], 0.2), path)
+    assert read() == [(7, 0.1), (13, 0.2), (19, 0.2)]
+    dies = runs([19, 23], 0.3).withColumn("ari", F.when(F.col("seed") == 23, F.raise_error(F.lit("killed")).cast("double")).otherwise(F.col("ari")))
+    with pytest.raises(Exception):
+        sinks.resume_runs(dies, path)
+    assert read() == [(7, 0.1), (13, 0.2), (19, 0.2)]
+    sinks.resume_runs(runs([19, 23], 0.4), path)
+    sinks.resume_runs(runs([19, 23], 0.4), path)
+    assert read() == [(7, 0.1), (13, 0.2), (19, 0.4), (23, 0.4)]
+    sinks.resume_runs(runs([7], 0.5), path, force=True)
+    assert read() == [(7, 0.5)]
+    with pytest.raises(ValueError):
+        sinks.resume_runs(runs([7], 0.5), str(tmp_path / "elsewhere"))

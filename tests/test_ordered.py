@@ -109,6 +109,14 @@ def test_sql_functions(spark):
     want = {x["g"]: (x["ari"], x["nmi"]) for x in partition_quality(df, ["g"], "y", "p").collect()}
     got = {x["g"]: (x["a"], x["n"]) for x in df.groupBy("g").agg(F.expr("ari(y, p)").alias("a"), F.expr("nmi(y, p)").alias("n")).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-12) for g in want)
+    counts = df.union(df.where("y = 1")).groupBy("g", "y", "p").count()
+    doubled = {x["g"]: (x["ari"], x["nmi"]) for x in partition_quality(df.union(df.where("y = 1")), ["g"], "y", "p").collect()}
+    got = {x["g"]: (x["a"], x["n"]) for x in counts.groupBy("g").agg(F.expr("ari_of_counts(y, p, count)").alias("a"), F.expr("nmi_of_counts(y, p, count)").alias("n")).collect()}
+    assert got.keys() == doubled.keys() and all(got[g] == pytest.approx(doubled[g], abs=1e-12) for g in got)
+    df.createOrReplaceTempView("labelled")
+    table = spark.sql("SELECT * FROM partition_quality(TABLE(SELECT g, y, p, count(*) AS n FROM labelled GROUP BY g, y, p) PARTITION BY g)").collect()
+    assert {int(x["part"]): x["ari"] for x in table} == {g: pytest.approx(a, abs=1e-12) for g, (a, _) in want.items()}
+    assert all(x["nmi"] == pytest.approx(want[int(x["part"])][1], abs=1e-12) for x in table)
 
 
 def test_the_first_that_fits_may_not_be_the_nearest(spark):
