@@ -26,6 +26,7 @@ from .vectors import nearest_in_block, rows_of
 
 PIVOTS = 256
 UNIT, VISITORS = 4096, 16384
+CELL = 4096  # rows for each pivot: a query is sent once to each cell that it visits, so cells aren't made smaller than this
 CODE = 1 << 32  # a unit is its cell times this, plus its number in the cell
 
 
@@ -74,7 +75,7 @@ def _celled(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "t long, features array<double>, cell long, far double")
 
 
-def pivot_neighbors(stream: DataFrame, k: int, itself: bool, pivots: int = PIVOTS, unit: int = UNIT, visitors: int = VISITORS, digits: int = 9, opened: list | None = None) -> DataFrame:
+def pivot_neighbors(stream: DataFrame, k: int, itself: bool, pivots: int = PIVOTS, unit: int = UNIT, visitors: int = VISITORS, cell: int = CELL, digits: int = 9, opened: list | None = None) -> DataFrame:
     """i, j, d, place: the k nearest of all rows for each row of a stream (t, features), ties to the smaller row.
 
     Rows without features are left out; t may not repeat.  opened: gets the number of rows, of queries times rows searched, and of visits.
@@ -83,7 +84,7 @@ def pivot_neighbors(stream: DataFrame, k: int, itself: bool, pivots: int = PIVOT
     n = rows.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "i long, j long, d double, place int")
-    found = pivots_of(rows, min(pivots, max(1, int(np.ceil(np.sqrt(n))))))
+    found = pivots_of(rows, min(pivots, max(1, n // cell)))
     celled = checkpointed(_celled(rows, found))
     first = F.row_number().over(Window.partitionBy("features").orderBy("t"))
     searched = celled.withColumn("_copy", first).where(F.col("_copy") <= k + 1).drop("_copy")
