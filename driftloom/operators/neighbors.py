@@ -25,8 +25,8 @@ from ..session import checkpointed
 from .vectors import nearest_in_block, rows_of
 
 PIVOTS = 256
-UNIT, VISITORS = 4096, 16384
-CELL = 4096  # rows for each pivot: a query is sent once to each cell that it visits, so cells aren't made smaller than this
+UNIT, VISITORS = 8192, 16384
+CELL = 8192  # rows for each pivot: a query is sent once to each cell that it visits, so cells aren't made smaller than this
 CODE = 1 << 32  # a unit is its cell times this, plus its number in the cell
 
 
