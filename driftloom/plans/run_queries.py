@@ -55,14 +55,14 @@ def all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = runner.run_cells(spark, [("proposed", s, "study", PARAMS) for s in (7, 13)])
-    steps = runner.run_matrix(_stream(spark, sf_dir), cells, CHUNK).where(F.col("kind") == "step")
+    steps = runner.run_matrix(_stream(spark, sf_dir), cells, CHUNK, ("step",))
     return steps.select("seed", "t", "chunk", "mc_id", "rank", "leverage", "prob", "accepted", "error", "threshold", "updated", "rank_changed", "candidate_rank")
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank telemetry and admission of the ablation's variants."""
     cells = runner.run_cells(spark, [("proposed", 7, v, PARAMS | p) for v, p in ABLATION.items()])
-    steps = runner.run_matrix(_stream(spark, sf_dir), cells, CHUNK).where(F.col("kind") == "step")
+    steps = runner.run_matrix(_stream(spark, sf_dir), cells, CHUNK, ("step",))
     told = traces.telemetry(steps, ["variant"]).select("variant", "rank_mean", "rank_changes")
     return told.join(steps.groupBy("variant").agg(F.avg(F.col("accepted").cast("double")).alias("admitted")), "variant")
 
@@ -120,7 +120,7 @@ def drift_response(spark: SparkSession, seeds: tuple[int, ...] = SEEDS, within:
 
 def state_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters and state bytes of every method at the end of the stream."""
-    done = runner.run_matrix(_stream(spark, sf_dir), _cells(spark, (7,)), CHUNK).where(F.col("kind") == "final")
+    done = runner.run_matrix(_stream(spark, sf_dir), _cells(spark, (7,)), CHUNK, ("final",))
     return done.select("method", "seed", "counters", F.get_json_object("counters", "$.state_bytes").cast("long").alias("state_bytes"))
 
 

@@ -50,7 +50,8 @@ class Chunk(NamedTuple):
 class Run:
     """One run over rows that come in order, in pieces of any size."""
 
-    def __init__(self, method: str, seed: int, params: dict, chunk: int, calibration: int = CALIBRATION) -> None:
+    def __init__(self, method: str, seed: int, params: dict, chunk: int, calibration: int = CALIBRATION, shots: bool = True) -> None:
+        self.shots = shots  # else chunks come without a summary, which may be large, and `model` has the last one
         self.method, self.seed, self.params, self.chunk, self.calibration = method, seed, dict(params), chunk, calibration
         self.width = self.params.pop("features", None)
         self.t, self.x, self.number = np.empty(0, np.int64), np.empty((0, 0)), 0
@@ -72,7 +73,8 @@ class Run:
         else:
             steps = []
         self.number += 1
-        return Chunk(self.number - 1, t, z, steps, *self.model.snapshot(), None if basis is None else basis.copy())
+        shot = self.model.snapshot() if self.shots else (np.empty((0, z.shape[1])), np.empty(0))
+        return Chunk(self.number - 1, t, z, steps, *shot, None if basis is None else basis.copy())
 
     def feed(self, t: np.ndarray, x: np.ndarray, last: bool = False) -> Iterator[Chunk]:
         """The chunks that these rows complete; with `last`, all that is left."""
@@ -94,8 +96,11 @@ def learn(x: np.ndarray, t: np.ndarray, method: str, seed: int, params: dict, ch
     return [s for c in done for s in c.steps], shots, run.model.counters(), np.concatenate([c.z for c in done])
 
 
-def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema, ddl: str, emit) -> DataFrame:
-    """The rows that emit(cell) makes of each run: an object with .chunk(run, chunk) and .end(run), which yield column dictionaries."""
+def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema, ddl: str, emit, shots: bool = True) -> DataFrame:
+    """The rows that emit(cell) makes of each run: an object with .chunk(run, chunk) and .end(run), which yield column dictionaries.
+
+    Without shots, chunks have no summaries.
+    """
     plan = {r["run"]: r for r in cells.collect()}  # a grid written out in code
     numbers = F.array(*[F.lit(i) for i in plan]) if plan else F.array().cast("array<int>")
     runs = stream.select(F.col("t").cast("long").alias("t"), F.transform("features", lambda v: v.cast("double")).alias("features"), F.explode(numbers).alias("run"))
@@ -125,7 +130,7 @@ def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema
                     yield from close()
                     at = int(number[a])
                     cell = plan[at]
-                    run, out = Run(cell["method"], cell["seed"], json.loads(cell["params"]), chunk), emit(cell)
+                    run, out = Run(cell["method"], cell["seed"], json.loads(cell["params"]), chunk, shots=shots), emit(cell)
                 for c in run.feed(t[a:b], rows_of(batch.slice(a, b - a))):
                     yield from (table(plan[at], d) for d in out.chunk(run, c))
         yield from close()
@@ -150,28 +155,29 @@ STEP = ("rank", "leverage", "prob", "accepted", "error", "threshold", "updated",
 class Told:
     """Trace rows of the adaptive methods, snapshot rows and a final row of counters."""
 
-    def __init__(self, cell) -> None:
-        pass
+    def __init__(self, cell, kinds: tuple[str, ...] = ("step", "center", "basis", "final")) -> None:
+        self.kinds = kinds
 
     def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
-        if c.steps:
+        if c.steps and "step" in self.kinds:
             n = len(c.steps)
             columns = {name: [getattr(s, name) for _, s in c.steps] for name in STEP}
             yield {"kind": ["step"] * n, "t": c.t, "chunk": [c.number] * n, "mc_id": [mc for mc, _ in c.steps]} | columns
         n = len(c.centers)
-        if n:
+        if n and "center" in self.kinds:
             yield {"kind": ["center"] * n, "chunk": [c.number] * n, "center_ix": range(n), "center": c.centers.tolist(), "weight": c.weights.tolist()}
-        if c.basis is not None:
+        if c.basis is not None and "basis" in self.kinds:
             n = c.basis.shape[1]
             yield {"kind": ["basis"] * n, "chunk": [c.number] * n, "center_ix": range(n), "center": c.basis.T.tolist()}
 
     def end(self, run: Run) -> Iterator[dict]:
-        yield {"kind": ["final"], "counters": [json.dumps({k: int(v) for k, v in run.model.counters().items()}, sort_keys=True)]}
+        if "final" in self.kinds:
+            yield {"kind": ["final"], "counters": [json.dumps({k: int(v) for k, v in run.model.counters().items()}, sort_keys=True)]}
 
 
-def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000) -> DataFrame:
-    """stream: (t, features).  Trace rows of the adaptive methods, snapshot rows and a final row of counters for all."""
-    return over_runs(stream, cells, chunk, arrow_schema(TRACE), TRACE, Told)
+def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000, kinds: tuple[str, ...] = ("step", "center", "basis", "final")) -> DataFrame:
+    """stream: (t, features).  Trace rows of the adaptive methods, snapshot rows and a final row of counters for all; those of `kinds` only."""
+    return over_runs(stream, cells, chunk, arrow_schema(TRACE), TRACE, lambda cell: Told(cell, kinds), shots="center" in kinds)
 
 
 PREDICTED = "method string, seed int, variant string, chunk long, t long, pred int"
@@ -218,11 +224,12 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
             return iter(())
 
         def end(self, run: Run) -> Iterator[dict]:
-            yield {"model": [pickle.dumps((run.width, run.view, self.last.basis, centers(run, self.last)))]}
+            shot = weighted_kmeans(*run.model.snapshot(), classes, run.seed, starts, steps)
+            yield {"model": [pickle.dumps((run.width, run.view, self.last.basis, shot))]}
 
     if not final:
         return over_runs(stream, cells, chunk, arrow_schema(PREDICTED), PREDICTED, Scored)
-    models = [(r["method"], r["seed"], r["variant"], pickle.loads(r["model"])) for r in over_runs(stream, cells, chunk, arrow_schema(FINAL), FINAL, Last).collect()]
+    models = [(r["method"], r["seed"], r["variant"], pickle.loads(r["model"])) for r in over_runs(stream, cells, chunk, arrow_schema(FINAL), FINAL, Last, shots=False).collect()]
     shared, schema = stream.sparkSession.sparkContext.broadcast(models), arrow_schema(PREDICTED)  # a basis and `classes` centers for each run
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.kernels.summaries import Resonance
+from driftloom.plans import runner
 
 
 def rows_of_classes(n: int, dim: int, seed: int = 3) -> np.ndarray:
@@ -41,3 +43,16 @@ def test_few_categories_are_looked_at_closely():
     art = Counted(64)
     art.learn_all(x)
     assert art.n > 500 and looked[0] < looked[1] / 4
+
+
+def test_summaries_are_made_where_they_are_read(spark):
+    x = rows_of_classes(230, 4)
+    stream = spark.createDataFrame([(t, row.tolist()) for t, row in enumerate(x)], "t long, features array<double>")
+    cells = runner.run_cells(spark, [("fra_art", 7, "a", {}), ("clustream", 7, "a", {"radius": 0.2})])
+    every, last = runner.run_matrix(stream, cells, 50), runner.run_matrix(stream, cells, 50, ("final",))
+    assert {r["kind"] for r in last.collect()} == {"final"}
+    told = lambda rows: sorted((r["method"], r["counters"]) for r in rows.where(F.col("kind") == "final").collect())
+    assert told(every) == told(last)
+    run = runner.Run("fra_art", 7, {}, 50, shots=False)
+    chunks = list(run.feed(np.arange(230), x, last=True))
+    assert [len(c.centers) for c in chunks] == [0] * 5 and run.model.n > 0
