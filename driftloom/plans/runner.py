@@ -24,9 +24,12 @@ from ..config import StreamConfig, study
 from ..kernels.kmeans import assign, weighted_kmeans
 from ..kernels.methods import AdaptiveMethod, build
 from ..operators.quality import partition_quality
-from ..operators.vectors import rows_of
+from ..operators.vectors import as_lists, rows_of
+from ..session import checkpointed
 
 CALIBRATION = 1000
+GROWING = ("fra_art",)  # methods whose summary grows with the stream; it's the mean of the rows of each category
+SLICES = 16  # of the chunks of such a run, scored side by side
 
 
 def run_cells(spark: SparkSession, cells: list[tuple[str, int, str, dict]]) -> DataFrame:
@@ -68,6 +71,7 @@ class Run:
         self.t, self.x = self.t[n:], self.x[n:]
         z = self.view(x)
         steps, basis = self.model.learn_all(z), None
+        self.placed = steps  # of methods in GROWING, the category of each row
         if isinstance(self.model, AdaptiveMethod):  # only the adaptive ones tell of their steps
             basis = self.model.basis()
         else:
@@ -109,7 +113,8 @@ def over_runs(stream: DataFrame, cells: DataFrame, chunk: int, schema: pa.Schema
     def table(cell, columns: dict) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         every = {"method": [cell["method"]] * n, "seed": [cell["seed"]] * n, "variant": [cell["variant"]] * n} | columns
-        return pa.RecordBatch.from_arrays([pa.array(every[f.name], f.type) if f.name in every else pa.nulls(n, f.type) for f in schema], schema=schema)
+        every = {k: v if isinstance(v, pa.Array) else pa.array(v, schema.field(k).type) for k, v in every.items() if k in schema.names}
+        return pa.RecordBatch.from_arrays([every[f.name] if f.name in every else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, run, out = None, None, None
@@ -180,6 +185,7 @@ def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000, kinds: tu
     return over_runs(stream, cells, chunk, arrow_schema(TRACE), TRACE, lambda cell: Told(cell, kinds), shots="center" in kinds)
 
 
+PLACED = "method string, seed int, variant string, slice int, chunk long, t long, place long, z array<double>, n double"
 PREDICTED = "method string, seed int, variant string, chunk long, t long, pred int"
 FINAL = "method string, seed int, variant string, model binary"
 
@@ -197,15 +203,12 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
     instead (chunk -1): the runs' last models, a few centers each, are collected, and every row is labelled where it lies.
     """
 
-    def centers(run: Run, c: Chunk) -> np.ndarray:
-        return weighted_kmeans(c.centers, c.weights, classes, run.seed, starts, steps)
-
     class Scored:
         def __init__(self, cell) -> None:
             self.held: list[dict] | None = []
 
         def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
-            row = {"chunk": [c.number] * len(c.t), "t": c.t, "pred": labels_of(c.z, c.basis, centers(run, c))}
+            row = {"chunk": [c.number] * len(c.t), "t": c.t, "pred": labels_of(c.z, c.basis, weighted_kmeans(c.centers, c.weights, classes, run.seed, starts, steps))}
             if c.number < warmup:
                 self.held.append(row)
             else:
@@ -228,7 +231,12 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
             yield {"model": [pickle.dumps((run.width, run.view, self.last.basis, shot))]}
 
     if not final:
-        return over_runs(stream, cells, chunk, arrow_schema(PREDICTED), PREDICTED, Scored)
+        rest, growing = cells.where(~F.col("method").isin(*GROWING)), cells.where(F.col("method").isin(*GROWING))
+        scored = over_runs(stream, rest, chunk, arrow_schema(PREDICTED), PREDICTED, Scored)
+        if growing.isEmpty():
+            return scored
+        apart = scored_apart(stream, growing, classes, chunk, starts, steps, warmup)
+        return apart if rest.isEmpty() else scored.unionByName(apart)
     models = [(r["method"], r["seed"], r["variant"], pickle.loads(r["model"])) for r in over_runs(stream, cells, chunk, arrow_schema(FINAL), FINAL, Last, shots=False).collect()]
     shared, schema = stream.sparkSession.sparkContext.broadcast(models), arrow_schema(PREDICTED)  # a basis and `classes` centers for each run
 
@@ -243,6 +251,84 @@ def predictions(stream: DataFrame, cells: DataFrame, classes: int, chunk: int =
     return stream.select(F.col("t").cast("long").alias("t"), "features").mapInArrow(label, PREDICTED)
 
 
+def scored_apart(stream: DataFrame, cells: DataFrame, classes: int, chunk: int, starts: int, steps: int, warmup: int, slices: int = SLICES) -> DataFrame:
+    """`predictions` of methods in GROWING: one task learns a run and tells the category of each row, then slices of the chunks are scored side by side.
+
+    At the end of a chunk the summary is a sum and a number of rows for each category, so a slice needs those of its beginning, which the
+    learning task writes, and its own rows.  The last chunk's k-means costs most, so slices get shorter: their work is about the same.
+    """
+    many = -(-stream.count() // chunk)
+    edges = np.unique(np.ceil(many * np.sqrt(np.arange(slices) / slices)).astype(np.int64))
+
+    class Placed:
+        def __init__(self, cell) -> None:
+            pass
+
+        def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
+            part, n = int(np.searchsorted(edges, c.number, side="right")) - 1, len(c.t)
+            yield {"slice": [part] * n, "chunk": [c.number] * n, "t": c.t, "place": run.placed, "z": as_lists(c.z)}
+            if c.number + 1 in edges[1:]:
+                for a in range(0, run.model.n, 4096):
+                    b = min(a + 4096, run.model.n)
+                    yield {"slice": [part + 1] * (b - a), "place": np.arange(a, b), "z": as_lists(run.model.total[a:b]), "n": run.model.count[a:b]}
+
+        def end(self, run: Run) -> Iterator[dict]:
+            return iter(())
+
+    by = ["method", "seed", "variant", "slice"]
+    placed = over_runs(stream, cells, chunk, arrow_schema(PLACED), PLACED, Placed, shots=False)
+    placed = placed.repartition(max(1, 4 * len(edges)), *by).sortWithinPartitions(*by, F.col("t").asc_nulls_first(), "place")
+    schema = arrow_schema(PREDICTED)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by slice, those of its beginning first; the rows of a chunk are held until the next one begins."""
+        at, number, held, total, count = None, None, [], None, None
+
+        def grown(n: int, width: int) -> None:
+            nonlocal total, count
+            if total is None or n > len(count):
+                more = np.zeros((max(n, 2 * len(count) if count is not None else 1024), width)), np.zeros(max(n, 2 * len(count) if count is not None else 1024))
+                if total is not None:
+                    more[0][: len(count)], more[1][: len(count)] = total, count
+                total, count = more
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t, place, z = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            grown(int(place.max()) + 1, z.shape[1])
+            np.add.at(total, place, z)  # in order, as the method adds
+            np.add.at(count, place, 1.0)
+            if number >= warmup or many <= warmup:
+                m, n = int(count.astype(bool).sum()), len(t)
+                found = weighted_kmeans(total[:m] / np.maximum(count[:m, None], 1e-12), count[:m], classes, at[1], starts, steps)
+                columns = ([at[0]] * n, [at[1]] * n, [at[2]] * n, [number] * n, t, labels_of(z, None, found))
+                yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (*by, "chunk"))))
+            place, n = batch.column("place").to_numpy(), batch.column("n").to_numpy(zero_copy_only=False)
+            t, z = batch.column("t").to_numpy(zero_copy_only=False), rows_of(batch, "z")
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if keys[a] != (at and (*at, number)):
+                    yield from close()
+                    if keys[a][:4] != at:
+                        total, count = None, None
+                    at, number = keys[a][:4], keys[a][4]
+                if number is None:
+                    grown(int(place[a:b].max()) + 1, z.shape[1])
+                    total[place[a:b]], count[place[a:b]] = z[a:b], n[a:b]
+                else:
+                    held.append((t[a:b].astype(np.int64), place[a:b], z[a:b]))
+        yield from close()
+
+    return placed.mapInArrow(work, PREDICTED)
+
+
 def with_labels(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """predicted (t, ...) with the label of each row; a row without a label raises, as rows and labels are a pair."""
     known = labels.select(F.col("t").alias("_t"), F.col("label").cast("long").alias("_label"))
@@ -252,5 +338,6 @@ def with_labels(predicted: DataFrame, labels: DataFrame) -> DataFrame:
 
 def evaluate(stream: DataFrame, cells: DataFrame, classes: int, chunk: int = 1000, **how) -> DataFrame:
     """method, seed, variant, chunk, n, ari, nmi: predictions joined with the labels, which no kernel has seen."""
+    stream = checkpointed(stream)  # learning, scoring and labels read it
     scored = with_labels(predictions(stream, cells, classes, chunk, **how), stream.select("t", "label"))
     return partition_quality(scored, ["method", "seed", "variant", "chunk"], "label", "pred")

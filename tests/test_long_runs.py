@@ -56,3 +56,22 @@ def test_summaries_are_made_where_they_are_read(spark):
     run = runner.Run("fra_art", 7, {}, 50, shots=False)
     chunks = list(run.feed(np.arange(230), x, last=True))
     assert [len(c.centers) for c in chunks] == [0] * 5 and run.model.n > 0
+
+
+@pytest.mark.parametrize("rows, warmup", [(230, 1), (230, 0), (40, 1), (50, 1)])
+def test_growing_summaries_are_scored_by_slices(spark, rows, warmup):
+    from driftloom.kernels.kmeans import weighted_kmeans
+
+    x = rows_of_classes(rows, 12)
+    stream = spark.createDataFrame([(3 * t, row.tolist()) for t, row in enumerate(x)], "t long, features array<double>")
+    cells = runner.run_cells(spark, [("fra_art", s, "a", {}) for s in (7, 13)])
+    apart = runner.scored_apart(stream, cells, 3, 50, starts=2, steps=20, warmup=warmup, slices=3)
+    got = {(r["seed"], r["t"]): (r["chunk"], r["pred"]) for r in apart.collect()}
+    want = {}
+    for seed in (7, 13):
+        chunks = list(runner.Run("fra_art", seed, {}, 50).feed(3 * np.arange(rows), x, last=True))
+        for c in chunks[warmup if len(chunks) > warmup else 0 :]:
+            pred = runner.labels_of(c.z, None, weighted_kmeans(c.centers, c.weights, 3, seed, 2, 20))
+            want |= {(seed, int(t)): (c.number, int(p)) for t, p in zip(c.t, pred)}
+    assert got == want and len(got) > 0
+    assert sorted(runner.predictions(stream, cells, 3, 50, 2, 20, warmup).collect()) == sorted(apart.collect())
