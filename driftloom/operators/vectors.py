@@ -196,11 +196,12 @@ def neighbors(points: DataFrame, k: int, itself: bool, digits: int = 9) -> DataF
     return pairs.select("i", "j", F.round(F.sqrt("d2"), digits).alias("d")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def nearest_in_block(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int, itself: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_in_block(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int, itself: bool, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, d) of the k rows of x nearest to each row of q by (d to nine digits, j).
 
     Products find the rows that may be among the k, with slack for their error; differences give the distances.
     """
+    step = step or min(256, max(8, (1 << 21) // max(len(x), 1)))  # 16 MB of distances
     qq, xx, found = (q * q).sum(1), (x * x).sum(1), []
     top = float(xx.max(initial=0.0))
     for a in range(0, len(q), step):
