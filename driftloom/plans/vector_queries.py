@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import StreamConfig
 from ..kernels.subspace import projection
 from ..operators import coreset, kmeans, neighbors, quality, vectors
+from ..session import checkpointed
 from ..sources import tables
 
 SEED = 7
@@ -247,14 +248,17 @@ k AS (SELECT t, list_concat(s, list_transform(s, lambda v: 1.0 - v)) AS code FRO
 
 def confidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary confidence of every row as a cluster: one-sidedness, sparseness and change of weight of its neighborhood."""
-    return _confidence(cells(spark, sf_dir), neighbors.pivot_neighbors(tables.embeddings(spark, sf_dir), 8, itself=False))
+    stream = tables.embeddings(spark, sf_dir)
+    return _confidence(stream, checkpointed(neighbors.pivot_neighbors(stream, 8, itself=False)))
 
 
-def _confidence(part: DataFrame, near: DataFrame) -> DataFrame:
-    other = part.select(F.col("t").alias("j"), "dim", F.col("v").alias("u"))
-    own = part.withColumnRenamed("t", "i")
-    sides = near.select("i", "j").join(other, "j").join(own, ["i", "dim"]).groupBy("i", "dim").agg(F.avg((F.col("u") > F.col("v")).cast("double")).alias("pos"))
-    skew = sides.groupBy("i").agg((F.avg(F.abs(F.col("pos") - 0.5)) * 2.0).alias("skew"))
+def _confidence(stream: DataFrame, near: DataFrame) -> DataFrame:
+    """Vectors travel whole, once for each neighbor: rows for each dimension took many times as much."""
+    part = neighbors.compact(stream.where(F.size("features") > 0).select("t", "features"))
+    around = near.select("i", "j").join(part.select(F.col("t").alias("j"), F.col("features").alias("u")), "j").groupBy("i").agg(F.collect_list("u").alias("us"))
+    both = around.join(part.select(F.col("t").alias("i"), F.col("features").alias("v")), "i")
+    off = F.transform("v", lambda v, d: F.abs(F.size(F.filter("us", lambda u: F.get(u, d) > v)) / F.size("us") - 0.5))
+    skew = both.select("i", (vectors.total(off) / F.size("v") * 2.0).alias("skew"))
     sparse = near.groupBy("i").agg(F.least(F.avg("d") / (1.2 + 1e-12), F.lit(2.0)).alias("sparse"))
     w = part.select("t").distinct().select(F.col("t").alias("i"), (F.col("t") % 5 + 1).cast("double").alias("w"))
     middle = w.agg(F.expr("percentile(w, 0.5)").alias("m"))

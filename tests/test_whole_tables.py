@@ -67,3 +67,8 @@ def test_confidence_of_every_row(spark, sf_dir, points):
 def test_every_row_is_there(spark, sf_dir, name, width):
     rows = pq.read_metadata(f"{sf_dir}/{'events' if name.startswith('outlier') else 'embeddings'}.parquet").num_rows
     assert registry.QUERIES[name](spark, sf_dir).count() == rows * width
+
+
+def test_confidence_shuffles_vectors_and_not_cells(spark, sf_dir):
+    plan = registry.QUERIES["boundary_confidence"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" in plan
