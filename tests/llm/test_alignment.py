@@ -100,3 +100,25 @@ def test_time_follows_length(spark):
         began = time.perf_counter()
         made.select(column).collect()
         assert time.perf_counter() - began < 20
+
+
+def test_known_pieces_are_aligned_once(spark):
+    """Texts get what their frequent pieces gave by number; only the other pieces' tokens are aligned where they lie."""
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    texts = ["the cat, the dog", "unlikeliest the", " the  dog the ", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = spark.createDataFrame([(x, x) for x in ("cat,", "dog", "the")], "doc_id string, text string")
+    known = alignment.grouped(alignment.tokens(pieces, *paths)).cache()
+    sizes = {r.doc_id: (r.n_a, r.n_b) for r in known.collect()}
+    names = sorted(sizes)
+    held = spark.sparkContext.broadcast(([x.encode() for x in names], *([sizes[x][k] for x in names] for k in (0, 1))))
+    rows = {r.doc_id: r for r in alignment.parts(docs, held, *paths).collect()}
+    assert rows[0].pieces == [2, 0, 2, 1] and not rows[0].a_ids and not rows[0].p_ends
+    assert rows[1].pieces == [-1, 2] and rows[1].p_ends == [12] == rows[1].a_ends[-1:] == rows[1].b_ends[-1:]
+    assert rows[2].pieces == [-1, -2] and rows[2].p_ends == [10, 15]
+    assert all(rows[k].pieces == [] and rows[k].n_a == 0 for k in (3, 4))
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "_links"]
+    by_row = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    whole = alignment.grouped(alignment.tokens(docs, *paths)).collect()
+    want = sorted((*(r[c] for c in columns[:-1]), sorted(r["_links"])) for r in whole)
+    assert by_row(alignment.aligned(docs, known, *paths)) == by_row(alignment.aligned(docs, known.limit(0), *paths)) == want
