@@ -102,7 +102,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def parts(docs: DataFrame, known: Broadcast, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, pieces, p_ends, a_ids, a_ends, b_ids, b_ends of every row of docs (doc_id, text).
 
-    known has a list of pieces (bytes, without the space before) and the numbers of their tokens on either side.  ``pieces`` has the
+    known has a list of pieces (bytes, with the space before) and the numbers of their tokens on either side.  ``pieces`` has the
     place of each piece in known, or -1 - k for the k-th that isn't there; of these, one after the other, the tokens and where each ends,
     and where the pieces end, in bytes.
     """
@@ -113,8 +113,7 @@ def parts(docs: DataFrame, known: Broadcast, a_path: str, b_path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, cut = _sides(a_path, b_path), pieces_of_words(b_path).pieces
         names_known, *sizes = known.value
-        place = {b" " + x: i for i, x in enumerate(names_known)}
-        sizes = [np.asarray(x, np.int64) for x in sizes]
+        place = {x: i for i, x in enumerate(names_known)}
         for rows in chunks(batches, "text"):
             found, first = cut([b" " + x if x else b"" for x in texts_of(rows.column("text"))])
             which, names_here = different(found)
@@ -250,7 +249,7 @@ def aligned(docs: DataFrame, known: DataFrame, a_path: str, b_path: str) -> Data
     """
     known = known.where((F.col("n_a") > 0) & (F.col("n_links") == F.size("_links")))
     told = known.select("doc_id", "n_a", "n_b").orderBy("doc_id").toArrow()
-    held = docs.sparkSession.sparkContext.broadcast(([x.encode() for x in told.column(0).to_pylist()], told.column(1).to_pylist(), told.column(2).to_pylist()))
+    held = docs.sparkSession.sparkContext.broadcast(([b" " + x.encode() for x in told.column(0).to_pylist()], *(told.column(k).to_numpy().astype(np.int32) for k in (1, 2))))
     listed = known.agg(F.sort_array(F.collect_list(F.struct("doc_id", "groups", "_links"))).alias("x"))
     texts, links = listed.select("x.groups").scalar(), listed.select("x._links").scalar()  # in the same order
     rows = parts(docs, held, a_path, b_path).withColumnsRenamed({"n_a": "_n_a", "n_b": "_n_b"})

@@ -4,6 +4,7 @@ import hashlib
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from driftloom.llm import alignment
@@ -111,7 +112,7 @@ def test_known_pieces_are_aligned_once(spark):
     known = alignment.grouped(alignment.tokens(pieces, *paths)).cache()
     sizes = {r.doc_id: (r.n_a, r.n_b) for r in known.collect()}
     names = sorted(sizes)
-    held = spark.sparkContext.broadcast(([x.encode() for x in names], *([sizes[x][k] for x in names] for k in (0, 1))))
+    held = spark.sparkContext.broadcast(([b" " + x.encode() for x in names], *(np.array([sizes[x][k] for x in names]) for k in (0, 1))))
     rows = {r.doc_id: r for r in alignment.parts(docs, held, *paths).collect()}
     assert rows[0].pieces == [2, 0, 2, 1] and not rows[0].a_ids and not rows[0].p_ends
     assert rows[1].pieces == [-1, 2] and rows[1].p_ends == [12] == rows[1].a_ends[-1:] == rows[1].b_ends[-1:]
