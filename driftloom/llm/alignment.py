@@ -34,16 +34,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .vocab import byte_level, byte_tokens, different, piece_tokens, pieces_of_words, vocabulary
-from .words import chunks, documents, ensure_checkpoint_dir, texts_of
+from .words import chunks, documents, ensure_checkpoint_dir, give_back, texts_of
 
 SHORT = 64  # characters of a piece that may be aligned beforehand
 KNOWN = 1 << 19  # pieces aligned beforehand at most
+MEMO = 20_000  # pieces an encoder remembers: those that come often are known
 WIDE = 4096
 FREQUENT = 1 << 20
 SHIFT = 31  # a pair takes 32 bits, the number of its links the rest
@@ -55,9 +57,35 @@ LAYOUT = {
 }
 
 
+class Places:
+    """Places of texts in a large binary array, found by sorted hashes: a dictionary would take several times the array's bytes in every worker.
+
+    Of different texts with one hash only one is found.
+    """
+
+    def __init__(self, listed: pa.Array) -> None:
+        slices = (listed.slice(k, 1 << 14).to_pylist() for k in range(0, len(listed), 1 << 14))
+        hashes = np.fromiter((hash(x) for some in slices for x in some), np.int64, len(listed))
+        self.listed, self.order = listed, np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        """The place of each text, -1 where it isn't found."""
+        out = np.full(len(texts), -1, np.int64)
+        if len(self.listed):
+            h = np.fromiter(map(hash, texts), np.int64, len(texts))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == h)
+            place = self.order[at[hit]]
+            same = pa.compute.equal(pa.array([texts[i] for i in hit], pa.large_binary()), self.listed.take(pa.array(place)))
+            same = same.to_numpy(zero_copy_only=False).astype(bool)
+            out[hit[same]] = place[same]
+        return out
+
+
 def _sides(a_path: str, b_path: str) -> list[tuple[Callable, list[bytes], np.ndarray]]:
     """Of both vocabularies the encoder, the bytes of each id, and their number."""
-    sides = (byte_level(a_path, special=False), byte_tokens(a_path)), (pieces_of_words(b_path), piece_tokens(b_path))
+    sides = (byte_level(a_path, special=False, memo=MEMO), byte_tokens(a_path)), (pieces_of_words(b_path, memo=MEMO), piece_tokens(b_path))
     return [(encode, parts, np.array([len(x) for x in parts], np.int64)) for encode, parts in sides]
 
 
@@ -95,6 +123,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 own = (at[1:] - np.repeat(at[before[:-1]], n))[keep]
                 columns += [_lists(np.where(good, n, 0), x) for x in (ids[keep], own)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], schema.names)
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -102,7 +131,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def parts(docs: DataFrame, known: Broadcast, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, pieces, p_ends, a_ids, a_ends, b_ids, b_ends of every row of docs (doc_id, text).
 
-    known has a list of pieces (bytes, with the space before) and the numbers of their tokens on either side.  ``pieces`` has the
+    known has a list or Arrow array of pieces (bytes, with the space before) and the numbers of their tokens on either side.  ``pieces`` has the
     place of each piece in known, or -1 - k for the k-th that isn't there; of these, one after the other, the tokens and where each ends,
     and where the pieces end, in bytes.
     """
@@ -111,13 +140,13 @@ def parts(docs: DataFrame, known: Broadcast, a_path: str, b_path: str) -> DataFr
     schema = T.StructType([docs.select("doc_id").schema[0], *[T.StructField(x, T.LongType(), False) for x in ("n_a", "n_b")], *[T.StructField(x, kind, False) for x in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, cut = _sides(a_path, b_path), pieces_of_words(b_path).pieces
-        names_known, *sizes = known.value
-        place = {x: i for i, x in enumerate(names_known)}
+        sides, cut = _sides(a_path, b_path), pieces_of_words(b_path, memo=MEMO).pieces
+        listed, *sizes = known.value
+        places = Places(listed if isinstance(listed, pa.Array) else pa.array(listed, pa.large_binary()))
         for rows in chunks(batches, "text"):
             found, first = cut([b" " + x if x else b"" for x in texts_of(rows.column("text"))])
             which, names_here = different(found)
-            code = np.fromiter((place.get(x, -1) for x in names_here), np.int64, len(names_here))
+            code = places.of(names_here)
             own = np.flatnonzero(code < 0)
             encoded, good = _encoded([names_here[i] for i in own], sides)
             lost = np.zeros(len(names_here), bool)
@@ -146,6 +175,7 @@ def parts(docs: DataFrame, known: Broadcast, a_path: str, b_path: str) -> DataFr
                 seen = number >= 0
                 counts.append(pa.array(each + np.bincount(text[seen], weights=held[number[seen]], minlength=len(whole)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *counts, *columns], schema.names)
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -248,10 +278,11 @@ def aligned(docs: DataFrame, known: DataFrame, a_path: str, b_path: str) -> Data
     known has what ``grouped`` gives for some pieces as doc_id, few enough for every task to hold.
     """
     known = known.where((F.col("n_a") > 0) & (F.col("n_links") == F.size("_links")))
-    told = known.select("doc_id", "n_a", "n_b").orderBy("doc_id").toArrow()
-    held = docs.sparkSession.sparkContext.broadcast(([b" " + x.encode() for x in told.column(0).to_pylist()], *(told.column(k).to_numpy().astype(np.int32) for k in (1, 2))))
-    listed = known.agg(F.sort_array(F.collect_list(F.struct("doc_id", "groups", "_links"))).alias("x"))
-    texts, links = listed.select("x.groups").scalar(), listed.select("x._links").scalar()  # in the same order
+    told = known.orderBy("doc_id").select(F.concat(F.lit(" "), "doc_id").cast("binary"), "n_a", "n_b").toArrow().combine_chunks()
+    listed = pa.concat_arrays([pa.array([], pa.large_binary()), *told.column(0).cast(pa.large_binary()).chunks])
+    held = docs.sparkSession.sparkContext.broadcast((listed, *(told.column(k).to_numpy().astype(np.int32) for k in (1, 2))))
+    results = known.agg(F.sort_array(F.collect_list(F.struct("doc_id", "groups", "_links"))).alias("x"))
+    texts, links = results.select("x.groups").scalar(), results.select("x._links").scalar()  # in the same order
     rows = parts(docs, held, a_path, b_path).withColumnsRenamed({"n_a": "_n_a", "n_b": "_n_b"})
     # Each of the subqueries' columns is used once, so Catalyst writes it into its use: the arrays are referred to, not copied into rows.
     made = grouped(rows, ["_n_a", "_n_b", "pieces"]).select("*", texts.alias("_texts"), links.alias("_of"))

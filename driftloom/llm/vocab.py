@@ -20,6 +20,7 @@ import pyarrow as pa
 
 MEMO = 250_000
 LONG = 64
+SLICE = 4096  # pieces given to a library at once, whose results are far larger than their ids
 
 _ASCII = np.zeros(256, bool)
 _ASCII[33:127] = True
@@ -73,12 +74,14 @@ class Encoder:
             if got is None and (got := self.old.get(pieces[i])) is not None:
                 self.young[pieces[i]] = out[i] = got
         missed = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(missed, self.encode([pieces[i] for i in missed]) if missed else ()):
-            out[i] = np.array(ids, "<u4").tobytes()
-            if len(pieces[i]) <= LONG:
-                self.young[pieces[i]] = out[i]
-        if len(self.young) > self.memo:
-            self.old, self.young = self.young, {}
+        for k in range(0, len(missed), SLICE):
+            some = missed[k : k + SLICE]
+            for i, ids in zip(some, self.encode([pieces[i] for i in some])):
+                out[i] = np.array(ids, "<u4").tobytes()
+                if len(pieces[i]) <= LONG:
+                    self.young[pieces[i]] = out[i]
+            if len(self.young) > self.memo:
+                self.old, self.young = self.young, {}
         return out
 
     def known(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +150,12 @@ def byte_level(path: str, special: bool, memo: int = MEMO) -> Encoder:
 
 
 @lru_cache(maxsize=4)
-def pieces_of_words(path: str) -> Encoder:
+def pieces_of_words(path: str, memo: int = MEMO) -> Encoder:
     """Ids of the ``sentencepiece`` library for texts that begin with the space which the library adds itself."""
     import sentencepiece
 
     s = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Encoder(lambda xs: s.encode([x[1:].decode() for x in xs], num_threads=1), marks=False)
+    return Encoder(lambda xs: s.encode([x[1:].decode() for x in xs], num_threads=1), marks=False, memo=memo)
 
 
 @lru_cache(maxsize=4)

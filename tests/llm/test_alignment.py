@@ -2,10 +2,14 @@
 
 import hashlib
 import time
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from driftloom.llm import alignment
 from driftloom.llm.vocab import byte_tokens, piece_tokens, vocabulary
@@ -123,3 +127,35 @@ def test_known_pieces_are_aligned_once(spark):
     whole = alignment.grouped(alignment.tokens(docs, *paths)).collect()
     want = sorted((*(r[c] for c in columns[:-1]), sorted(r["_links"])) for r in whole)
     assert by_row(alignment.aligned(docs, known, *paths)) == by_row(alignment.aligned(docs, known.limit(0), *paths)) == want
+
+
+def test_tasks_hold_little():
+    """What a task holds of the known pieces and remembers of the others stays small, however many there are."""
+    kind = T.StructType([T.StructField("doc_id", T.LongType())])
+    docs = SimpleNamespace(select=lambda *_: SimpleNamespace(schema=kind, mapInArrow=lambda run, _: run))
+    names, ones = [b" k%x" % k for k in range(200_000)], np.ones(200_000, np.int32)
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    texts = [" ".join([f"k{k:x}", *(f"u{k + i:x}" for i in range(5000))]) for k in range(0, 150_000, 5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x])], ["doc_id", "text"]) for k, x in enumerate(texts)]
+    run = alignment.parts(docs, SimpleNamespace(value=(names, ones, ones)), *paths)
+    assert sum(x.num_rows for x in run(iter(batches[:1]))) == 1  # the vocabularies are loaded
+    tracemalloc.start()
+    try:
+        found = [x.column("pieces")[0].as_py()[0] for x in run(iter(batches))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == list(range(0, 150_000, 5000))
+    assert most < 32 << 20
+
+
+@pytest.mark.parametrize("alike", [hash, len])
+def test_places(monkeypatch, alike):
+    """Texts with one hash are never taken for each other."""
+    monkeypatch.setattr(alignment, "hash", alike, raising=False)
+    listed = [b" a", b" bb", b" cc", b" ddd"]
+    places, texts = alignment.Places(pa.array(listed, pa.large_binary())), [b" a", b" x", b" cc", b" bb", b"", b" ddd", b" long"]
+    found = places.of(texts).tolist()
+    assert [found[k] for k in (0, 1, 4, 5, 6)] == [0, -1, -1, 3, -1] and sorted(found[2:4]) in ([1, 2], [-1, 1], [-1, 2])
+    assert all(p < 0 or listed[p] == x for p, x in zip(found, texts))
+    assert places.of([]).tolist() == [] and alignment.Places(pa.array([], pa.large_binary())).of([b" a"]).tolist() == [-1]
