@@ -29,7 +29,7 @@ from ..session import checkpointed
 
 CALIBRATION = 1000
 GROWING = ("fra_art",)  # methods whose summary grows with the stream; it's the mean of the rows of each category
-SLICES = 16  # of the chunks of such a run, scored side by side
+SLICES = 32  # of the chunks of such a run, scored side by side
 
 
 def run_cells(spark: SparkSession, cells: list[tuple[str, int, str, dict]]) -> DataFrame:
@@ -185,7 +185,7 @@ def run_matrix(stream: DataFrame, cells: DataFrame, chunk: int = 1000, kinds: tu
     return over_runs(stream, cells, chunk, arrow_schema(TRACE), TRACE, lambda cell: Told(cell, kinds), shots="center" in kinds)
 
 
-PLACED = "method string, seed int, variant string, slice int, chunk long, t long, place long, z array<double>, n double"
+PLACED = "method string, seed int, variant string, slice int, task int, chunk long, t long, place long, z array<double>, n double"
 PREDICTED = "method string, seed int, variant string, chunk long, t long, pred int"
 FINAL = "method string, seed int, variant string, model binary"
 
@@ -255,29 +255,31 @@ def scored_apart(stream: DataFrame, cells: DataFrame, classes: int, chunk: int,
     """`predictions` of methods in GROWING: one task learns a run and tells the category of each row, then slices of the chunks are scored side by side.
 
     At the end of a chunk the summary is a sum and a number of rows for each category, so a slice needs those of its beginning, which the
-    learning task writes, and its own rows.  The last chunk's k-means costs most, so slices get shorter: their work is about the same.
+    learning task writes, and its own rows.  The last chunk's k-means costs most, so slices get shorter: their work is about the same,
+    and each has a task of its own.
     """
     many = -(-stream.count() // chunk)
     edges = np.unique(np.ceil(many * np.sqrt(np.arange(slices) / slices)).astype(np.int64))
+    first = {r["run"]: i * len(edges) for i, r in enumerate(cells.collect())}
 
     class Placed:
         def __init__(self, cell) -> None:
-            pass
+            self.first = first[cell["run"]]
 
         def chunk(self, run: Run, c: Chunk) -> Iterator[dict]:
             part, n = int(np.searchsorted(edges, c.number, side="right")) - 1, len(c.t)
-            yield {"slice": [part] * n, "chunk": [c.number] * n, "t": c.t, "place": run.placed, "z": as_lists(c.z)}
+            yield {"slice": [part] * n, "task": [self.first + part] * n, "chunk": [c.number] * n, "t": c.t, "place": run.placed, "z": as_lists(c.z)}
             if c.number + 1 in edges[1:]:
                 for a in range(0, run.model.n, 4096):
                     b = min(a + 4096, run.model.n)
-                    yield {"slice": [part + 1] * (b - a), "place": np.arange(a, b), "z": as_lists(run.model.total[a:b]), "n": run.model.count[a:b]}
+                    yield {"slice": [part + 1] * (b - a), "task": [self.first + part + 1] * (b - a), "place": np.arange(a, b), "z": as_lists(run.model.total[a:b]), "n": run.model.count[a:b]}
 
         def end(self, run: Run) -> Iterator[dict]:
             return iter(())
 
     by = ["method", "seed", "variant", "slice"]
     placed = over_runs(stream, cells, chunk, arrow_schema(PLACED), PLACED, Placed, shots=False)
-    placed = placed.repartition(max(1, 4 * len(edges)), *by).sortWithinPartitions(*by, F.col("t").asc_nulls_first(), "place")
+    placed = placed.repartitionById(max(1, len(first) * len(edges)), "task").sortWithinPartitions(*by, F.col("t").asc_nulls_first(), "place")
     schema = arrow_schema(PREDICTED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,3 +75,48 @@ def test_growing_summaries_are_scored_by_slices(spark, rows, warmup):
             want |= {(seed, int(t)): (c.number, int(p)) for t, p in zip(c.t, pred)}
     assert got == want and len(got) > 0
     assert sorted(runner.predictions(stream, cells, 3, 50, 2, 20, warmup).collect()) == sorted(apart.collect())
+
+
+@pytest.mark.parametrize("weights", ["counts", "wide"])
+def test_few_rows_are_compared_while_centers_settle(weights, monkeypatch):
+    from driftloom.kernels import kmeans
+
+    rng = np.random.default_rng(5)
+    x = np.clip(0.5 + 0.17 * rng.standard_normal((4000, 24)), 0.0, 1.0)
+    x[3000:3200] = x[:200]  # copies
+    w = rng.integers(1, 6, 4000).astype(float) if weights == "counts" else 10.0 ** rng.integers(-14, 4, 4000)
+    compared, compare = [], kmeans.Owners._compare
+    monkeypatch.setattr(kmeans.Owners, "_compare", lambda self, c, at: compared.append(len(x) if at is None else len(at)) or compare(self, c, at))
+    for start in range(3):
+        rows = kmeans.spread(x, w, np.random.default_rng(start))
+        centers = x[[next(rows) for _ in range(8)]]
+        plain, fast = kmeans.settle(x, w, centers, 300), kmeans.settle(x, w, centers, 300, kmeans.Owners(x, w))
+        assert plain.cost == fast.cost and np.array_equal(plain.centers, fast.centers)
+    if weights == "counts":
+        assert len(compared) > 30 and sum(compared) < 0.6 * len(x) * len(compared)
+
+
+def test_rows_that_single_precision_cannot_tell_apart():
+    from driftloom.kernels import kmeans
+
+    rng = np.random.default_rng(6)
+    lattice, ones = rng.integers(0, 3, (3000, 3)).astype(float), np.ones(3000)  # many ties
+    close = np.where(rng.random((3000, 1)) < 0.5, 1.0, 1.0 + 1e-9) * np.array([[1.0, 2.0]])
+    close[::5] = 3.0
+    for x in (lattice, close, 1e-3 * lattice):
+        for steps in (1, 2, 50):
+            centers = x[[0, 1, 2, 5, 7]]
+            plain, fast = kmeans.settle(x, ones, centers, steps), kmeans.settle(x, ones, centers, steps, kmeans.Owners(x, ones))
+            assert plain.cost == fast.cost and np.array_equal(plain.centers, fast.centers)
+    few = np.ones((3000, 4))
+    assert not kmeans.Owners.fit(few) and not kmeans.Owners.fit(lattice[:100]) and not kmeans.Owners.fit(lattice * np.nan) and not kmeans.Owners.fit(lattice * 1e20)
+    assert not kmeans.Owners.fit(1e6 + 1e-2 * lattice) and kmeans.Owners.fit(lattice)
+
+
+def test_slices_have_tasks_of_their_own(spark):
+    x = rows_of_classes(230, 4)
+    stream = spark.createDataFrame([(t, row.tolist()) for t, row in enumerate(x)], "t long, features array<double>")
+    cells = runner.run_cells(spark, [("fra_art", s, "a", {}) for s in (7, 13)]).where("run >= 0")
+    apart = runner.scored_apart(stream, cells, 3, 10, starts=1, steps=5, warmup=0, slices=6)
+    per = apart.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("seed").alias("seeds"), F.countDistinct("chunk").alias("chunks")).collect()
+    assert len(per) == 12 and {r["seeds"] for r in per} == {1} and max(r["chunks"] for r in per) < 12
